@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrift.llm import decontam
+from windrift.llm import decontam, quality
 from windrift.llm.storage import shared_folder
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from these documents alone."""
+    return quality.keep_good(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontamination", decontaminate)]
+STAGES = [("quality", keep_good), ("decontamination", decontaminate)]
 #: SQL can express neither the classifier nor the fingerprints; the stages are tested one by one.
 ORACLE_SQL = None
 

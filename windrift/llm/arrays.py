@@ -29,14 +29,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that a slice has at most ``limit`` bytes of ``column`` or one row."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = LIMIT, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a slice has at most ``limit`` bytes of ``column`` or one row, and at most ``rows``."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
+            end = max(at + 1, min(at + rows, int(np.searchsorted(size, done + limit, "right"))))
             yield batch.slice(at, end - at)
             at = end
 
@@ -101,3 +101,16 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     """A list column from its flat values and the length of each row."""
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def gram_counts(data: np.ndarray, offsets: np.ndarray, dim: int) -> np.ndarray:
+    """A row for each text: how often each hashed trigram of its bytes occurs; dim is a power of two."""
+    rows = len(offsets) - 1
+    if len(data) < 3:
+        return np.zeros((rows, dim), np.float32)
+    x = data.astype(np.uint32)
+    h = ((x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    inside = row[:-2] == row[2:]
+    at = row[:-2][inside] * dim + (h[inside] >> np.uint32(33 - dim.bit_length()))
+    return np.bincount(at, minlength=rows * dim).reshape(rows, dim).astype(np.float32)

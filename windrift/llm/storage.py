@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -25,3 +26,8 @@ def settle(df: DataFrame) -> DataFrame:
     if not df.sparkSession.sparkContext.getCheckpointDir():
         shared_folder(df.sparkSession, "checkpoint")
     return df.checkpoint()
+
+
+def wider(df: DataFrame, *columns: str) -> StructType:
+    """The schema of ``df`` with more columns, each as "name type"."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(columns)).fields])
