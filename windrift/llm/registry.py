@@ -1,7 +1,7 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import decontam, langid, quality
+from . import decontam, langid, pii, quality, simhash
 
-_MODULES = [decontam, quality, langid]
+_MODULES = [decontam, quality, simhash, pii, langid]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
