@@ -1,7 +1,7 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import bpe, decontam, langid, pii, quality, simhash, token_files
+from . import bpe, decontam, langid, pii, quality, simhash, syncmers, token_files, urls
 
-_MODULES = [token_files, decontam, quality, simhash, pii, bpe, langid]
+_MODULES = [token_files, decontam, quality, urls, syncmers, simhash, pii, bpe, langid]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

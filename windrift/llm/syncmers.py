@@ -43,7 +43,7 @@ def syncmers(text: Column) -> Column:
         at = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - K, F.lit(0))), lambda i: F.struct(i.alias("position"), _anchor(s, i).alias("hash")))
         return F.filter(at, lambda a: a.hash.isNotNull() & (F.size(s) >= K))
 
-    return _let(_smer_hashes(_token_hashes(F.coalesce(text, F.lit("")))), of)
+    return _let(_token_hashes(F.coalesce(text, F.lit(""))), lambda tokens: _let(_smer_hashes(tokens), of))
 
 
 def _let(value: Column, body) -> Column:
