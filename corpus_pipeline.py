@@ -1,10 +1,10 @@
-"""A training-data pipeline: stages over ``documents``, each written and read again."""
+"""A training-data pipeline over ``documents``: each stage's rows are written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrift.llm import decontam, quality
+from windrift.llm import bpe, decontam, pii, quality, simhash
 from windrift.llm.storage import shared_folder
 
 
@@ -13,13 +13,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (SimHash of four-word shingles, four bits) the smallest doc_id stays."""
+    return simhash.keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality", keep_good), ("decontamination", decontaminate)]
-#: SQL can express neither the classifier nor the fingerprints; the stages are tested one by one.
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with ``ids``, and ``decoded``, the text that the ids stand for."""
+    coded = bpe.encode(docs, bpe.default_vocabulary(), digests=False)
+    return bpe.decode(coded, bpe.default_vocabulary())
+
+
+STAGES = [("quality", keep_good), ("near-duplicates", one_of_each), ("decontamination", decontaminate), ("personal data", redact), ("tokens", tokens)]
+#: SQL can express neither the classifier nor the fingerprints; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
@@ -27,7 +43,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = shared_folder(spark, f"pipeline-{name}")
+        path = shared_folder(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
