@@ -8,3 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"two queries named {name}")
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
