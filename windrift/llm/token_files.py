@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import list_array, slices, utf8
+from .bpe import byte_alphabet
 from .storage import shared_folder
 from .words import WordCoder
 
@@ -28,20 +29,19 @@ _coders: dict[str, tuple] = {}
 
 
 def coder(path: str) -> tuple:
-    """The library's tokenizer and a coder that gives it each distinct word once; made once in each Python worker."""
+    """The library's tokenizer and a coder that gives its model each distinct word once; made once in each Python worker."""
     if path not in _coders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
 
+        model = library.model
+        letter = {b: c for c, b in byte_alphabet().items()}
+
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids, count = [], np.zeros(len(words), np.int64)
-            for at in range(0, len(words), 2000):
-                done = library.encode(words[at : at + 2000], is_pretokenized=True, add_special_tokens=False)
-                ids.append(np.array(done.ids, np.int32))
-                count[at : at + 2000] = np.bincount(np.array(done.word_ids, np.int64), minlength=len(words[at : at + 2000]))
-            return np.concatenate(ids), count
+            coded = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letter))] for w in words]
+            return np.fromiter((i for c in coded for i in c), np.int32), np.fromiter(map(len, coded), np.int64, len(coded))
 
         special = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
         _coders[path] = library, WordCoder(encode, spaces=True), special

@@ -18,18 +18,27 @@ from .arrays import prefix_hash, ranges, span_hash
 
 KEEP = 400_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+#: Ranges (first, last) of one class: surrogates, ideographs, syllables and private use.
+UNIFORM = ((0xD800, 0xDFFF), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xE000, 0xF8FF), (0x20000, 0x2A6D6))
 _classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
     """The class of each code point, as the tokenizers library's own patterns have it."""
     if not _classes:
-        points = np.array([c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000])
+        apart = np.zeros(sys.maxunicode + 1, bool)
+        apart[:0x40000] = apart[0xE0000:0xE0200] = True  # the planes between and above hold no letters
+        for first, last in UNIFORM:
+            apart[first + 1 : last + 1] = False
+        apart[0xD800] = False
+        points = np.flatnonzero(apart)
         every = "".join(map(chr, points))
         table = np.zeros(sys.maxunicode + 1, np.uint8)
         for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
             for _, (start, end) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
                 table[points[start:end]] = kind
+        for first, last in UNIFORM:
+            table[first : last + 1] = table[first]
         _classes.append(table)
     return _classes[0]
 
