@@ -4,16 +4,17 @@ Every text is bytes; a string of ``LENGTH`` bytes that starts at more than one p
 Plain prefix doubling sorts a row for each byte in every round. Here only anchors take part: the anchor of a
 ``LENGTH``-byte window is the place of its smallest hash of ``GRAM`` bytes, a function of the window's bytes
 alone, so equal windows have equal anchors at equal offsets; neighbouring windows share one, about every 84th byte is one.
-Ranks are names of equality classes at growing lengths, and a place leaves when its class has one member:
+Ranks are names of equality classes at growing lengths, and what is alone in its class leaves:
 
 1. ``GRAM`` bytes at the anchor. Windows of an anchor that is alone in its class are unique.
-2. The stretch: all windows of an anchor joined, at most 2 * LENGTH - GRAM bytes. In a class of two or more, all its windows repeat.
-3. Past the threshold: what is left differs within the stretch (the border of a repeat), so its windows are
-   ranked one by one, at LENGTH bytes. One member of each class of round 2 takes part as a partner.
+2. The stretch: all windows of an anchor joined, at most 2 * LENGTH - GRAM bytes. In a class of two or more all windows repeat.
+3. What is left differs within the stretch: the border of a repeat. One member of each class of round 2 stays as a partner. The windows
+   go on in blocks of ``BLOCKS`` by their distance from the anchor: first the LENGTH - block + 1 bytes that all windows of a block
+   share, then the whole block, as in rounds 1 and 2. With blocks of one window the shared bytes are the window, past the threshold.
 
 Classes are counted with map-side sums and joined back, so a string that a third of all documents share
-is one row a task before each shuffle, and long join keys are split over tasks. The text itself is
-shuffled once, to meet what is removed from it.
+is one row a task before each shuffle, and long join keys are split over tasks. The text is shuffled twice: to cut out the
+borders, and to meet what is removed from it.
 """
 
 from __future__ import annotations
@@ -31,18 +32,20 @@ from .storage import shared_folder
 
 LENGTH = 200
 GRAM = 32
-#: Anchors whose windows are hashed at once.
+#: Windows of a block, round by round; the last must be 1.
+BLOCKS = (32, 8, 1)
+#: Borders that are hashed at once.
 _CHUNK = 2000
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first and last window (from the row's start), gram hash and stretch hash of every anchor of bounded rows."""
+    """Row, first and last window and place (from the row's start), gram hash and stretch hash of every anchor of bounded rows."""
     width = length - gram + 1
     n = len(data) - gram + 1
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     p0, p1 = prefix_hash(data, 0), prefix_hash(data, 1)
     at = np.arange(n)
     order = span_hash(p0, at, at + gram) & _HIGH | at.astype(np.uint64)
@@ -63,7 +66,7 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
     a = anchor[first]
     stretch = mix(span_hash(p1, first, last + length, 1) + (a - first).astype(np.uint64))
     start = offsets[row[first]]
-    return row[first], first - start, last - start, span_hash(p0, a, a + gram), stretch
+    return row[first], first - start, last - start, a - start, span_hash(p0, a, a + gram), stretch
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
@@ -81,42 +84,97 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets, base in _pieces(batches, length):
-            row, first, last, g, stretch = window_anchors(data, offsets, length, gram)
+            row, first, last, anchor, g, stretch = window_anchors(data, offsets, length, gram)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(row)), batch.column("_k").take(pa.array(row)), pa.array(g.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(first + base, pa.int64()), pa.array(last - first, pa.int32())],
-                names=["_id", "_k", "gram", "stretch", "first", "more"],
+                [batch.column("_id").take(pa.array(row)), batch.column("_k").take(pa.array(row)), pa.array(g.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(first + base, pa.int64()), pa.array(last - first, pa.int32()), pa.array(anchor - first, pa.int32())],
+                names=["_id", "_k", "gram", "stretch", "first", "more", "off"],
             )
 
     return run
 
 
-def _windows(length: int):
-    """The hash of each window of the anchors in ``list``; rows of partners carry no place."""
+_EXCERPT = "_id long, _k long, gram long, first long, more int, off int, probe boolean, bytes binary"
+
+
+def _excerpts(length: int):
+    """The bytes of the stretches in ``list``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             data, offsets = utf8(batch.column("_text"))
             lists = batch.column("list")
-            flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(batch.num_rows), size)
-            first, more, gram, probe = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("first", "more", "gram", "probe"))
-            for c in range(0, len(owner), _CHUNK):
-                o, f, m = owner[c : c + _CHUNK], first[c : c + _CHUNK], more[c : c + _CHUNK].astype(np.int64)
-                text = data[ranges(offsets[o] + f, m + length)]
-                begin = np.cumsum(m + length) - (m + length)
-                start = ranges(begin, m + 1)
-                name = span_hash(prefix_hash(text, 1), start, start + length, 1)
-                who = np.repeat(np.arange(len(o)), m + 1)
-                rows = pa.array(o[who])
-                place = f[who] + start - begin[who]
+            flat = lists.flatten()
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())))
+            start = offsets[owner.to_numpy()] + flat.field("first").to_numpy()
+            size = flat.field("more").to_numpy().astype(np.int64) + length
+            cut = pa.BinaryArray.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(data[ranges(start, size)].tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(owner), batch.column("_k").take(owner), *(flat.field(n) for n in ("gram", "first", "more", "off", "probe")), cut], names=[x.split()[0] for x in _EXCERPT.split(", ")])
+
+    return run
+
+
+_BLOCK = "_id long, _k long, gram long, first long, place int, core long, name long, low int, high int, probe boolean"
+
+
+def _blocks(length: int, block: int):
+    """The blocks of the windows in ``list`` (low, high, probe): the hash of what their windows share, and of all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for c in range(0, whole_batch.num_rows, _CHUNK):
+                batch = whole_batch.slice(c, _CHUNK)
+                raw = batch.column("bytes")
+                edge = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+                data = np.frombuffer(raw.buffers()[2], np.uint8)[edge[0] : edge[-1]]
+                edge -= edge[0]
+                lists = batch.column("list")
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                low, high = flat.field("low").to_numpy().astype(np.int64), flat.field("high").to_numpy().astype(np.int64)
+                window = ranges(low, high - low + 1)
+                part = np.repeat(np.arange(len(owner)), high - low + 1)
+                off = batch.column("off").to_numpy().astype(np.int64)[owner]
+                place = (off[part] - window) // block
+                start = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (place[1:] != place[:-1])))) if len(part) else part
+                stop = np.append(start[1:], len(part)) - 1
+                part, place, low, high = part[start], place[start], window[start], window[stop]
+                owner, base = owner[part], edge[owner[part]]
+                prefix = prefix_hash(data, 1)
+                core = base + off[part] - place * block
+                shape = ((off[part] - high) - place * block + (high - low) * 1024).astype(np.uint64)
+                name = mix(span_hash(prefix, base + low, base + high + length, 1) + shape)
+                core = span_hash(prefix, core, core + length - block + 1, 1)
+                rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").take(rows), batch.column("_k").take(rows), pa.array(gram[c : c + _CHUNK][who]), pa.array(name.view(np.int64)), pa.array(np.where(probe[c : c + _CHUNK][who], place, -1), pa.int64())],
-                    names=["_id", "_k", "gram", "name", "at"],
+                    [*(batch.column(n).take(rows) for n in ("_id", "_k", "gram", "first")), pa.array(place, pa.int32()), pa.array(core.view(np.int64)), pa.array(name.view(np.int64)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), flat.field("probe").take(pa.array(part))],
+                    names=[x.split()[0] for x in _BLOCK.split(", ")],
                 )
 
     return run
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is used several times is computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], store: str) -> tuple[DataFrame, DataFrame]:
+    """Two rounds: the classes of ``key``, then those of ``name`` within each.
+
+    Gives the rows of ``place`` that repeat as a whole, and one row (``place``, key, probe) for each class of names that
+    goes on: a probe is still in question, a partner is only compared with.
+    """
+    classes = rows.groupBy(*key).agg(F.count("*").alias("n"), (F.min(name) != F.max(name)).alias("mixed"), F.max("probe").alias("asked")).where("n > 1 and asked").select(*key, "mixed")
+    left = _stored(rows.join(classes, key).select(*place, *key, name, "probe", "mixed"), store)
+    mixed = left.where("mixed")
+    names = mixed.groupBy(*key, name).agg(F.count("*").alias("n"), F.min(F.struct(*place, "probe")).alias("one"))
+    again = mixed.where("probe").join(names.where("n > 1").select(*key, name), [*key, name])
+    whole = left.where("probe and not mixed").select(*place).unionByName(again.select(*place))
+    return whole, names.select("one.*", *[k for k in key if k not in place], (F.col("n") == 1).alias("alone")).withColumn("probe", F.col("probe") & F.col("alone")).drop("alone")
+
+
 def _cut(names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -147,29 +205,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     doc_id and text repeat each other. ``kept`` is the rest as text, without characters that a cut has halved;
     the digest is of the bytes. Strings are named by two 64-bit hashes.
     """
-    spark = docs.sparkSession
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k": F.xxhash64("doc_id", "text")}
     texts = docs.select(keys["_id"].alias("_id"), keys["_k"].alias("_k"), F.col("text").alias("_text"))
-    anchors = texts.mapInArrow(_anchors(length, gram), "_id long, _k long, gram long, stretch long, first long, more int")
-    # Round 1, with what round 2 needs to know: does the class hold one stretch or several?
-    classes = anchors.groupBy("gram").agg(F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("mixed")).where("n > 1").select("gram", "mixed")
-    path = shared_folder(spark, "anchors")
-    anchors.join(classes, "gram").write.parquet(path)
-    left = spark.read.schema("gram long, _id long, _k long, stretch long, first long, more int, mixed boolean").parquet(path)
-    # Round 2.
-    mixed = left.where("mixed")
-    stretches = mixed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_k", "first", "more")).alias("one"))
-    whole = left.where("not mixed").select("_id", "_k", "first", "more").unionByName(mixed.join(stretches.where("n > 1").select("gram", "stretch"), ["gram", "stretch"]).select("_id", "_k", "first", "more"))
-    # Round 3.
-    ranked = stretches.select("one.*", "gram", (F.col("n") == 1).alias("probe"))
-    lists = ranked.groupBy("_id", "_k").agg(F.collect_list(F.struct("first", "more", "gram", "probe")).alias("list"))
-    windows = texts.join(lists, ["_id", "_k"]).mapInArrow(_windows(length), "_id long, _k long, gram long, name long, at long")
-    path = shared_folder(spark, "windows")
-    windows.write.parquet(path)
-    windows = spark.read.schema("_id long, _k long, gram long, name long, at long").parquet(path)
-    twice = windows.groupBy("gram", "name").agg(F.count("*").alias("n"), F.max("at").alias("probed")).where("n > 1 and probed >= 0").select("gram", "name")
-    single = windows.where("at >= 0").join(twice, ["gram", "name"]).select("_id", "_k", F.col("at").alias("first"), F.lit(0).alias("more"))
-    gone = whole.unionByName(single).groupBy("_id", "_k").agg(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))).alias("_gone"))
+    anchors = texts.mapInArrow(_anchors(length, gram), "_id long, _k long, gram long, stretch long, first long, more int, off int").withColumn("probe", F.lit(True))
+    whole, left = _reranked(anchors, ["gram"], "stretch", ["_id", "_k", "first", "more", "off"], "anchors")
+    found = [whole.select("_id", "_k", "first", "more")]
+    lists = left.groupBy("_id", "_k").agg(F.collect_list(F.struct("gram", "first", "more", "off", "probe")).alias("list"))
+    excerpts = _stored(texts.join(lists, ["_id", "_k"]).mapInArrow(_excerpts(length), _EXCERPT), "borders")
+    ranges_of = excerpts.withColumn("list", F.array(F.struct(F.lit(0).alias("low"), F.col("more").alias("high"), "probe")))
+    for block in BLOCKS:
+        blocks = ranges_of.select("_id", "_k", "gram", "first", "off", "bytes", "list").mapInArrow(_blocks(length, block), _BLOCK)
+        whole, left = _reranked(blocks, ["gram", "place", "core"], "name", ["_id", "_k", "first", "low", "high"], f"blocks-{block}")
+        found.append(whole.select("_id", "_k", (F.col("first") + F.col("low")).alias("first"), (F.col("high") - F.col("low")).alias("more")))
+        lists = left.groupBy("_id", "_k", "gram", "first").agg(F.collect_list(F.struct("low", "high", "probe")).alias("list"))
+        ranges_of = excerpts.join(lists, ["_id", "_k", "gram", "first"])
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    gone = every.groupBy("_id", "_k").agg(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))).alias("_gone"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     all_docs = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], *[v.alias(k) for k, v in keys.items()])
     met = all_docs.join(gone, ["_id", "_k"], "left").select(*names, "_gone")
