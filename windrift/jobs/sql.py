@@ -118,5 +118,5 @@ m AS (SELECT session_id, venue, {", ".join(f'{value(n)} AS "{n}"' for n in names
 def table() -> str:
     """WITH ... of a CTE ``mt`` (session_id, venue, strategy, metric, value)."""
     rows = " UNION ALL ".join(f"""SELECT session_id, venue, strategy, '{n}' AS metric, "{n}" AS value FROM wide""" for n in CALIBRATED)
-    wide = ", ".join(f'{r(f"({MEASURES[n]})")} AS "{n}"' for n in CALIBRATED)
+    wide = ", ".join(f'({MEASURES[n]}) AS "{n}"' for n in CALIBRATED)
     return f"WITH {POINTS}, {features('fanned')}, wide AS MATERIALIZED (SELECT session_id, venue, strategy, {wide} FROM f4 GROUP BY session_id, venue, strategy), mt AS MATERIALIZED ({rows})"

@@ -106,7 +106,7 @@ SELECT session_id, {sql.r("CASE WHEN n >= 12 THEN num / den ELSE 0 END", 5)} AS
 
 
 # Calibration.
-add("a1_metric_table", table, f"{sql.table()} SELECT * FROM mt")
+add("a1_metric_table", lambda s, d: table(s, d).withColumn("value", rounded("value")), f"{sql.table()} SELECT * REPLACE ({sql.r('value')} AS value) FROM mt")
 _CUT = "SELECT metric, " + ", ".join(f"{sql.r(f'quantile_cont(value, {q})')} AS t{i}" for i, q in enumerate(calibration.PROBS)) + " FROM mt WHERE strategy = 'D' AND value IS NOT NULL GROUP BY metric HAVING count(*) >= 4"
 add("a2_thresholds", lambda s, d: calibration.thresholds(table(s, d)), f"{sql.table()} {_CUT}")
 add("a2b_quartile_thresholds", lambda s, d: calibration.thresholds(table(s, d), "E", calibration.QUARTILES), f"{sql.table()} SELECT metric, " + ", ".join(f"{sql.r(f'quantile_cont(value, {q})')} AS t{i}" for i, q in enumerate(calibration.QUARTILES)) + " FROM mt WHERE strategy = 'E' AND value IS NOT NULL GROUP BY metric HAVING count(*) >= 4")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrift.functions.values import before, circ_mean, circ_std, ordered, ratio, rounded, trailing, turn, whole
+from windrift.functions.values import before, circ_mean, circ_std, ordered, ratio, trailing, turn, whole
 
 MIN_POINTS = 20
 GUST_MS, MEAN_MS, SHIFT_MS = 300_000, 30_000, 120_000
@@ -162,7 +162,7 @@ def measure(points: DataFrame, names: Sequence[str], by: Sequence[str] = ("sessi
 def metric_table(fanned: DataFrame, names: Sequence[str] = CALIBRATED) -> DataFrame:
     """(session_id, venue, strategy, metric, value) for points that ``fan_out`` made."""
     wide = measure(fanned, names, ("session_id", "venue", "strategy"))
-    return wide.unpivot(["session_id", "venue", "strategy"], list(names), "metric", "value").withColumn("value", rounded("value"))
+    return wide.unpivot(["session_id", "venue", "strategy"], list(names), "metric", "value")
 
 
 def oscillation(points: DataFrame, time: str = "active_ms", max_lag: int = 300) -> DataFrame:
