@@ -30,8 +30,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with ``ids``, and ``decoded``, the text that the ids stand for."""
-    coded = bpe.encode(docs, bpe.default_vocabulary(), digests=False)
-    return bpe.decode(coded, bpe.default_vocabulary())
+    return bpe.encode(docs, bpe.default_vocabulary(), digests=False)
 
 
 STAGES = [("quality", keep_good), ("near-duplicates", one_of_each), ("decontamination", decontaminate), ("personal data", redact), ("tokens", tokens)]

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 #: Odd multipliers of the two polynomial hashes, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[tuple[int, bool], np.ndarray] = {}

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 
@@ -25,6 +26,8 @@ from .storage import wider
 from .words import WordCoder
 
 END = "</w>"
+#: Ids that are decoded at once.
+IDS = 1 << 18
 _COMPOSED = Sequence([NFC(), Lowercase()])
 _BEYOND_LATIN = re.compile("[\u0300-\U0010ffff]").search
 
@@ -63,16 +66,23 @@ class Backtracker:
         self.shorter = {}
         for s, i in own.items():
             self.shorter[i] = next((own[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in own), None)
-        self.tokens = ahocorasick.Automaton()
-        for s, i in own.items():
-            self.tokens.add_word(s, (i, len(s)))
-        self.tokens.make_automaton()
+        self.own, self._tokens = own, None
         self.fits: dict[tuple[int, int], bool] = {}
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         count = max(names) + 1
         self.text = OffsetTable([names.get(i, "").encode() for i in range(count)])
         self.decimal = OffsetTable([str(i).encode() for i in range(count)])
 
+    @property
+    def tokens(self) -> ahocorasick.Automaton:
+        """Built where a text is encoded; decoding does without."""
+        if self._tokens is None:
+            self._tokens = ahocorasick.Automaton()
+            for s, i in self.own.items():
+                self._tokens.add_word(s, (i, len(s)))
+            self._tokens.make_automaton()
+        return self._tokens
+
     def compatible(self, left: int, right: int) -> bool:
         """Do the merges of the joined text end with just ``left`` and ``right``?
 
@@ -145,6 +155,15 @@ class OffsetTable:
         """The tokens of ``ids`` with one blank between."""
         return self.bytes[ranges(self.start[ids], self.size[ids])].tobytes()[:-1]
 
+    def texts(self, ids: np.ndarray, count: np.ndarray) -> pa.StringArray:
+        """The same for many rows at once, of ``count`` ids each."""
+        size = self.size[ids]
+        end = np.cumsum(count)
+        size[end[count > 0] - 1] -= 1  # no blank after a row's last token
+        total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], end))].astype(np.int32)
+        data = self.bytes[ranges(self.start[ids], size)].tobytes()
+        return pa.StringArray.from_buffers(len(count), pa.py_buffer(total), pa.py_buffer(data))
+
 
 _coders: dict[str, tuple[Backtracker, WordCoder]] = {}
 
@@ -187,13 +206,15 @@ def encode_rows(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(docs: DataFrame, vocabulary: str, digests: bool = True) -> DataFrame:
-    """``docs`` with ``ids`` array<int>; with ``digests`` instead n_tokens, ids_sha256 and decoded_sha256.
+    """``docs`` with ``ids`` array<int> and ``decoded``; with ``digests`` instead n_tokens, ids_sha256 and decoded_sha256.
 
-    A null text is encoded like an empty one. Special tokens in a text become their ids.
+    A null text is encoded like an empty one. Special tokens in a text become their ids. Input columns of any of
+    these names are replaced.
     """
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
-    more = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
+    more = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back, _ = coder(vocabulary)
@@ -204,24 +225,31 @@ def encode(docs: DataFrame, vocabulary: str, digests: bool = True) -> DataFrame:
                 spans = list(zip((end - count).tolist(), end.tolist(), strict=True))
                 new = [pa.array(count), *(pa.array([hashlib.sha256(table.joined(ids[a:b])).hexdigest() for a, b in spans]) for table in (back.decimal, back.text))]
             else:
-                new = [list_array(ids, count, pa.int32())]
+                new = [list_array(ids, count, pa.int32()), back.text.texts(ids, count)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *more])
 
     df = docs.toDF(*names)
-    types = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>"]
+    types = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>", "decoded string"]
     return df.mapInArrow(run, wider(df, *types)).toDF(*docs.columns, *more)
 
 
 def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     """``rows`` with ``decoded``: the tokens of ``ids`` with one blank between; null ids give an empty text."""
+    rows = rows.drop("decoded")
     names = [f"c{i}" for i in range(len(rows.columns))]
     ids = names[rows.columns.index("ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back, _ = coder(vocabulary)
-        for batch in batches:
-            texts = [back.text.joined(np.array(x or [], np.int64)).decode() for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+        for whole in batches:
+            count = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            end, at = np.cumsum(count), 0
+            while at < whole.num_rows:  # some rows at a time, at most IDS ids or one row
+                stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + IDS, "right")))
+                batch = whole.slice(at, stop - at)
+                flat = batch.column(ids).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, back.text.texts(flat, count[at:stop])], names=[*names, "decoded"])
+                at = stop
 
     df = rows.toDF(*names)
     return df.mapInArrow(run, wider(df, "decoded string")).toDF(*rows.columns, "decoded")
