@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, prefix_hash, slices, span_hash, split_runs, utf8
+from .storage import aside
 
 WINDOW = 13
 #: Bytes of item texts that are broadcast at once.
@@ -152,8 +153,9 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id
 
     hits are the numbers of the words (from 0) inside any occurrence of a test string, items the ids
     of the items with such strings, sorted as strings. A null or empty text has no words. Equal items are searched
-    once; an item without words never occurs; hits of an item whose id is null count, but it is in no list.
+    once; an item without words never occurs; hits of an item whose id is null count, but it is in no list. An input column ``decontam`` is replaced.
     """
+    docs = docs.drop("decontam")
     spark = docs.sparkSession
     carry = [f"c{i}" for i in range(len(docs.columns))]
     df = docs.toDF(*carry).withColumns({"_text": F.col(carry[docs.columns.index(text)]), "_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
@@ -170,8 +172,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with the columns of ``docs``."""
-    found = search(docs, benchmark, **options)
-    return found.where(~F.col("decontam.contaminated")).select(*docs.columns)
+    plain, restored = aside(docs, options.get("text", "text"))
+    return restored(search(plain, benchmark, **options).where(~F.col("decontam.contaminated")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

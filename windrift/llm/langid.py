@@ -106,8 +106,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
-    A null text and one without any letter are ``und`` with score 0, and so is all if no language was learned.
+    A null text and one without any letter are ``und`` with score 0, and so is all if no language was learned. Input columns of these names are replaced.
     """
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]

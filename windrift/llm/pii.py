@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .storage import wider
+from .storage import aside, wider
 
 #: Kinds in the order of output; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "account", "iban", "secret", "userinfo")
@@ -147,6 +147,7 @@ def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 
 def _mapped(docs: DataFrame, clean: bool) -> DataFrame:
+    docs = docs.drop("pii")
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
 
@@ -166,14 +167,15 @@ def _mapped(docs: DataFrame, clean: bool) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii``, the spans of ``text``. Null and empty texts have none."""
+    """``docs`` with ``pii``, the spans of ``text``. Null and empty texts have none. An input column ``pii`` is replaced."""
     return _mapped(docs, False)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind; a null text stays null. ``n_chars``, if present, is counted anew."""
-    out = _mapped(docs, True).drop("pii")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    plain, restored = aside(docs, "text", "n_chars")
+    out = _mapped(plain, True)
+    return restored(out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out)
 
 
 def digest(spans: Column) -> Column:

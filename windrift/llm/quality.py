@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import gram_counts, prefix_hash, slices, span_hash, split_runs, utf8
-from .storage import wider
+from .storage import aside, wider
 
 DIM = 2048
 SAMPLE = 4000
@@ -195,8 +195,9 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, de
 def score(docs: DataFrame, model: Scorer) -> DataFrame:
     """``docs`` with ``weak_label`` (the label model's posterior) and ``quality`` (the scorer's probability of good).
 
-    A null or empty text has no votes for bad and gets the scores of an empty text.
+    A null or empty text has no votes for bad and gets the scores of an empty text. Input columns of these names are replaced.
     """
+    docs = docs.drop("weak_label", "quality")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
@@ -215,7 +216,8 @@ def score(docs: DataFrame, model: Scorer) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a quality of ``threshold`` or more, with the columns of ``docs``."""
-    return score(docs, fit(docs)).where(F.col("quality") >= threshold).select(*docs.columns)
+    plain, restored = aside(docs, "doc_id", "text")
+    return restored(score(plain, fit(plain)).where(F.col("quality") >= threshold))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices, utf8
-from .storage import settle, wider
+from .storage import aside, settle, wider
 
 SHINGLE = 4
 BITS = 4
@@ -48,7 +48,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``simhash`` long (the fingerprint's bits). A null text has no words, so its fingerprint is zero."""
+    """``docs`` with ``simhash`` long (the fingerprint's bits). A null text has no words, so its fingerprint is zero. An input column ``simhash`` is replaced."""
+    docs = docs.drop("simhash")
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
 
@@ -126,7 +127,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
 
     Rows that share that id are told apart by their text's hash, and of rows alike in both any one stays.
     """
-    columns = docs.columns
+    docs, restored = aside(docs, "doc_id", "text")
     docs = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
     prints = settle(fingerprints(docs.select("doc_id", "_h", "text"), shingle).select("doc_id", "_h", "simhash"))
     roots = components(links(nodes := prints.select("simhash").distinct(), bits))
@@ -134,7 +135,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     best = prints.groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h")).alias("k"))
     kept = best.join(rooted, "simhash").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_k"))
     stay = docs.join(kept, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_h"]).select(*columns)
+    return restored(stay.dropDuplicates(["doc_id", "_h"]))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -28,6 +30,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its other columns under names that clash with nothing, and what gives them their names back."""
+    names = [c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def wider(df: DataFrame, *columns: str) -> StructType:
     """The schema of ``df`` with more columns, each as "name type"."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(columns)).fields])

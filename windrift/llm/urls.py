@@ -79,8 +79,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url", rules=
     """``pages`` with ``verdict`` struct<host, path, rule, verdict, listed>.
 
     ``listed`` has one column of urls (nulls and repeats are fine). Where no rule fits, a page whose canonical URL is listed is blocked
-    and any other is allowed.
+    and any other is allowed. An input column ``verdict`` is replaced.
     """
+    pages = pages.drop("verdict")
     names = [f"c{i}" for i in range(len(pages.columns))]
     df = pages.toDF(*names)
     link = F.col(names[pages.columns.index(url)])
