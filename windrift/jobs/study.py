@@ -9,7 +9,8 @@ from windrift.functions.values import rounded
 from windrift.jobs import sql, wind
 from windrift.jobs.registry import add
 from windrift.operators import clusters as C
-from windrift.operators import daytype, metrics, points
+from windrift.operators import metrics, points
+from windrift.sources import adapters, files
 from windrift.streaming import live
 
 #: A measure for each feature of a session, and how the study calls it.
@@ -143,3 +144,28 @@ add("r6_horizon_stability", _horizons, f"""WITH {sql.POINTS}, src AS (SELECT f.*
 m AS (SELECT session_id, h, coalesce({sql.r('(' + sql.MEASURES['iqrRatio'] + ')')}, 0.6e0) AS i, coalesce({sql.r('(' + sql.MEASURES['detrendedCircularStdDev'] + ')')}, 60e0) AS c FROM f4 GROUP BY session_id, h),
 d AS (SELECT session_id, h, (i >= 0.612e0)::INT * 2 + (c >= 69.4e0)::INT AS k FROM m)
 SELECT a.h AS minutes, count(*) AS sessions, count(*) FILTER (WHERE a.k = b.k) AS agree, {sql.r('(count(*) FILTER (WHERE a.k = b.k)) / count(*) * 100', 2)} AS percent FROM d a JOIN d b ON b.session_id = a.session_id AND b.h = 0 WHERE a.h > 0 GROUP BY a.h""")
+
+
+# Stored results.
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+    rows = points.expect_sessions(points.normalise_points(adapters.raw_points(spark, sf_dir)), users)
+    return rows.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fanned = points.fan_out(wind.clean_points(spark, sf_dir), ("A", "E"))
+    path = files.scratch_folder(spark, "measures")
+    files.write_metrics(metrics.metric_table(fanned, ("cv", "iqrRatio")), path)
+    return files.read_metrics(spark, path).select("session_id", rounded("cv").alias("cv"), rounded("iqrRatio").alias("iqrRatio"))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch_folder(spark, "results")
+    files.write_results({"facts": points.session_facts(wind.clean_points(spark, sf_dir))}, path)
+    return spark.read.parquet(f"{path}/facts").select("session_id", "venue", "points", "minutes")
+
+
+add("s2_expect_sessions", _expected, f"WITH {sql.POINTS} SELECT session_id, count(*) AS n FROM clean GROUP BY session_id")
+add("s3_read_metrics", _read_back, sql.measure(["cv", "iqrRatio"]) + ' SELECT session_id, cv, "iqrRatio" FROM m')
+add("s4_write_results", _written, f"WITH {sql.POINTS} SELECT session_id, venue, count(*) AS points, {sql.r('(max(t_ms) - min(t_ms)) / 60000', 2)} AS minutes FROM points GROUP BY session_id, venue")

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share (spark.checkpoint.dir); one of its own only where that is unset."""
+    context = spark.sparkContext
+    if not (top := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        top = context.getCheckpointDir()
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, line_no, line) of text files, one session a file named after it; blank lines go but count.
 
