@@ -3,7 +3,7 @@
 Every text is bytes; a string of ``LENGTH`` bytes that starts at more than one place is removed wherever it stands.
 Plain prefix doubling sorts a row for each byte in every round. Here only anchors take part: the anchor of a
 ``LENGTH``-byte window is the place of its smallest hash of ``GRAM`` bytes, a function of the window's bytes
-alone, so equal windows have equal anchors at equal offsets; neighbouring windows share one, about every 84th byte is one.
+alone, so equal windows have equal anchors at equal offsets; neighbouring windows share one, and about one byte in 70 to 85 is one.
 Ranks are names of equality classes at growing lengths, and what is alone in its class leaves:
 
 1. ``GRAM`` bytes at the anchor. Windows of an anchor that is alone in its class are unique.
@@ -167,9 +167,12 @@ def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], stor
     goes on: a probe is still in question, a partner is only compared with.
     """
     classes = rows.groupBy(*key).agg(F.count("*").alias("n"), (F.min(name) != F.max(name)).alias("mixed"), F.max("probe").alias("asked")).where("n > 1 and asked").select(*key, "mixed")
+    # Read from a table, the classes come to the join through a shuffle of their own, and Spark can split the keys that are hot.
+    classes = _stored(classes, f"{store}-classes")
     left = _stored(rows.join(classes, key).select(*place, *key, name, "probe", "mixed"), store)
     mixed = left.where("mixed")
     names = mixed.groupBy(*key, name).agg(F.count("*").alias("n"), F.min(F.struct(*place, "probe")).alias("one"))
+    names = _stored(names, f"{store}-names")
     again = mixed.where("probe").join(names.where("n > 1").select(*key, name), [*key, name])
     whole = left.where("probe and not mixed").select(*place).unionByName(again.select(*place))
     return whole, names.select("one.*", *[k for k in key if k not in place], (F.col("n") == 1).alias("alone")).withColumn("probe", F.col("probe") & F.col("alone")).drop("alone")
