@@ -205,9 +205,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``docs`` with n_bytes, n_removed, spans array<array<long>> (start and end of each removed run), kept_sha256 and kept.
 
     ``docs`` has doc_id and text. Matches do not cross documents; a null text is empty and loses nothing. Rows alike in
-    doc_id and text repeat each other. ``kept`` is the rest as text, without characters that a cut has halved;
+    doc_id and text repeat each other. ``kept`` is the rest as text, without characters that a cut has halved (input columns of these names are replaced);
     the digest is of the bytes. Strings are named by two 64-bit hashes.
     """
+    docs = docs.drop("n_bytes", "n_removed", "spans", "kept_sha256", "kept")
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k": F.xxhash64("doc_id", "text")}
     texts = docs.select(keys["_id"].alias("_id"), keys["_k"].alias("_k"), F.col("text").alias("_text"))
     anchors = texts.mapInArrow(_anchors(length, gram), "_id long, _k long, gram long, stretch long, first long, more int, off int").withColumn("probe", F.lit(True))
