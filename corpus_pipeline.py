@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrift.llm import bpe, decontam, pii, quality, simhash
+from windrift.llm import bpe, decontam, minhash, pii, quality
 from windrift.llm.storage import shared_folder
 
 
@@ -14,8 +14,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (SimHash of four-word shingles, four bits) the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates (five-word shingles with a Jaccard index of 0.8 or more) the smallest doc_id stays."""
+    return minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,143 @@
+"""Near-duplicates by the Jaccard index of word shingles: MinHash bands find candidates, the shingle sets decide.
+
+A node is a distinct set of shingles, so copies cost one row. Each node has ``BANDS`` keys of ``ROWS`` minima each;
+two nodes of likeness j share a key with the probability 1 - (1 - j^ROWS)^BANDS, which is 0.99993 at 0.8 and more above. Nodes that share
+a key are compared by their whole sets, so no pair below the limit is linked. To keep large groups linear,
+the nodes of a key are first compared with one of them, another for each key; what these links do not join is compared pair by pair.
+Sets of which one is less than 0.8 of the other's size are passed over: they cannot be alike.
+"""
+
+from __future__ import annotations
+
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .arrays import list_array, mix, prefix_hash, slices, span_hash, split_runs, utf8
+from .simhash import components
+from .storage import aside, settle
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 24, 5
+#: Pairs of a node that may be compared one by one; above it, another round with one node of each key goes before.
+PAIRS = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_rng = np.random.default_rng(11)
+_ADD, _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64), _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, and how many it has. Fewer words than ``shingle``: one shingle of them all; none: nothing."""
+    low = _LOWER[data]
+    start, end, first = split_runs(~_BLANK[low], offsets)
+    word = span_hash(prefix_hash(low), start, end)
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(word)) - first[:-1][row]
+    total = np.zeros(len(word), np.uint64)
+    for j in range(shingle):
+        inside = place + j < n[row]
+        total[inside] += word[np.flatnonzero(inside) + j] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+    whole = (place + shingle <= n[row]) | (place == 0)
+    row, total = row[whole], mix(total[whole])
+    order = np.lexsort((total, row))
+    row, total = row[order], total[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (total[1:] != total[:-1])
+    return total[new], np.bincount(row[new], minlength=len(n))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        values, count = shingle_sets(*utf8(batch.column("text")), shingle)
+        node, some = np.zeros(len(count), np.uint64), count > 0
+        begin = (np.cumsum(count) - count)[some]
+        keys = np.zeros((int(some.sum()), BANDS), np.uint64)
+        if len(begin):
+            node[some] = mix(np.add.reduceat(mix(values), begin) + count[some].astype(np.uint64))
+            for b in range(BANDS):
+                for i in range(b * ROWS, (b + 1) * ROWS):
+                    keys[:, b] = mix(keys[:, b] + np.minimum.reduceat((values ^ _ADD[i]) * _TIMES[i], begin))
+        columns = [batch.column(n) for n in ("doc_id", "_h")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(node.view(np.int64)), pa.array(count, pa.int32()), list_array(keys.ravel().view(np.int64), some * BANDS, pa.int64())], names=["doc_id", "_h", "node", "size", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        values, count = shingle_sets(*utf8(batch.column("text")), shingle)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), list_array(values.view(np.int64), count, pa.int64())], names=["node", "shingles"])
+
+
+def _freed(docs: DataFrame) -> None:
+    """Shuffles and checkpoints that nothing refers to any more leave the disk with the JVM's garbage."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard index of ``least`` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def joined(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Roots (node, root) of the nodes with links; see the module."""
+    postings = nodes.select("node", "size", F.explode("bands").alias("key"))
+    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    postings = settle(postings.join(shared, "key"))
+    ends = nodes.join(postings.select("node").distinct(), "node").select("node", F.col("k._h").alias("_h"))
+    texts = docs.select("_h", "text").join(ends, "_h").dropDuplicates(["node"]).select("node", "text")
+    sets = settle(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"))
+    del texts, ends, shared
+    total = nodes.count()
+    alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+    found, roots, done, turn = None, None, None, 0
+    while True:
+        _freed(docs)
+        rooted = postings.withColumn("root", F.col("node")) if roots is None else settle(postings.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+        # Keys whose nodes are not all joined yet, and the pairs across their groups.
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        apart = sizes.where("n * n > own")
+        across = apart.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        open_ = rooted.join(apart.select("key"), "key")
+        last = across <= PAIRS * total or done is not None and done.isEmpty()
+        if last:
+            left, right = open_.alias("l"), open_.alias("r")
+            pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & alike(F.col("l.size"), F.col("r.size"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        else:
+            one = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), "node", "root", "size")).alias("m"))
+            pairs = open_.join(one, "key").where((F.col("root") != F.col("m.root")) & alike(F.col("size"), F.col("m.size"))).select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
+        pairs = settle(pairs.distinct())
+        _freed(docs)
+        done = settle(_verified(pairs, sets, least))
+        found, turn = done if found is None else found.union(done), turn + 1
+        if last:
+            del pairs, open_, rooted, postings, sets, sizes, apart
+            _freed(docs)
+            return components(found)
+        roots = settle(components(found))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``docs`` with one document of each group that links of a likeness of ``least`` or more join: the one with the smallest doc_id (a null one last).
+
+    Rows that share that id are told apart by their text's hash, and of rows alike in both any one stays. Texts without words are alike.
+    """
+    docs, restored = aside(docs, "doc_id", "text")
+    docs = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    signed = docs.select("doc_id", "_h", "text").mapInArrow(lambda batches: _signatures(batches, shingle), "doc_id long, _h long, node long, size int, bands array<long>")
+    nodes = settle(signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("k"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    roots = joined(nodes, docs, shingle, least)
+    rooted = nodes.join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_k"))
+    stay = docs.join(kept, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return restored(stay.dropDuplicates(["doc_id", "_h"]))
