@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from windrift.llm import quality
 
 
 def _shingles(text, n=5):
@@ -38,3 +39,13 @@ def test_pipeline_drops_near_copies(spark):
     want = _roots(texts)
     assert len(want) < 90
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, rows, "").collect()} == want
+
+
+def test_repeated_words_of_long_texts():
+    rng = np.random.default_rng(6)
+    plain = " ".join(f"w{x}" for x in rng.integers(0, 3000, 5000))
+    texts = ["a b c d. " * n for n in (150, 250, 1000, 5000)] + [plain]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = [x[0] for x in quality.LABELLERS].index("repeated_words")
+    stats = quality.statistics(data, np.cumsum([0, *map(len, texts)]))
+    assert quality.votes(stats)[:, at].tolist() == [0, 0, 0, 0, 2]

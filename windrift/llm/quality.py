@@ -23,6 +23,8 @@ from .storage import aside, wider
 DIM = 2048
 SAMPLE = 4000
 _ROWS = 256
+#: Words of a window in which repeated words are counted; a longer text has several of equal length.
+WINDOW = 600
 _BYTES = np.arange(256)
 _UPPER, _DIGIT = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 48) & (_BYTES <= 57)
 _ALPHA = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
@@ -60,9 +62,11 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     full = np.concatenate(([0], np.cumsum((data == 46) | (data == 63))))
     twice = np.zeros(len(word), bool)
     twice[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-    order = np.lexsort((word, row))
+    windows = -(-words // WINDOW)
+    window = (np.cumsum(windows) - windows)[row] + (np.arange(len(word)) - first[:-1][row]) * windows[row] // words[row]
+    order = np.lexsort((word, window))
     seen = np.zeros(len(word), bool)
-    seen[1:] = (word[order][1:] == word[order][:-1]) & (row[order][1:] == row[order][:-1])
+    seen[1:] = (word[order][1:] == word[order][:-1]) & (window[order][1:] == window[order][:-1])
     ls, le, lf = split_runs(data != 10, offsets)
     lrow, lh = np.repeat(np.arange(len(size)), np.diff(lf)), span_hash(prefix, ls, le)
     lo = np.lexsort((lh, lrow))
@@ -77,7 +81,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         _per_row(_DIGIT[data], offsets) / np.maximum(size, 1) * some,
         _per_row(end - start, first) / words * some,
         _per_row(marks[end] - marks[start] > 0, first) / words * some,
-        _per_row(seen, first) / words * some * np.minimum(1, 600 / words),
+        _per_row(seen, first) / words * some,
         _per_row(twice, first) / words * some,
         _per_row(lseen, lf) / lines * np.minimum(1, lines / 6),
         (1 - _per_row(full[end] - full[start] > 0, first) / words) * some,
