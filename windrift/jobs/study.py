@@ -105,7 +105,7 @@ add("c12_top_cluster", lambda s, d: C.top_cluster(C.group_distribution(labelled(
 add("c13_pca", lambda s, d: C.pca(standardised(s, d), FEATURES, "session_id"))
 add("c14_c15_tree_rules", lambda s, d: C.tree_rules(C.surrogate_tree(lab := labelled(s, d), FEATURES), lab, FEATURES))
 add("c16_linkage", lambda s, d: C.linkage(standardised(s, d), FEATURES))
-add("c17_run_summary", lambda s, d: C.run_summary(C.k_scan(standardised(s, d), FEATURES, (2, 3, 4)), C.score_archetypes(_axes(s, d))))
+add("c17_run_summary", lambda s, d: C.run_summary(C.k_scan(standardised(s, d), FEATURES), C.score_archetypes(_axes(s, d))))
 
 
 # Streams, run over tables.
