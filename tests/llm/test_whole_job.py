@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from windrift.llm import quality
+from windrift.jobs import registry, study
+from windrift.llm import quality, syncmers
 
 
 def _shingles(text, n=5):
@@ -49,3 +51,34 @@ def test_repeated_words_of_long_texts():
     at = [x[0] for x in quality.LABELLERS].index("repeated_words")
     stats = quality.statistics(data, np.cumsum([0, *map(len, texts)]))
     assert quality.votes(stats)[:, at].tolist() == [0, 0, 0, 0, 2]
+
+
+def test_run_summary_scans_two_to_six(spark, monkeypatch):
+    rows = [(f"s{i}_{i % 6}.txt", "v", *[10.0 * (j % 6 == i % 6) + 0.01 * (i // 6) for j in range(len(study.FEATURES))]) for i in range(60)]
+    blobs = spark.createDataFrame(rows, ["session_id", "venue", *study.FEATURES]).cache()
+    monkeypatch.setattr(study, "standardised", lambda s, d: blobs)
+    assert registry.QUERIES["c17_run_summary"](spark, "").first().best_k == 6
+
+
+def _like(spark, a, b):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(syncmers.fingerprint(syncmers.syncmers(F.col("a"))).alias("f"), syncmers.likeness(*[syncmers.hashes(syncmers.syncmers(F.col(c))) for c in "ab"]).alias("x")).first()
+    return row.f, row.x
+
+
+def test_syncmers_of_the_whole_text(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 20_000)]
+    edited = [*words[:9000], *[f"new{i}" for i in range(100)], *words[9100:]]
+    print_, like = _like(spark, " ".join(words), " ".join(edited))
+    assert 0.98 < like < 1 and len(print_) % 24 == 0 and len(print_) > 24 * 6000
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x y z"] + words[5000:5100]))], "doc_id long, text string")
+    found = syncmers.matches(df.where("doc_id = 1"), df.where("doc_id = 2")).collect()
+    assert len(found) > 20 and {r.position_a - r.position_b for r in found} == {4997}
+
+
+def test_syncmers_of_text_without_blanks(spark):
+    rng = np.random.default_rng(9)
+    for low, high in ((0x4E00, 0x9FFF), (0x3041, 0x3096), (0x0E01, 0x0E2E), (97, 122)):
+        text = "".join(map(chr, rng.integers(low, high, 400)))
+        other = text[:200] + "".join(map(chr, rng.integers(low, high, 200)))
+        assert 0.2 < _like(spark, text, other)[1] < 0.5

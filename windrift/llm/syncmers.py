@@ -3,8 +3,8 @@
 The letters of a k-mer are words (runs of letters and digits) and single other marks, so the anchors do not move with white space.
 A k-mer of ``K`` of them is a closed syncmer if the smallest hash of its inner s-mers (two each) stands at its first
 or last place; that depends on the k-mer alone, so an edit changes anchors only around itself. The fingerprint
-keeps the ``SIZE`` smallest distinct anchor hashes of the whole text. The likeness of two is the share of
-the smallest ``SIZE`` of their union that both have, an estimate of the Jaccard index of the anchors.
+holds all anchors of the text with their positions. The likeness of two is the Jaccard index of their distinct
+anchors: those that match, over those of either. ``matches`` gives the positions of the anchors that match.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2
-SIZE = 64
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
 #: Ranges of ids that neighbours are looked up in: quantiles, each cut into equal widths.
 QUANTILES, WIDTHS = 256, 64
@@ -37,47 +36,55 @@ def _anchor(s: Column, i: Column) -> Column:
     return F.when(F.least(first, last) <= inner, F.xxhash64(first, F.get(s, i + S), last))
 
 
-def syncmers(text: Column) -> Column:
-    """array<struct<position, hash>>: the closed syncmers of a text, positions in tokens; for positional matching."""
-    def of(s: Column) -> Column:
-        at = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - K, F.lit(0))), lambda i: F.struct(i.alias("position"), _anchor(s, i).alias("hash")))
-        return F.filter(at, lambda a: a.hash.isNotNull() & (F.size(s) >= K))
-
-    return _let(_token_hashes(F.coalesce(text, F.lit(""))), lambda tokens: _let(_smer_hashes(tokens), of))
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sketch(text: Column) -> Column:
-    """The smallest distinct anchor hashes, sorted. Fewer than K tokens: the hash of them all; none: that of the text; empty or null: nothing."""
+def syncmers(text: Column) -> Column:
+    """array<struct<position, hash>>: the closed syncmers of a text, positions in tokens. Fewer than K tokens: the hash of them all; none: that of the text; empty or null: nothing."""
+    def one(h: Column) -> Column:
+        return F.array(F.struct(F.lit(0).alias("position"), h.alias("hash")))
+
     def of(tokens: Column) -> Column:
         def anchors(s: Column) -> Column:
-            found = F.transform(F.sequence(F.lit(0), F.size(s) - K), lambda i: _anchor(s, i))
-            return F.slice(F.array_distinct(F.sort_array(F.array_compact(found))), 1, SIZE)
+            at = F.transform(F.sequence(F.lit(0), F.size(s) - K), lambda i: F.struct(i.alias("position"), _anchor(s, i).alias("hash")))
+            return F.filter(at, lambda a: a.hash.isNotNull())
 
-        short = F.when(F.size(tokens) > 0, F.array(F.xxhash64(tokens))).when(text != "", F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+        none = F.filter(one(F.lit(0).cast("long")), lambda a: F.lit(False))
+        short = F.when(F.size(tokens) > 0, one(F.xxhash64(tokens))).when(text != "", one(F.xxhash64(text))).otherwise(none)
         return F.when(F.size(tokens) >= K, _let(_smer_hashes(tokens), anchors)).otherwise(short)
 
     return _let(_token_hashes(F.coalesce(text, F.lit(""))), of)
 
 
-def fingerprint(hashes: Column) -> Column:
-    """A sketch as text: 16 hex digits for each hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+def fingerprint(anchors: Column) -> Column:
+    """Anchors as text: 24 hex digits for each, 8 of the position and 16 of the hash."""
+    return F.array_join(F.transform(anchors, lambda a: F.concat(F.lpad(F.hex(a.position), 8, "0"), F.lpad(F.hex(a.hash), 16, "0"))), "")
+
+
+def hashes(anchors: Column) -> Column:
+    """The distinct hashes of anchors."""
+    return F.array_distinct(F.transform(anchors, lambda a: a.hash))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; two empty sketches are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, 1.0).otherwise(shared / F.greatest(F.size(union), F.lit(1)))
+    """0 to 1 of two lists of distinct hashes; two empty ones are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, 1.0).otherwise(shared / F.greatest(union, F.lit(1)))
+
+
+def matches(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, position_a, b, position_b): every anchor of a text in ``left`` with each equal one of a text in ``right``."""
+    def at(df: DataFrame, n: str) -> DataFrame:
+        return df.select(F.col(key).alias(n), F.inline(syncmers(F.col(text)))).withColumnRenamed("position", f"position_{n}")
+
+    return at(left, "a").join(at(right, "b"), "hash").select("a", "position_a", "b", "position_b")
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) with ``_next``, a struct of text and sketch of the next in descending doc_id, the first after the last; and its own ``_sketch``.
+    """Each row of ``docs`` (doc_id, text) with ``_next``, a struct of text and anchor hashes of the next in descending doc_id, the first after the last; and its own ``_anchors``.
 
     Ids are cut into many ranges, from their quantiles. The head of each range is also sent to the range before it, so one
     shuffle by range and a window inside each range find every neighbour. Ties go by the hash of the text; null ids come last.
@@ -106,9 +113,9 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     guest = F.array(F.struct(F.col("_guest").alias("r"), F.when(F.col("_wrap"), 2).otherwise(1).alias("g")))
     spread = joined_up.select("doc_id", "text", F.explode(F.when(is_head, F.concat(spots, guest)).otherwise(spots)).alias("s")).select("doc_id", "text", "s.r", "s.g")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.repartition(max(n, int(total // (8 * rows)) + 1), "r").withColumn("_sketch", sketch(F.col("text")))
+    dealt = spread.repartition(max(n, int(total // (8 * rows)) + 1), "r").withColumn("_anchors", syncmers(F.col("text")))
     following = Window.partitionBy("r").orderBy("g", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    return dealt.withColumn("_next", F.lead(F.struct("text", F.col("_sketch").alias("sketch"))).over(following)).where("g = 0")
+    return dealt.withColumn("_next", F.lead(F.struct("text", hashes(F.col("_anchors")).alias("hashes"))).over(following)).where("g = 0")
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +123,9 @@ def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("_next.text"), F.lit(1), half))
-    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "_sketch", F.col("_next.sketch").alias("_next"))
-    rows = rows.withColumns({"_edited": sketch(F.col("edited"))})
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("_sketch")).alias("fingerprint"), fingerprint(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("_sketch"), F.col("_edited")).alias("near_edited"), likeness(F.col("_sketch"), F.col("_next")).alias("near_next"))
+    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "_anchors", F.col("_next.hashes").alias("_next"))
+    rows = rows.withColumns({"_edited": syncmers(F.col("edited")), "_own": hashes(F.col("_anchors"))})
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("_anchors")).alias("fingerprint"), fingerprint(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("_own"), hashes(F.col("_edited"))).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"))
 
 
 QUERIES = {"op5_syncmers": op5_syncmers}
