@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, with DataFrame functions alone.
 
 The letters of a k-mer are words (runs of letters and digits) and single other marks, so the anchors do not move with white space.
+In scripts without blanks between words, and in runs of more than ``LONG`` letters and digits, each character is a letter of its own.
 A k-mer of ``K`` of them is a closed syncmer if the smallest hash of its inner s-mers (two each) stands at its first
 or last place; that depends on the k-mer alone, so an edit changes anchors only around itself. The fingerprint
 holds all anchors of the text with their positions. The likeness of two is the Jaccard index of their distinct
@@ -13,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2
-TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
+LONG = 24
+#: Thai, Lao, Burmese, Khmer, Chinese and Japanese: no blanks between words.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]+|[{_UNSPACED}]|[^\p{{L}}\p{{M}}\p{{N}}\s]"
 #: Ranges of ids that neighbours are looked up in: quantiles, each cut into equal widths.
 QUANTILES, WIDTHS = 256, 64
 #: Aimed-at documents of a range.
@@ -21,7 +25,11 @@ ROWS = 2000
 
 
 def _token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda t: F.xxhash64(t))
+    def cut(tokens: Column) -> Column:
+        long = F.exists(tokens, lambda t: F.char_length(t) > LONG)
+        return F.when(long, F.flatten(F.transform(tokens, lambda t: F.when(F.char_length(t) > LONG, F.split(t, "(?!^)")).otherwise(F.array(t))))).otherwise(tokens)
+
+    return F.transform(_let(F.regexp_extract_all(text, F.lit(TOKEN), 0), cut), lambda t: F.xxhash64(t))
 
 
 def _smer_hashes(tokens: Column) -> Column:
