@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import inspect
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from windrift.jobs import registry, study
 from windrift.llm import quality, syncmers
+from windrift.operators import clusters
 
 
 def _shingles(text, n=5):
@@ -82,3 +85,8 @@ def test_syncmers_of_text_without_blanks(spark):
         text = "".join(map(chr, rng.integers(low, high, 400)))
         other = text[:200] + "".join(map(chr, rng.integers(low, high, 200)))
         assert 0.2 < _like(spark, text, other)[1] < 0.5
+
+
+def test_restarts_are_those_of_the_survey():
+    starts = [len(inspect.signature(f).parameters["seeds"].default) for f in (clusters.kmeans_best, clusters.k_scan)]
+    assert starts == [24, 12]

@@ -74,7 +74,7 @@ def _vector(names: Sequence[str] | str) -> Column:
     return array_to_vector(F.col(names) if isinstance(names, str) else F.array(*names)).alias("features")
 
 
-def kmeans_best(z: DataFrame, names: Sequence[str] | str, k: int = 4, seeds: Sequence[int] = (1, 2, 3), max_iter: int = 60):
+def kmeans_best(z: DataFrame, names: Sequence[str] | str, k: int = 4, seeds: Sequence[int] = range(1, 25), max_iter: int = 60):
     """The model with the smallest cost of several starts."""
     rows = z.select(_vector(names)).cache()
     models = [KMeans(k=k, seed=s, maxIter=max_iter).fit(rows) for s in seeds]
@@ -82,7 +82,7 @@ def kmeans_best(z: DataFrame, names: Sequence[str] | str, k: int = 4, seeds: Seq
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def k_scan(z: DataFrame, names: Sequence[str] | str, ks: Sequence[int] = range(2, 7), seeds: Sequence[int] = (1, 2), max_iter: int = 40) -> DataFrame:
+def k_scan(z: DataFrame, names: Sequence[str] | str, ks: Sequence[int] = range(2, 7), seeds: Sequence[int] = range(1, 13), max_iter: int = 40) -> DataFrame:
     """(k, inertia, silhouette); the silhouette is that of squared distances, which needs sums for each cluster only."""
     rows = z.select(_vector(names)).cache()
     out = []
