@@ -90,3 +90,19 @@ def test_syncmers_of_text_without_blanks(spark):
 def test_restarts_are_those_of_the_survey():
     starts = [len(inspect.signature(f).parameters["seeds"].default) for f in (clusters.kmeans_best, clusters.k_scan)]
     assert starts == [24, 12]
+
+
+def test_linkage_is_exact_and_keeps_all_rows(spark):
+    x = np.random.default_rng(10).normal(size=(95, 3))
+    z = spark.createDataFrame([(f"s{i:03}", *map(float, r)) for i, r in enumerate(x)], "session_id string, a double, b double, c double")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    groups, want = [(i, [i]) for i in range(95)], []
+    while len(groups) > 1:
+        d, i, j = min((far[np.ix_(groups[i][1], groups[j][1])].mean(), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        want.append((groups[i][0], groups[j][0], len(groups[i][1] + groups[j][1]), round(float(d), 6)))
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [(94 + len(want), groups[i][1] + groups[j][1])]
+    got = clusters.linkage(z, ["a", "b", "c"]).orderBy("step").collect()
+    assert [(r.left, r.right, r.size, round(r.distance, 6)) for r in got] == want
+    leaves = clusters.linkage_leaves(z, ["a", "b", "c"], limit=20).collect()
+    merges = clusters.linkage(z, ["a", "b", "c"], limit=20).orderBy("step").collect()
+    assert len(leaves) == 95 and len({r.leaf for r in leaves}) == len(merges) + 1 and merges[-1]["size"] == 95

@@ -35,6 +35,10 @@ ARCHETYPES = {
 }
 
 
+#: Rows that average linkage takes one by one: a matrix of 4 LINKED^2 distances (128 MB) in one task.
+LINKED = 2000
+
+
 def merge_features(calibrated: DataFrame, core: DataFrame, derived: DataFrame, names: Sequence[str]) -> DataFrame:
     """Each feature from the first of the three (by session_id) that has it; 6 decimals. A row that still lacks one raises."""
     rows = derived.alias("d").join(core.alias("c"), "session_id", "left").join(calibrated.alias("e"), "session_id", "left")
@@ -218,34 +222,61 @@ def tree_rules(model: DecisionTreeClassificationModel, labelled: DataFrame, name
     return rows.groupBy("rule", "prediction").agg(F.count("*").alias("size"), F.avg((F.col("cluster_id") == F.col("prediction")).cast("double")).alias("purity")).orderBy(F.desc("size"), "rule").limit(top)
 
 
-def linkage(z: DataFrame, names: Sequence[str] | str, micro: int = 64, seed: int = 1) -> DataFrame:
-    """Average linkage of at most ``micro`` k-means centroids: (step, left, right, distance, size), sizes in rows.
+def _leaves(z: DataFrame, names: Sequence[str] | str, key: str, limit: int, seed: int) -> DataFrame:
+    """(key, leaf, point): up to ``limit`` rows are leaves in the order of ``key``; more are summarised by k-means with ``limit`` centroids."""
+    rows = z.select(F.col(key), _vector(names))
+    if rows.count() <= limit:
+        order = Window.orderBy(key, vector_to_array("features"))  # at most ``limit`` rows
+        return rows.select(key, (F.row_number().over(order) - 1).alias("leaf"), vector_to_array("features").alias("point"))
+    rows = rows.cache()
+    model = KMeans(k=limit, seed=seed).fit(rows)
+    rows.unpersist()
+    found = model.transform(rows).select(key, F.col("prediction").alias("id"))
+    # Numbers without gaps, as a centroid may have no rows.
+    used = found.select("id").distinct().withColumn("leaf", F.row_number().over(Window.orderBy("id")) - 1)
+    centres = centroid_table(model).select(F.col("cluster_id").alias("id"), F.col("centroid").alias("point"))
+    return found.join(used.join(centres, "id"), "id").select(key, "leaf", "point")
+
+
+def linkage_leaves(z: DataFrame, names: Sequence[str] | str, key: str = "session_id", limit: int = LINKED, seed: int = 1) -> DataFrame:
+    """(key, leaf): the leaf of ``linkage``'s tree that each row is in; with at most ``limit`` rows, one of its own."""
+    return _leaves(z, names, key, limit, seed).select(key, "leaf")
 
-    The rows are first summarised by k-means, so the merging sees a bounded number of weighted points.
+
+def linkage(z: DataFrame, names: Sequence[str] | str, key: str = "session_id", limit: int = LINKED, seed: int = 1) -> DataFrame:
+    """Average linkage: (step, left, right, distance, size), sizes in rows. Leaves are 0 to n - 1, and step s makes n + s.
+
+    Up to ``limit`` rows are linked exactly, with n - 1 merges. More are summarised by ``limit`` k-means centroids first, so that the
+    merging sees a bounded number of weighted points; ``linkage_leaves`` has the leaf of every row.
     """
-    rows = z.select(_vector(names)).cache()
-    model = KMeans(k=max(2, min(micro, rows.count())), seed=seed).fit(rows)
-    sizes = {r.prediction: r["count"] for r in model.transform(rows).groupBy("prediction").count().collect()}
-    rows.unpersist()
-    points = [(i, [float(x) for x in c], int(sizes.get(i, 0))) for i, c in enumerate(model.clusterCenters()) if sizes.get(i)]
-    table = z.sparkSession.createDataFrame(points, "id int, c array<double>, n long")
+    table = _leaves(z, names, key, limit, seed).groupBy("leaf").agg(F.first("point").alias("c"), F.count("*").alias("n"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        x, weight = np.stack(pdf.c), pdf.n.to_numpy(float)
-        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        np.fill_diagonal(far, np.inf)
-        live, names_, out = list(range(len(x))), list(range(len(x))), []
-        while len(live) > 1:
-            sub = far[np.ix_(live, live)]
-            i, j = sorted(divmod(int(sub.argmin()), len(live)))
-            a, b = live[i], live[j]
-            total = weight[a] + weight[b]
-            out.append((len(out), names_[a], names_[b], float(sub[i, j]), int(total)))
-            far[a] = far[:, a] = (far[a] * weight[a] + far[b] * weight[b]) / total
-            far[a, a] = np.inf
-            weight[a], names_[a] = total, len(x) + len(out) - 1
-            live.remove(b)
+        pdf = pdf.sort_values("leaf").reset_index(drop=True)
+        x, n = np.stack(pdf.c), len(pdf)
+        weight = np.concatenate((pdf.n.to_numpy(float), np.zeros(n)))
+        # Distances of earlier to later clusters; a merged one comes last. ``least`` holds the smallest of each row.
+        far = np.full((2 * n, 2 * n), np.inf)
+        for i in range(n - 1):
+            far[i, i + 1 : n] = np.sqrt(((x[i + 1 :] - x[i]) ** 2).sum(1))
+        least, to, live, out = far.min(1), far.argmin(1), np.zeros(2 * n, bool), []
+        live[:n] = True
+        for new in range(n, 2 * n - 1):
+            a = int(least.argmin())
+            b = int(to[a])
+            out.append((new - n, a, b, float(least[a]), int(weight[a] + weight[b])))
+            live[a] = live[b] = False
+            others = np.flatnonzero(live)
+            d = [far[np.minimum(others, c), np.maximum(others, c)] for c in (a, b)]
+            weight[new] = weight[a] + weight[b]
+            far[[a, b]] = far[:, [a, b]] = np.inf
+            far[others, new] = (d[0] * weight[a] + d[1] * weight[b]) / weight[new]
+            least[[a, b]] = np.inf
+            stale = others[(to[others] == a) | (to[others] == b)]
+            least[stale], to[stale] = far[stale].min(1), far[stale].argmin(1)
+            nearer = others[far[others, new] < least[others]]
+            least[nearer], to[nearer] = far[nearer, new], new
+            live[new] = True
         return pd.DataFrame(out, columns=["step", "left", "right", "distance", "size"])
 
     return table.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, "step int, left int, right int, distance double, size long")
