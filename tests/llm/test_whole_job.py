@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from windrift.jobs import registry, study
-from windrift.llm import quality, syncmers
+from windrift.llm import decontam, quality, syncmers
 from windrift.operators import clusters
 
 
@@ -106,3 +106,9 @@ def test_linkage_is_exact_and_keeps_all_rows(spark):
     leaves = clusters.linkage_leaves(z, ["a", "b", "c"], limit=20).collect()
     merges = clusters.linkage(z, ["a", "b", "c"], limit=20).orderBy("step").collect()
     assert len(leaves) == 95 and len({r.leaf for r in leaves}) == len(merges) + 1 and merges[-1]["size"] == 95
+
+
+def test_blocks_of_the_benchmark_do_not_pile_up(spark, sf_dir):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.search(docs, bench, block_bytes=10_000)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and found.count() == 20

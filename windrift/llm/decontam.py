@@ -5,7 +5,7 @@ string) are cut to m words, the length of the shortest. A shift table over block
 how far a position may jump, the strings that end in the block at a zero shift are found by
 the hash of that suffix, and the words' bytes are then compared. Many cursors, one for each stretch of text,
 jump together as numpy vectors. The test set is read in blocks of bounded size; each block is
-one narrow pass over the documents, without any shuffle.
+one narrow pass over the documents, without any shuffle. Between blocks the hits are checkpointed, so the tables of one block live at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, prefix_hash, slices, span_hash, split_runs, utf8
-from .storage import aside
+from .storage import aside, settle
 
 WINDOW = 13
 #: Bytes of item texts that are broadcast at once.
@@ -159,8 +159,13 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id
     spark = docs.sparkSession
     carry = [f"c{i}" for i in range(len(docs.columns))]
     df = docs.toDF(*carry).withColumns({"_text": F.col(carry[docs.columns.index(text)]), "_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    shared = None
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        df = df.mapInArrow(_searcher(spark.sparkContext.broadcast(block), window), df.schema)
+        if shared is not None:
+            df = settle(df)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)
+        df = df.mapInArrow(_searcher(shared, window), df.schema)
     found = F.struct(F.col("_n_words").alias("n_words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"), contaminated(F.size("_hits"), F.col("_n_words")).alias("contaminated"))
     return df.select(*[F.col(c).alias(n) for c, n in zip(carry, docs.columns, strict=True)], found.alias("decontam"))
 
