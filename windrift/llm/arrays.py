@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 LIMIT = 1 << 19
 #: Odd multipliers of the two polynomial hashes, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 #: A random number for each byte value, from a fixed seed.
 _BYTE = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
@@ -97,6 +99,48 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - first, size)
 
 
+def _bounded(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a, b) in portions of about LIMIT bytes by the size of a's spans."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[a]) // LIMIT)) + 1
+    yield from zip(np.split(a, cuts), np.split(b, cuts), strict=True)
+
+
+def ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Three numbers for each span: its length, its first and its last eight bytes. They tell spans of up to sixteen bytes apart."""
+    size = end - start
+    eight = np.ndarray(len(data), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, strides=(1,)) if len(data) else np.zeros(0, "<u8")
+    mask = _HEAD[np.minimum(size, 8)]
+    return np.stack((size.astype(np.uint64), eight[start] & mask, eight[np.maximum(end - 8, start)] & mask), 1)
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place and the hash of each distinct span, and for each span the number of its like.
+
+    Bytes decide; the hash only brings likely ones together. Different spans with the same hash are separate.
+    """
+    name, where, back = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
+    known = ends(data, start, end)
+    differs = (known != known[where][back]).any(1)
+    size = end - start
+    long = np.flatnonzero((size > 16) & ~differs)
+    like = where[back[long]]
+    long, like = long[long != like], like[long != like]
+    for part, other in _bounded(long, like, size):
+        at = ranges(start[part], size[part])
+        wrong = data[at] != data[ranges(start[other], size[part])]
+        if wrong.any():
+            differs[np.repeat(part, size[part])[wrong]] = True
+    apart: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(differs).tolist():
+        number = apart.setdefault(data[start[i] : end[i]].tobytes(), len(where) + len(apart))
+        if number == len(where) + len(more):
+            more.append(i)
+        name = np.append(name, name[back[i]]) if number == len(name) else name
+        back[i] = number
+    return np.append(where, np.array(more, where.dtype)), name, back
+
+
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from its flat values and the length of each row."""
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

@@ -2,7 +2,7 @@
 
 A byte-pair encoding never merges across words, so a text's ids are those of its words, one after the
 other. The borders of words are found for a whole slice of texts at once; distinct words go through
-the encoder once and are kept, up to ``KEEP`` of them in a Python worker.
+the encoder once and are kept by their bytes, up to ``KEEP`` of them in a Python worker.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from .arrays import prefix_hash, ranges, span_hash
+from .arrays import distinct, ends, ranges
 
 KEEP = 400_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -98,8 +98,12 @@ class WordCoder:
         self._clear()
 
     def _clear(self) -> None:
+        #: Words by hash; those whose hash is another word's by their bytes; and the bytes of long ones by number.
         self.known: dict[int, int] = {}
+        self.other: dict[bytes, int] = {}
+        self.long: dict[int, bytes] = {}
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ends = np.zeros((0, 3), np.uint64)
         self.words = self.used = 0
 
     def _add(self, words: list[str]) -> None:
@@ -111,6 +115,7 @@ class WordCoder:
             room = np.zeros(self.words + len(words), np.int64)
             self.start = np.concatenate((self.start[: self.words], room, room))
             self.count = np.concatenate((self.count[: self.words], room, room))
+            self.ends = np.concatenate((self.ends[: self.words], np.zeros((2 * len(room), 3), np.uint64)))
         self.start[self.words : self.words + len(words)] = self.used + np.cumsum(count) - count
         self.count[self.words : self.words + len(words)] = count
         self.words += len(words)
@@ -121,16 +126,33 @@ class WordCoder:
         start, end, first = borders(data, offsets, self.spaces)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        word, where, back = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
-        if self.words > KEEP:
+        where, names, back = distinct(data, start, end)
+        if self.words > KEEP or self.used > 8 * KEEP:
             self._clear()
-        index = np.array([self.known.get(h, -1) for h in word.tolist()])
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            raw = data.tobytes()
-            index[new] = self.words + np.arange(len(new))
-            self._add([raw[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
-            self.known.update(zip(word[new].tolist(), index[new].tolist(), strict=True))
+        start, end = start[where], end[where]
+        seen = ends(data, start, end)
+        index = np.array([self.known.get(h, -1) for h in names.tolist()])
+        same = index >= 0
+        same[same] = (self.ends[index[same]] == seen[same]).all(1)
+        for i in np.flatnonzero(same & (end - start > 16)).tolist():
+            same[i] = self.long[index[i]] == data[start[i] : end[i]].tobytes()
+        fresh = []
+        for i in np.flatnonzero(~same).tolist():  # new words, and any whose hash is another word's
+            word = data[start[i] : end[i]].tobytes()
+            number = self.other.get(word)
+            if number is None:
+                number = self.words + len(fresh)
+                fresh.append(word)
+                if self.known.setdefault(int(names[i]), number) != number:
+                    self.other[word] = number
+                if len(word) > 16:
+                    self.long[number] = word
+            index[i] = number
+        if fresh:
+            first_new = self.words
+            self._add([w.decode() for w in fresh])
+            new = index >= first_new
+            self.ends[index[new]] = seen[new]
         index = index[back]
         count = self.count[index]
         total = np.concatenate(([0], np.cumsum(count)))
