@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir); one of its own only where that is unset."""
+    """A new path in the folder that all machines share (spark.checkpoint.dir).
+
+    Where that is unset a folder is made for a local master, as in tests; on a cluster it is an error.
+    """
     context = spark.sparkContext
     if not (top := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: scratch tables need a folder that all machines share")
         context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         top = context.getCheckpointDir()
     return f"{top}/{name}-{uuid.uuid4().hex}"
