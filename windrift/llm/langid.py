@@ -2,7 +2,7 @@
 
 A text is the L2-normalised TF-IDF vector of its hashed byte trigrams (letters only, lower case).
 Document frequencies come from all learning rows. The centroids of a language are fitted by
-spherical k-means on at most ``SAMPLE`` of its rows, those with the smallest hash of their id, in a
+spherical k-means on at most ``SAMPLE`` of its rows, those with the smallest hash of id and text, in a
 task per language. A text takes the language of the centroid with the largest cosine; it is
 flagged as rejected if that is below what all but ``REJECT`` of that centroid's sample reach.
 """
@@ -83,7 +83,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     freq = {r.bucket: r.n for r in rows.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     df = np.array([freq.get(i, 0) for i in range(DIM)], float)
     idf = np.log((1 + freq.get(-1, 0)) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    order = F.xxhash64(F.lit("sample"), "doc_id")
+    order = F.xxhash64(F.lit("sample"), "doc_id", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     last = rows.select("lang", order.alias("h")).withColumn("rank", rank).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("h").alias("last"))
     bound = last.limit(MAX_LANGUAGES + 1).collect()
@@ -94,7 +94,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     spark = rows.sparkSession
     bound = spark.createDataFrame(bound, "lang string, last long")
     chosen = rows.withColumn("h", order).join(F.broadcast(bound), "lang").where(F.col("h") <= F.col("last"))
-    # Rows that share a doc_id share a hash; the second rank keeps the bound then.
+    # Rows alike in doc_id and text share a hash; the second rank keeps the bound then.
     chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("rank") <= sample)
     shared = spark.sparkContext.broadcast(idf)
     fitted = chosen.select("lang", "text").groupBy("lang").applyInPandas(lambda p: fit_language(p, shared.value), "lang string, centroid array<float>, floor double").collect()

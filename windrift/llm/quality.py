@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote good, bad or nothing on each whole text. Ex
 maximisation over the counts of all documents' vote patterns (at most 3^labellers, whatever the input) estimates
 how each labeller errs and gives each pattern the posterior of being good. A logistic scorer over
 hashed features (byte trigrams and binned text statistics) learns those posteriors on at most
-``SAMPLE`` documents, the ones with the smallest hash of their id, and scores every document.
+``SAMPLE`` distinct documents, the ones with the smallest hash of id and text, and scores every document.
 """
 
 from __future__ import annotations
@@ -166,15 +166,15 @@ def _unpack(pattern: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Learn from ``docs`` (doc_id, text) without any labels."""
+    """Learn from ``docs`` (doc_id, text) without any labels. Null and repeated ids are fine; no documents give a scorer that is 0.5 throughout."""
     docs = docs.select("doc_id", "text")
     seen = docs.select("text").mapInArrow(_vote_counts, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     labels = expectation_maximisation(_unpack(np.array([r.pattern for r in seen], np.int64)), np.array([r.n for r in seen], float))
-    total = sum(r.n for r in seen)
-    # The smallest hashes: about ``sample`` rows pass the cut, whatever the number of documents, and the limit makes the bound hold.
-    cut = int(-(2**63) + 2**64 * min(1.0, sample / max(total, 1))) - 1
-    chosen = docs.where(F.xxhash64(F.lit("sample"), "doc_id") <= cut).select("text").limit(2 * sample)
-    rows = chosen.mapInArrow(_featurise, "pattern long, x binary").collect()
+    # The ``sample`` smallest of the distinct hashes of id and text: rows that share an id differ by text, and rows alike in both count once.
+    hashed = docs.select("text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    cut = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.first("text").alias("text")).select("text")
+    rows = chosen.mapInArrow(_featurise, "pattern long, x binary").orderBy("pattern", "x").collect()
     weights, bias = np.zeros(DIM), 0.0
     if rows:
         x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from windrift.sources.files import scratch_folder
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in a local test, a folder of its own is set.
+    Where that is unset a folder is made for a local master, as in tests; on a cluster it is an error.
     """
-    context = spark.sparkContext
-    top = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not top:
-        context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-        top = context.getCheckpointDir()
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Take scratch tables away that nothing reads any more."""
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

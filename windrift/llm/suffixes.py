@@ -226,6 +226,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
+    # Rows alike in doc_id and text bring the same spans: one of each place stays before they are listed.
+    every = every.groupBy("_id", "_k", "first").agg(F.max("more").alias("more"))
     gone = every.groupBy("_id", "_k").agg(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))).alias("_gone"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     all_docs = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], *[v.alias(k) for k, v in keys.items()])
