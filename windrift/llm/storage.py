@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is used several times is computed once, and its size is known."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Take scratch tables away that nothing reads any more."""
     jvm = spark._jvm

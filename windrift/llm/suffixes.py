@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import LIMIT, mix, prefix_hash, ranges, slices, span_hash, utf8
-from .storage import shared_folder
+from .storage import stored
 
 LENGTH = 200
 GRAM = 32
@@ -153,13 +153,6 @@ def _blocks(length: int, block: int):
     return run
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: what is used several times is computed once."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], store: str) -> tuple[DataFrame, DataFrame]:
     """Two rounds: the classes of ``key``, then those of ``name`` within each.
 
@@ -168,11 +161,11 @@ def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], stor
     """
     classes = rows.groupBy(*key).agg(F.count("*").alias("n"), (F.min(name) != F.max(name)).alias("mixed"), F.max("probe").alias("asked")).where("n > 1 and asked").select(*key, "mixed")
     # Read from a table, the classes come to the join through a shuffle of their own, and Spark can split the keys that are hot.
-    classes = _stored(classes, f"{store}-classes")
-    left = _stored(rows.join(classes, key).select(*place, *key, name, "probe", "mixed"), store)
+    classes = stored(classes, f"{store}-classes")
+    left = stored(rows.join(classes, key).select(*place, *key, name, "probe", "mixed"), store)
     mixed = left.where("mixed")
     names = mixed.groupBy(*key, name).agg(F.count("*").alias("n"), F.min(F.struct(*place, "probe")).alias("one"))
-    names = _stored(names, f"{store}-names")
+    names = stored(names, f"{store}-names")
     again = mixed.where("probe").join(names.where("n > 1").select(*key, name), [*key, name])
     whole = left.where("probe and not mixed").select(*place).unionByName(again.select(*place))
     return whole, names.select("one.*", *[k for k in key if k not in place], (F.col("n") == 1).alias("alone")).withColumn("probe", F.col("probe") & F.col("alone")).drop("alone")
@@ -215,7 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     whole, left = _reranked(anchors, ["gram"], "stretch", ["_id", "_k", "first", "more", "off"], "anchors")
     found = [whole.select("_id", "_k", "first", "more")]
     lists = left.groupBy("_id", "_k").agg(F.collect_list(F.struct("gram", "first", "more", "off", "probe")).alias("list"))
-    excerpts = _stored(texts.join(lists, ["_id", "_k"]).mapInArrow(_excerpts(length), _EXCERPT), "borders")
+    excerpts = stored(texts.join(lists, ["_id", "_k"]).mapInArrow(_excerpts(length), _EXCERPT), "borders")
     ranges_of = excerpts.withColumn("list", F.array(F.struct(F.lit(0).alias("low"), F.col("more").alias("high"), "probe")))
     for block in BLOCKS:
         blocks = ranges_of.select("_id", "_k", "gram", "first", "off", "bytes", "list").mapInArrow(_blocks(length, block), _BLOCK)
