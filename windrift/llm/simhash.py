@@ -27,6 +27,8 @@ SHINGLE = 4
 BITS = 4
 BYTES = 8
 MAX_ROUNDS = 60
+#: Parts that the nodes of a component are dealt to.
+SALTS = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -117,9 +119,12 @@ def near_duplicates(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """
     nodes = settle(prints.groupBy("simhash").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(nodes, bits))
-    rooted = nodes.join(roots, nodes.simhash == roots.node, "left").select("simhash", "first_id", F.coalesce("root", "simhash").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("simhash", "component_id"), "simhash")
+    rooted = nodes.join(roots, nodes.simhash == roots.node).select("simhash", "first_id", "root").withColumn("salt", F.pmod(F.xxhash64("simhash"), F.lit(SALTS)))
+    # A component may hold any share of the nodes, so its smallest id comes to them in SALTS copies; nodes without links need none.
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    linked = rooted.join(ids, ["root", "salt"]).select("simhash", "component_id")
+    alone = nodes.join(roots, nodes.simhash == roots.node, "left_anti").select("simhash", F.col("first_id").alias("component_id"))
+    return prints.join(linked.unionByName(alone), "simhash")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -19,10 +19,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, name)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: what is used several times is computed once, and its size is known."""
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is used several times is computed once, and its size is known.
+
+    The table's path is added to ``paths``, for ``removed`` when nothing reads it any more.
+    """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

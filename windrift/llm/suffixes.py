@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import LIMIT, mix, prefix_hash, ranges, slices, span_hash, utf8
-from .storage import stored
+from .storage import removed, stored
 
 LENGTH = 200
 GRAM = 32
@@ -153,7 +153,7 @@ def _blocks(length: int, block: int):
     return run
 
 
-def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], store: str) -> tuple[DataFrame, DataFrame]:
+def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], store: str, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Two rounds: the classes of ``key``, then those of ``name`` within each.
 
     Gives the rows of ``place`` that repeat as a whole, and one row (``place``, key, probe) for each class of names that
@@ -161,11 +161,11 @@ def _reranked(rows: DataFrame, key: list[str], name: str, place: list[str], stor
     """
     classes = rows.groupBy(*key).agg(F.count("*").alias("n"), (F.min(name) != F.max(name)).alias("mixed"), F.max("probe").alias("asked")).where("n > 1 and asked").select(*key, "mixed")
     # Read from a table, the classes come to the join through a shuffle of their own, and Spark can split the keys that are hot.
-    classes = stored(classes, f"{store}-classes")
-    left = stored(rows.join(classes, key).select(*place, *key, name, "probe", "mixed"), store)
+    classes = stored(classes, f"{store}-classes", paths)
+    left = stored(rows.join(classes, key).select(*place, *key, name, "probe", "mixed"), store, paths)
     mixed = left.where("mixed")
     names = mixed.groupBy(*key, name).agg(F.count("*").alias("n"), F.min(F.struct(*place, "probe")).alias("one"))
-    names = stored(names, f"{store}-names")
+    names = stored(names, f"{store}-names", paths)
     again = mixed.where("probe").join(names.where("n > 1").select(*key, name), [*key, name])
     whole = left.where("probe and not mixed").select(*place).unionByName(again.select(*place))
     return whole, names.select("one.*", *[k for k in key if k not in place], (F.col("n") == 1).alias("alone")).withColumn("probe", F.col("probe") & F.col("alone")).drop("alone")
@@ -205,14 +205,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k": F.xxhash64("doc_id", "text")}
     texts = docs.select(keys["_id"].alias("_id"), keys["_k"].alias("_k"), F.col("text").alias("_text"))
     anchors = texts.mapInArrow(_anchors(length, gram), "_id long, _k long, gram long, stretch long, first long, more int, off int").withColumn("probe", F.lit(True))
-    whole, left = _reranked(anchors, ["gram"], "stretch", ["_id", "_k", "first", "more", "off"], "anchors")
+    paths: list[str] = []
+    whole, left = _reranked(anchors, ["gram"], "stretch", ["_id", "_k", "first", "more", "off"], "anchors", paths)
     found = [whole.select("_id", "_k", "first", "more")]
     lists = left.groupBy("_id", "_k").agg(F.collect_list(F.struct("gram", "first", "more", "off", "probe")).alias("list"))
-    excerpts = stored(texts.join(lists, ["_id", "_k"]).mapInArrow(_excerpts(length), _EXCERPT), "borders")
+    excerpts = stored(texts.join(lists, ["_id", "_k"]).mapInArrow(_excerpts(length), _EXCERPT), "borders", paths)
     ranges_of = excerpts.withColumn("list", F.array(F.struct(F.lit(0).alias("low"), F.col("more").alias("high"), "probe")))
     for block in BLOCKS:
         blocks = ranges_of.select("_id", "_k", "gram", "first", "off", "bytes", "list").mapInArrow(_blocks(length, block), _BLOCK)
-        whole, left = _reranked(blocks, ["gram", "place", "core"], "name", ["_id", "_k", "first", "low", "high"], f"blocks-{block}")
+        whole, left = _reranked(blocks, ["gram", "place", "core"], "name", ["_id", "_k", "first", "low", "high"], f"blocks-{block}", paths)
         found.append(whole.select("_id", "_k", (F.col("first") + F.col("low")).alias("first"), (F.col("high") - F.col("low")).alias("more")))
         lists = left.groupBy("_id", "_k", "gram", "first").agg(F.collect_list(F.struct("low", "high", "probe")).alias("list"))
         ranges_of = excerpts.join(lists, ["_id", "_k", "gram", "first"])
@@ -222,6 +223,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # Rows alike in doc_id and text bring the same spans: one of each place stays before they are listed.
     every = every.groupBy("_id", "_k", "first").agg(F.max("more").alias("more"))
     gone = every.groupBy("_id", "_k").agg(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))).alias("_gone"))
+    gone = stored(gone, "gone")
+    removed(docs.sparkSession, *paths)
     names = [f"c{i}" for i in range(len(docs.columns))]
     all_docs = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], *[v.alias(k) for k, v in keys.items()])
     met = all_docs.join(gone, ["_id", "_k"], "left").select(*names, "_gone")

@@ -27,7 +27,7 @@ ROWS = 2000
 def _token_hashes(text: Column) -> Column:
     def cut(tokens: Column) -> Column:
         long = F.exists(tokens, lambda t: F.char_length(t) > LONG)
-        return F.when(long, F.flatten(F.transform(tokens, lambda t: F.when(F.char_length(t) > LONG, F.split(t, "(?!^)")).otherwise(F.array(t))))).otherwise(tokens)
+        return F.when(long, F.flatten(F.transform(tokens, lambda t: F.when(F.char_length(t) > LONG, F.split(t, "(?!^)(?!$)")).otherwise(F.array(t))))).otherwise(tokens)
 
     return F.transform(_let(F.regexp_extract_all(text, F.lit(TOKEN), 0), cut), lambda t: F.xxhash64(t))
 

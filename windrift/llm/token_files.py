@@ -3,14 +3,15 @@
 ``write`` deals the documents out by ranges of their id, encodes each range in order and lets Spark write it.
 Ids are dictionary encoded (delta encoded where a dictionary does not pay), row groups and pages have
 set sizes, and Parquet's page indexes let a reader of a few documents, or of the counts
-alone, skip the rest. Each range counts its ids from 0; ``catalog`` turns that into offsets in the whole corpus.
+alone, skip the rest: ``read_tokens`` and ``read_range``. Each range counts its ids from 0; ``catalog`` turns that into offsets in the whole corpus.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     Columns: doc_id, part, start_in_part, n_tokens (the end id counts), ids. A null text has the end id alone. Rows with
     the same id follow each other by the hash of their text; null ids come first.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.asc("doc_id"), F.xxhash64("text"))
+    order = [F.asc("doc_id"), F.xxhash64("text").asc()]  # both deal the rows out, so an id that many rows share is no single task
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
@@ -95,6 +97,31 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("start_in_part")).drop("part", "before", "start_in_part")
 
 
+def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of some documents. The ids are a filter of the scan, so that only row groups and pages that may hold them are read."""
+    return spark.read.parquet(path).where(F.col("doc_id").isin(*doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(doc_id, start, ids): the ids with the numbers ``first`` to ``last`` (exclusive) of the whole corpus, cut at the borders.
+
+    The ranges of documents that hold them are found from the counts alone, a row for each; their files are then read with the
+    places inside them as filters.
+    """
+    rows = spark.read.parquet(path)
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    held = parts.withColumn("before", before).where((F.col("before") < last) & (F.col("before") + F.col("n") > first)).collect()
+    inside = reduce(lambda a, b: a | b, [(F.col("part") == r.part) & (F.col("start_in_part") < last - r.before) & (F.col("start_in_part") >= first - r.before - r.longest) for r in held], F.lit(False))
+    started = F.lit(None).cast("long")
+    for r in held:
+        started = F.when(F.col("part") == r.part, F.col("start_in_part") + r.before).otherwise(started)
+    found = rows.where(inside).withColumn("start", started).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    skip = F.greatest(F.lit(first) - F.col("start"), F.lit(0))
+    take = F.least(F.lit(last), F.col("start") + F.col("n_tokens")) - F.col("start") - skip
+    return found.select("doc_id", (F.col("start") + skip).alias("start"), F.slice("ids", skip.cast("int") + 1, take.cast("int")).alias("ids"))
+
+
 def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, the crc of the ids as little-endian 32-bit integers."""
 

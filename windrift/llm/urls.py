@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, then a blocked Bloom filter and an exact hash join.
 
 The Bloom filter of the listed canonical URLs is an array of blocks of eight 64-bit words. A URL sets or tests
-one bit in each word of one block. The array has a fixed, bounded size, is built by one aggregate and enters the
+one bit in each word of one block. The array has a bounded size, is built by one aggregate and enters the
 probing plan as a scalar subquery, so no rows are joined to find the possible hits; only those go
 through the exact join, which removes false positives. Everything is DataFrame functions.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Blocks of 64 bytes: 512 KB. A longer list fills the filter more, and the exact join then has more to do.
-BLOCKS = 8192
+#: Blocks of 64 bytes, by the length of the list: 512 KB to 8 MB. A list of more than 5 million fills the filter more, and the exact join then has more to do.
+BLOCKS, MOST_BLOCKS = 8192, 1 << 17
+#: Bits of the filter for each listed URL.
+BITS_EACH = 12
 WORDS = 8
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -66,6 +68,11 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     return rows.select(F.flatten(F.transform("rows", lambda r: r.w)).alias("filter"))
 
 
+def blocks_for(listed: int) -> int:
+    """A power of two of blocks with room for ``listed`` keys, from BLOCKS to MOST_BLOCKS."""
+    return min(max(1 << (listed * BITS_EACH // 512).bit_length(), BLOCKS), MOST_BLOCKS)
+
+
 def might_contain(words: Column, key: Column, blocks: int = BLOCKS) -> Column:
     """Null for a null key."""
     block, bits = _place(key, blocks)
@@ -75,13 +82,14 @@ def might_contain(words: Column, key: Column, blocks: int = BLOCKS) -> Column:
     return F.when(key.isNotNull(), out)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url", rules=RULES, blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url", rules=RULES, blocks: int | None = None) -> DataFrame:
     """``pages`` with ``verdict`` struct<host, path, rule, verdict, listed>.
 
     ``listed`` has one column of urls (nulls and repeats are fine). Where no rule fits, a page whose canonical URL is listed is blocked
     and any other is allowed. An input column ``verdict`` is replaced.
     """
     pages = pages.drop("verdict")
+    blocks = blocks or blocks_for(listed.count())
     names = [f"c{i}" for i in range(len(pages.columns))]
     df = pages.toDF(*names)
     link = F.col(names[pages.columns.index(url)])

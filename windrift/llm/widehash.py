@@ -24,18 +24,21 @@ from pyspark.sql import functions as F
 
 from .arrays import list_array, mix, prefix_hash, slices, span_hash, split_runs, utf8
 from .simhash import components
-from .storage import aside, settle, stored
+from .storage import aside, removed, settle, stored
 
 SHINGLE = 5
 LEAST = 0.8
 #: 64-bit words of a fingerprint, its bytes, and the least number of bytes that a pair shares.
 WORDS = 8
 BYTES, SHARED = 8 * WORDS, 7
-#: Bits of the first word in which a pair may differ; at 0.8 that is passed in about one of 5,000 cases (binomial), and 2 of 1,000 unlike pairs pass.
-FIRST = 20
-KEYS = 256
-#: Pairs for each posting that may be compared one by one; above it, another round with one node of each list goes before.
-PAIRS = 4
+_NAMES = [f"p{w}" for w in range(WORDS)]
+#: Words of the fingerprint that a posting carries, and the most of their 256 bits in which a pair may differ; at 0.8 (38 on average) one pair of 1,500 differs in more (binomial).
+_CARRIED, DIFFER = _NAMES[:4], 56
+#: Choices of positions, in turns: what a turn joins need not be compared in the next. The first is short, to join large groups.
+TURNS = (16, 60, 60, 60, 60)
+KEYS = sum(TURNS)
+#: Pairs for each posting that may be compared one by one; above it, a round with one node of each list goes before, as long as one of FRUITFUL pairs is a link.
+PAIRS, FRUITFUL = 2, 10
 #: Postings that are made at once.
 _ROWS = 1000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,20 +103,18 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_h", "node", "size", *_NAMES])
 
 
-_NAMES = [f"p{w}" for w in range(WORDS)]
-
-
-def _post(batches: Iterator[pa.RecordBatch], keys_only: bool) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch], first: int, last: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
+    """The postings of the choices ``first`` to ``last`` (exclusive) of positions."""
+    more = ["root"] if keys_only else ["root", "node", "size", *_CARRIED]
     for whole in batches:
         for at in range(0, whole.num_rows, _ROWS):
             batch = whole.slice(at, _ROWS)
             raw = np.stack([batch.column(n).to_numpy() for n in _NAMES], 1).view(np.uint8)
-            key = np.arange(KEYS) << 24
-            for j, places in enumerate(_PLACES.T):
+            key = np.arange(first, last) << 24
+            for j, places in enumerate(_PLACES[first:last].T):
                 key = key + (raw[:, places].astype(np.int64) << 8 * j)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), KEYS))
-            columns = [] if keys_only else [batch.column(n).take(rows) for n in ("node", "size", "p0")]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *columns], names=["key", "node", "size", "p0"][: 1 + len(columns)])
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), last - first))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(batch.column(n).take(rows) for n in more)], names=["key", *more])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -153,42 +154,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def joined(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Roots (node, root) of the nodes with links; see the module."""
     filled = nodes.where("size > 0").select("node", "size", *_NAMES)
-    keys = filled.mapInArrow(lambda batches: _post(batches, True), "key long")
-    # As a table its size is known, so that Spark broadcasts it only where it is small.
-    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    postings = settle(filled.mapInArrow(lambda batches: _post(batches, False), "key long, node long, size int, p0 long").join(shared, "key"))
-    total = postings.count()
-    alike = lambda x, y: (F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size") - 1e-9) & (F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))) <= FIRST)
-    found, roots, done, sets, turn = None, None, None, None, 0
-    while True:
-        _freed(docs)
-        rooted = postings.withColumn("root", F.col("node")) if roots is None else settle(postings.join(roots, "node", "left").select("key", "node", "size", "p0", F.coalesce("root", "node").alias("root")))
-        # Keys whose nodes are not all joined yet, and the pairs across their groups.
-        sizes = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        apart = sizes.where("n * n > own")
-        across = apart.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        open_ = rooted.join(apart.select("key"), "key")
-        last = across <= PAIRS * total or done is not None and done.isEmpty()
-        if last:
-            pairs = open_.alias("l").join(open_.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & alike("l", "r")).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        else:
-            one = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", "p0")).alias("m")).select("key", "m.*")
-            pairs = open_.alias("l").join(one.alias("r"), "key").where((F.col("l.root") != F.col("r.root")) & alike("l", "r")).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        pairs = settle(tallied(pairs.distinct(), nodes))
+    found, roots, sets, compared = None, None, None, None
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """The links among pairs that were not compared before, and whether there are many."""
+        nonlocal sets, compared
+        pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
+        pairs = settle(tallied(pairs, nodes))
+        compared = pairs if compared is None else compared.union(pairs)
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         need = need if sets is None else need.join(sets.select("node"), "node", "left_anti")
         ends = nodes.join(need, "node").select("node", F.col("k._h").alias("_h"))
         texts = docs.select("_h", "text").join(ends, "_h").dropDuplicates(["node"]).select("node", "text")
         more = settle(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"))
         sets = more if sets is None else sets.union(more)
+        links = settle(_verified(pairs, sets, least))
+        return links, links.count() * FRUITFUL >= pairs.count()
+
+    for first, last in zip(np.cumsum([0, *TURNS[:-1]]).tolist(), np.cumsum(TURNS).tolist(), strict=True):
         _freed(docs)
-        done = settle(_verified(pairs, sets, least))
-        found, turn = done if found is None else found.union(done), turn + 1
-        if last:
-            del pairs, open_, rooted, postings, sets, more, sizes, apart, texts, ends, need
-            _freed(docs)
-            return components(found)
-        roots = settle(components(found))
+        paths: list[str] = []
+        rooted = filled.withColumn("root", F.col("node")) if roots is None else settle(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _CARRIED)}"
+        keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long")
+        # Only lists with nodes that are not all joined yet. As a table its size is known, so that Spark broadcasts it only where it is small.
+        open_ = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        open_ = stored(open_, "keys", paths)
+        postings = settle(rooted.mapInArrow(lambda batches: _post(batches, first, last, False), kind).join(open_, "key"))
+        removed(docs.sparkSession, *paths)
+        total, turn, fruitful = postings.count(), 0, True
+        while total:
+            sizes = postings.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            across = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+            one_by_one = across <= PAIRS * total or not fruitful
+            left, right = postings.alias("l"), postings.alias("r")
+            if one_by_one:
+                pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            else:
+                one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_CARRIED)).alias("m")).select("key", "m.*")
+                pairs = left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+            done, fruitful = verified(pairs)
+            found = done if found is None else found.union(done)
+            roots = settle(components(found))
+            if one_by_one:
+                break
+            postings, turn = settle(postings.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))), turn + 1
+    return roots if roots is not None else filled.select("node", F.col("node").alias("root")).limit(0)
+
+
+def _alike(least: float) -> Column:
+    """Conditions for two postings (l, r) of one key: not joined yet, sizes that allow the likeness, and few enough differing bits in what they carry."""
+    x, y = F.col("l.size"), F.col("r.size")
+    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"l.{p}").bitwiseXOR(F.col(f"r.{p}"))) for p in _CARRIED])
+    return (F.col("l.root") != F.col("r.root")) & (F.least(x, y) >= least * F.greatest(x, y) - 1e-9) & (bits <= DIFFER)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
