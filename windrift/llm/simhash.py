@@ -121,7 +121,7 @@ def near_duplicates(prints: DataFrame, bits: int = BITS) -> DataFrame:
     roots = components(links(nodes, bits))
     rooted = nodes.join(roots, nodes.simhash == roots.node).select("simhash", "first_id", "root").withColumn("salt", F.pmod(F.xxhash64("simhash"), F.lit(SALTS)))
     # A component may hold any share of the nodes, so its smallest id comes to them in SALTS copies; nodes without links need none.
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     linked = rooted.join(ids, ["root", "salt"]).select("simhash", "component_id")
     alone = nodes.join(roots, nodes.simhash == roots.node, "left_anti").select("simhash", F.col("first_id").alias("component_id"))
     return prints.join(linked.unionByName(alone), "simhash")
