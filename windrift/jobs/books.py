@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windrift.jobs.registry import add
 from windrift.operators import text as T
+from windrift.sources import files
 
 FIGURE = "' <img src=\"/a%20b/fig' || page_id || '.png\" alt=\"' || CASE WHEN page_id % 3 = 0 THEN '' ELSE 'plot ' || page_id END || '\"> and ![chart](x/y.png) or ![](m%2Dn.svg)'"
 
@@ -118,3 +119,29 @@ SELECT question_id, question, sha256('# ' || c.title || chr(10) || c.body || coa
 FROM q JOIN c ON c.doc_id = conv_id LEFT JOIN c d ON d.doc_id = conv_id + 1 LEFT JOIN c e ON e.doc_id = conv_id + 2""")
 add("b19_escape_html", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(T.escape_html("html"), 256).alias("digest")), "SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS digest FROM pages")
 add("b20_progress", lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", T.progress(F.col("turn") * 7 % 25, F.lit(20)).alias("percent")), "SELECT conv_id, turn, floor(greatest(1, least(turn * 7 % 25, 20)) / 20 * 100 + 0.5e0)::INT AS percent FROM conversations")
+
+
+# Files of books.
+def _manifests(spark: SparkSession, sf_dir: str) -> str:
+    """A manifest for each order, whose lines (seven at most) are its chapters and tracks."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("string").alias("id"), F.col("l_returnflag").alias("title"))
+    each = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("id", "title")).alias("chapters"))
+    rows = each.select(F.col("l_orderkey").cast("string").alias("version"), "chapters", F.transform("chapters", lambda c: F.struct(F.concat(F.lit("t"), c.id).alias("id"), c.id.alias("chapterId"))).alias("tracks"))
+    path = files.scratch_folder(spark, "manifests")
+    rows.write.json(path)
+    return path
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of texts for each source; each is expected, and a second one that is not there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")
+    path = files.scratch_folder(spark, "assets")
+    docs.write.partitionBy("source").text(path)
+    names = docs.select("source").distinct()
+    expected = names.select(F.explode(F.array(F.concat(F.lit("source="), "source"), F.concat(F.lit("audio="), "source"))).alias("name"))
+    return files.asset_check(expected, path)
+
+
+add("s5_read_manifest", lambda s, d: files.read_manifest(s, _manifests(s, d), lines=True).select("version", "id", "title"), "SELECT l_orderkey::VARCHAR AS version, l_linenumber::VARCHAR AS id, l_returnflag AS title FROM lineitem")
+add("s5b_read_tracks", lambda s, d: files.read_tracks(s, _manifests(s, d), lines=True).select("audio_version", "id", "chapterId"), """SELECT l_orderkey::VARCHAR AS audio_version, 't' || l_linenumber AS id, l_linenumber::VARCHAR AS "chapterId" FROM lineitem""")
+add("b9_asset_check", _assets, "WITH s AS (SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY source) SELECT 'source=' || source AS name, TRUE AS exists, bytes FROM s UNION ALL SELECT 'audio=' || source, FALSE, NULL FROM s")

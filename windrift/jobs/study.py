@@ -84,18 +84,30 @@ SELECT a.session_id, CASE WHEN NOT a.ok AND a.venue = 'Other' THEN coalesce(s.ve
 FROM a LEFT JOIN f ON a.p = f.p LEFT JOIN ft s ON s.session_id = f.src, g""")
 add("c2_zscore", lambda s, d: _round_all(standardised(s, d)), f"{_Z} SELECT session_id, venue, {_RNDF} FROM z")
 add("c3_kmeans", lambda s, d: C.assign_clusters((z := standardised(s, d).withColumn("z", F.array(*FEATURES))), C.centroid_table(C.kmeans_best(z, "z", K))).select("session_id", "cluster_id"))
-add("c4_k_scan", lambda s, d: C.k_scan(s.read.parquet(f"{d}/embeddings.parquet").withColumn("z", F.col("embedding").cast("array<double>")), "z"))
+add("c4_k_scan", lambda s, d: C.k_scan(s.read.parquet(f"{d}/embeddings.parquet").withColumn("z", F.col("embedding").cast("array<double>")), "z").select("k", "inertia", "silhouette", F.explode("by_cluster").alias("cluster_id", "cluster_silhouette")))
 add("c5_assign_clusters", lambda s, d: labelled(s, d).select("session_id", "cluster_id", rounded("distance", 5).alias("distance")), f"{_LABELS} SELECT session_id, cluster_id::INT AS cluster_id, {sql.r('distance', 5)} AS distance FROM lab")
 add("c6_silhouette", lambda s, d: C.silhouette(labelled(s, d), "session_id").select("session_id", "cluster_id", rounded("silhouette", 5).alias("silhouette")), f"""{_LABELS}, v AS MATERIALIZED (SELECT session_id, cluster_id, {_V} AS v FROM lab), s AS (SELECT a.session_id, a.cluster_id, b.cluster_id AS c2, avg(sqrt({_D2('a.v', 'b.v')})) AS d FROM v a, v b WHERE a.session_id <> b.session_id GROUP BY ALL),
 p AS (SELECT session_id, cluster_id, max(d) FILTER (WHERE c2 = cluster_id) AS a, min(d) FILTER (WHERE c2 <> cluster_id) AS b FROM s GROUP BY ALL)
 SELECT session_id, cluster_id::INT AS cluster_id, {sql.r("CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END", 5)} AS silhouette FROM p""")
-add("c7_cluster_summary", lambda s, d: C.cluster_summary(labelled(s, d), FEATURES).select("cluster_id", "size", F.array_join(F.transform("features", lambda x: x.feature), ",").alias("features")), f"""{_LABELS}, cm AS (SELECT cluster_id, count(*) AS size, {", ".join(f'avg("{n}") AS "{n}"' for n in FEATURES)} FROM lab GROUP BY cluster_id),
-l AS ({" UNION ALL ".join(f'''SELECT cluster_id, size, {i} AS i, '{n}' AS f, abs("{n}") AS a FROM cm''' for i, n in enumerate(FEATURES))}), o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY a DESC, i) AS rn FROM l)
-SELECT cluster_id::INT AS cluster_id, any_value(size) AS size, string_agg(f, ',' ORDER BY rn) AS features FROM o WHERE rn <= 5 GROUP BY cluster_id""")
-add("c7b_representatives", lambda s, d: C.representatives(labelled(s, d)), f"{_LABELS} SELECT cluster_id::INT AS cluster_id, rank::INT AS rank, session_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY distance, session_id) AS rank FROM lab) WHERE rank <= 5")
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.cluster_summary(labelled(spark, sf_dir), FEATURES, stats=C.feature_stats(features(spark, sf_dir), FEATURES))
+    top = rows.select("cluster_id", "size", "raw", F.posexplode("features").alias("place", "f"))
+    return top.select("cluster_id", "size", (F.col("place") + 1).alias("rank"), "f.feature", rounded("f.z", 5).alias("z"), rounded(F.element_at("raw", F.col("f.feature")), 5).alias("raw"), "f.reading")
+
+
+add("c6b_squared_silhouette", lambda s, d: C.squared_silhouette(labelled(s, d)).select("cluster_id", "size", rounded("silhouette", 5).alias("silhouette")), f"""{_LABELS}, v AS MATERIALIZED (SELECT session_id, cluster_id, {_V} AS v FROM lab), s AS (SELECT a.session_id, a.cluster_id, b.cluster_id AS c2, avg({_D2('a.v', 'b.v')}) AS d FROM v a, v b WHERE a.session_id <> b.session_id GROUP BY ALL),
+p AS (SELECT session_id, cluster_id, max(d) FILTER (WHERE c2 = cluster_id) AS a, min(d) FILTER (WHERE c2 <> cluster_id) AS b FROM s GROUP BY ALL)
+SELECT cluster_id::INT AS cluster_id, count(*) AS size, {sql.r("avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)", 5)} AS silhouette FROM p GROUP BY cluster_id""")
+add("c7_cluster_summary", _summary, f"""{_LABELS}, cm AS (SELECT cluster_id, count(*) AS size, {", ".join(f'avg("{n}") AS "{n}"' for n in FEATURES)} FROM lab GROUP BY cluster_id),
+st AS (SELECT {", ".join(f'avg("{n}") AS "m_{n}", CASE WHEN stddev_pop("{n}") = 0 THEN 1 ELSE stddev_pop("{n}") END AS "s_{n}"' for n in FEATURES)} FROM ft),
+l AS ({" UNION ALL ".join(f"""SELECT cluster_id, size, {i} AS i, '{n}' AS f, "{n}" AS z, "m_{n}" + "{n}" * "s_{n}" AS raw FROM cm, st""" for i, n in enumerate(FEATURES))}), o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY abs(z) DESC, i) AS rn FROM l)
+SELECT cluster_id::INT AS cluster_id, size, rn::INT AS rank, f AS feature, {sql.r('z', 5)} AS z, {sql.r('raw', 5)} AS raw, CASE WHEN z >= 0 THEN 'higher than the mean' ELSE 'lower than the mean' END AS reading FROM o WHERE rn <= 5""")
+add("c7b_representatives", lambda s, d: C.representatives(labelled(s, d)).withColumn("distance", rounded("distance", 5)), f"{_LABELS} SELECT cluster_id::INT AS cluster_id, rank::INT AS rank, session_id, {sql.r('sqrt(distance)', 5)} AS distance, venue FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY distance, session_id) AS rank FROM lab) WHERE rank <= 5")
 add("c8_cluster_axes", lambda s, d: _round_all(_axes(s, d)), f"{_AXES} SELECT cluster_id, {', '.join(f'{sql.r(a, 5)} AS {a}' for a in C.AXES)} FROM ax")
-add("c9_describe_clusters", lambda s, d: C.describe_clusters(_axes(s, d)).select("cluster_id", "name", "traits"), f"""{_AXES} SELECT cluster_id, CASE WHEN trend > 0.7 THEN 'Trend Lane' WHEN pressure > 0.6 AND shift < 0.2 THEN 'Pressure Hunt' WHEN shift > 0.6 AND regularity > 0 THEN 'Oscillating Shift' WHEN pressure > 0.3 AND shift > 0.3 THEN 'Mixed Edge' ELSE 'Unsettled Blend' END || ' ' || (cluster_id + 1) AS name,
-coalesce(nullif(concat_ws(', ', CASE WHEN pressure > 0.5 THEN 'high pressure' END, CASE WHEN shift > 0.5 THEN 'high shift' END, CASE WHEN regularity > 0.3 THEN 'regular' END, CASE WHEN regularity < -0.3 THEN 'irregular' END, CASE WHEN trend > 0.7 THEN 'trending' END, CASE WHEN coherence > 0.3 THEN 'coherent' END), ''), 'central') AS traits FROM ax""")
+_SAID = ", ".join(f"CASE WHEN {a} {sign} {limit} THEN '{text}' END" for a, sign, limit, text in C.SAYINGS)
+add("c9_describe_clusters", lambda s, d: C.describe_clusters(_axes(s, d)).select("cluster_id", "name", "description"), f"""{_AXES}, sd AS (SELECT *, coalesce(nullif(concat_ws(', ', {_SAID}), ''), '{C.SAYING_OTHERWISE}') AS said FROM ax)
+SELECT cluster_id, CASE WHEN trend > 0.7 THEN 'Trend Lane' WHEN pressure > 0.6 AND shift < 0.2 THEN 'Pressure Hunt' WHEN shift > 0.6 AND regularity > 0 THEN 'Oscillating Shift' WHEN pressure > 0.3 AND shift > 0.3 THEN 'Mixed Edge' ELSE 'Unsettled Blend' END || ' ' || (cluster_id + 1) AS name,
+upper(said[1]) || said[2:] || '.' AS description FROM sd""")
 _TERM = {a: a for a in C.AXES} | {"low": "least(pressure, shift)", "apart": "abs(pressure - shift)"}
 _ARCH = f"""{_AXES}, sc AS ({" UNION ALL ".join(f"SELECT cluster_id, {i} AS i, '{n}' AS archetype, " + " + ".join(f"{_TERM[k]} * {v}e0" for k, v in w.items()) + " AS score FROM ax" for i, (n, w) in enumerate(C.ARCHETYPES.items()))}), rk AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, i)::INT AS rank FROM sc)"""
 add("c10_score_archetypes", lambda s, d: C.score_archetypes(_axes(s, d)), f"{_ARCH} SELECT cluster_id, archetype, {sql.r('score')} AS score, rank, {sql.r('max(score) OVER (PARTITION BY cluster_id) - max(CASE WHEN rank = 2 THEN score END) OVER (PARTITION BY cluster_id)')} AS gap FROM rk")
@@ -104,6 +116,8 @@ add("c11_group_distribution", lambda s, d: C.group_distribution(labelled(s, d),
 add("c12_top_cluster", lambda s, d: C.top_cluster(C.group_distribution(labelled(s, d), "venue", K), "venue"), f"{_DIST} SELECT venue, cluster_id, share FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY n DESC, cluster_id) AS r FROM gd) WHERE r = 1")
 add("c13_pca", lambda s, d: C.pca(standardised(s, d), FEATURES, "session_id"))
 add("c14_c15_tree_rules", lambda s, d: C.tree_rules(C.surrogate_tree(lab := labelled(s, d), FEATURES), lab, FEATURES))
+add("c13b_pca_components", lambda s, d: C.pca_components(standardised(s, d), FEATURES).select("component", "explained", F.explode("loadings").alias("feature", "loading")))
+add("c15b_thresholds", lambda s, d: C.cluster_thresholds(C.tree_rules(C.surrogate_tree(lab := labelled(s, d), FEATURES), lab, FEATURES, top=8)))
 add("c16_linkage", lambda s, d: C.linkage(standardised(s, d), FEATURES))
 add("c17_run_summary", lambda s, d: C.run_summary(C.k_scan(standardised(s, d), FEATURES), C.score_archetypes(_axes(s, d))))
 
@@ -115,9 +129,13 @@ def live_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("ts", F.timestamp_millis(F.lit(1704067200000) + F.col("t_ms")))
 
 
-_WINDOWS = f"""WITH {sql.POINTS}, p AS (SELECT session_id, wind_kts, sin(radians(wind_dir)) AS s, cos(radians(wind_dir)) AS c, 1704067200000 + t_ms AS ms FROM points WHERE wind_kts > 3),
-x AS (SELECT *, (ms // 120000) * 120000 - 120000 * i AS st FROM p CROSS JOIN range(0, 3) r(i)), g AS (SELECT session_id, st, count(*) AS n, quantile_cont(wind_kts, 0.25) AS q1, quantile_cont(wind_kts, 0.5) AS q2, quantile_cont(wind_kts, 0.75) AS q3, avg(s) AS s, avg(c) AS c FROM x GROUP BY ALL),
-w AS (SELECT session_id, make_timestamp(st * 1000) AS start, make_timestamp((st + 360000) * 1000) AS "end", n, {sql.r(sql.ratio('q3 - q1', 'q2'))} AS i, {sql.r(sql.circ_std('s', 'c'))} AS k FROM g),
+_WINDOWS = f"""WITH {sql.POINTS}, p AS (SELECT session_id, wind_kts, wind_dir, 1704067200000 + t_ms AS ms FROM points WHERE wind_kts > 3),
+x AS (SELECT *, (ms // 120000) * 120000 - 120000 * i AS st FROM p CROSS JOIN range(0, 3) r(i)), g AS (SELECT session_id, st, count(*) AS n, quantile_cont(wind_kts, 0.25) AS q1, quantile_cont(wind_kts, 0.5) AS q2, quantile_cont(wind_kts, 0.75) AS q3 FROM x GROUP BY ALL),
+y AS (SELECT session_id, st, (ms - st)::DOUBLE AS t, wind_dir AS d, lag(wind_dir) OVER (PARTITION BY session_id, st ORDER BY ms, wind_dir) AS prev FROM x WHERE wind_dir IS NOT NULL),
+u AS (SELECT *, sum(CASE WHEN prev IS NULL THEN d ELSE {sql.turn('prev', 'd')} END) OVER (PARTITION BY session_id, st ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS u FROM y),
+sl AS (SELECT session_id, st, coalesce(CASE WHEN var_pop(t) > 0 THEN regr_slope(u, t) END, 0) AS m FROM u GROUP BY ALL),
+b AS (SELECT session_id, st, count(*) AS nd, avg(sin(radians(d - m * t))) AS s, avg(cos(radians(d - m * t))) AS c FROM u JOIN sl USING (session_id, st) GROUP BY ALL),
+w AS (SELECT session_id, make_timestamp(st * 1000) AS start, make_timestamp((st + 360000) * 1000) AS "end", n, {sql.r(sql.ratio('q3 - q1', 'q2'))} AS i, CASE WHEN nd >= 3 THEN {sql.r(sql.circ_std('s', 'c'))} END AS k FROM g LEFT JOIN b USING (session_id, st)),
 rt AS (SELECT *, CASE WHEN coalesce(i, 0.6e0) >= 0.612e0 AND coalesce(k, 60e0) >= 69.4e0 THEN 'Edge Out' WHEN coalesce(k, 60e0) >= 69.4e0 THEN 'Outside Track' WHEN coalesce(i, 0.6e0) >= 0.612e0 THEN 'Connect the Dots' ELSE 'Inside Track' END AS day_type FROM w)"""
 _roll = lambda s, d: live.rolling_day_type(live_points(s, d), "6 minutes", "2 minutes")
 add("r1_rolling_day_type", lambda s, d: _roll(s, d).select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "day_type"), f"{_WINDOWS} SELECT session_id, start, n, day_type FROM rt")

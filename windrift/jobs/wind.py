@@ -9,7 +9,7 @@ from windrift.functions.values import rounded, to_knots
 from windrift.jobs import sql
 from windrift.jobs.registry import add
 from windrift.operators import calibration, daytype, metrics, points
-from windrift.sources import adapters
+from windrift.sources import adapters, files
 
 
 def clean_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,27 @@ def _shown(df: DataFrame, *more: str) -> DataFrame:
 
 
 add("e6_normalise_points", lambda s, d: points.normalise_points(adapters.raw_points(s, d)).select("session_id", "seq", "t_ms", rounded("wind_dir").alias("wind_dir")), f"WITH {sql.POINTS} SELECT session_id, seq, t_ms, {sql.r('wind_dir')} AS wind_dir FROM clean")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points whose times are text; some are missing and some are no times."""
+    raw = adapters.raw_points(spark, sf_dir)
+    text = F.date_format(F.timestamp_millis(F.lit(1704067200000) + F.col("t_ms")), "yyyy-MM-dd HH:mm:ss.SSS")
+    timed = raw.withColumn("timestamp", F.when(F.col("seq") % 29 == 0, "n/a").when(F.col("seq") % 31 != 0, text)).drop("t_ms")
+    return points.normalise_points(points.parse_times(timed)).select("session_id", "seq", "t_ms", rounded("wind_kts").alias("wind_kts"))
+
+
+add("e6b_parse_times", _timed, f"WITH {sql.POINTS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t_ms, id) AS seq, 1704067200000 + t_ms AS t_ms, {sql.r('wind_kts')} AS wind_kts FROM raw WHERE id % 29 <> 0 AND id % 31 <> 0")
+add("y6b_coverage", lambda s, d: points.coverage(clean_points(s, d)), f"WITH {sql.POINTS} SELECT session_id, {sql.r('(max(t_ms) FILTER (WHERE wind_kts IS NOT NULL) - min(t_ms) FILTER (WHERE wind_kts IS NOT NULL)) / 60000', 2)} AS minutes FROM points GROUP BY session_id")
+
+
+def _logs_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch_folder(spark, "logs")
+    files.write_logs(adapters.log_lines(spark, sf_dir), path)
+    return files.read_logs(spark, path)
+
+
+add("s1_read_logs", _logs_read_back, f"WITH {_LINES} SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1)::INT AS line_no, line FROM lines")
 add("e7_active_time", lambda s, d: _shown(clean_points(s, d), "step_ms"), f"WITH {sql.POINTS} SELECT {_POINT}, step_ms FROM points")
 add("e8_infer_venue", lambda s, d: adapters.raw_points(s, d).groupBy("session_id", points.infer_venue("session_id").alias("venue")).agg(F.count("*").alias("n")), f"WITH {sql.POINTS} SELECT session_id, venue, count(*) AS n FROM clean GROUP BY ALL")
 add("e9_session_facts", lambda s, d: points.session_facts(clean_points(s, d)), f"WITH {sql.POINTS} SELECT session_id, venue, count(*) AS points, count(*) FILTER (WHERE wind_kts > 3) AS selected, min(t_ms) AS start_ms, max(t_ms) AS end_ms, {sql.r('(max(t_ms) - min(t_ms)) / 60000', 2)} AS minutes, {sql.r('any_value(step_ms) / 1000', 3)} AS step_s FROM points GROUP BY session_id, venue")

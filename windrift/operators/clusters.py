@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,23 +78,60 @@ def _vector(names: Sequence[str] | str) -> Column:
     return array_to_vector(F.col(names) if isinstance(names, str) else F.array(*names)).alias("features")
 
 
-def kmeans_best(z: DataFrame, names: Sequence[str] | str, k: int = 4, seeds: Sequence[int] = range(1, 25), max_iter: int = 60):
+#: Fits that run at once; each is a row of small jobs, which leave a cluster idle one after the other.
+AT_ONCE = 8
+
+
+def _best_fits(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int) -> dict[int, KMeansModel]:
+    """The model with the smallest cost of the starts of each k; of equal ones that of the first seed. ``rows`` is dealt out and kept while they run."""
+    rows = rows.repartition(min(AT_ONCE, rows.sparkSession.sparkContext.defaultParallelism)) if rows.rdd.getNumPartitions() == 1 else rows
+    rows = rows.persist()
+    try:
+        rows.count()
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            models = list(pool.map(lambda x: (x[0], KMeans(k=x[0], seed=x[1], maxIter=max_iter).fit(rows)), [(k, s) for k in ks for s in seeds]))
+    finally:
+        rows.unpersist()
+    return {k: min((m for n, m in models if n == k), key=lambda m: m.summary.trainingCost) for k in ks}
+
+
+def kmeans_best(z: DataFrame, names: Sequence[str] | str, k: int = 4, seeds: Sequence[int] = range(1, 25), max_iter: int = 60) -> KMeansModel:
     """The model with the smallest cost of several starts."""
-    rows = z.select(_vector(names)).cache()
-    models = [KMeans(k=k, seed=s, maxIter=max_iter).fit(rows) for s in seeds]
-    rows.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+    return _best_fits(z.select(_vector(names)), [k], seeds, max_iter)[k]
 
 
 def k_scan(z: DataFrame, names: Sequence[str] | str, ks: Sequence[int] = range(2, 7), seeds: Sequence[int] = range(1, 13), max_iter: int = 40) -> DataFrame:
-    """(k, inertia, silhouette); the silhouette is that of squared distances, which needs sums for each cluster only."""
-    rows = z.select(_vector(names)).cache()
+    """(k, inertia, silhouette, by_cluster): the silhouette of squared distances, which needs sums for each cluster only, overall and of each cluster (map)."""
+    rows = z.select(_vector(names))
+    models = _best_fits(rows, ks, seeds, max_iter)
     out = []
-    for k in ks:
-        model = min((KMeans(k=k, seed=s, maxIter=max_iter).fit(rows) for s in seeds), key=lambda m: m.summary.trainingCost)
-        out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(rows)))))
-    rows.unpersist()
-    return z.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+    for k, model in models.items():
+        # k rows.
+        per = squared_silhouette(model.transform(rows).select(F.col("prediction").alias("cluster_id"), vector_to_array("features").alias("z"))).collect()
+        total = sum(r["size"] for r in per)
+        out.append((k, float(model.summary.trainingCost), sum(r.silhouette * r["size"] for r in per) / max(total, 1), {int(r.cluster_id): float(r.silhouette) for r in per}))
+    return z.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, by_cluster map<int, double>")
+
+
+def squared_silhouette(labelled: DataFrame, vector: str = "z") -> DataFrame:
+    """(cluster_id, size, silhouette): the mean silhouette of squared distances of each cluster's rows; 0 for a cluster of one.
+
+    The mean squared distance of a row x to a cluster is |x|^2 + (sum of |y|^2 - 2 x (sum of y)) / n, so one row of sums a cluster serves all rows.
+    """
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
+    rows = labelled.select("cluster_id", F.col(vector).alias("z"), square.alias("q"))
+    flat = rows.select("cluster_id", F.posexplode("z").alias("i", "x")).groupBy("cluster_id", "i").agg(F.sum("x").alias("x"))
+    sums = flat.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("y"))  # a number for each dimension
+    sums = sums.join(rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum("q").alias("p")), "cluster_id")
+    all_ = sums.agg(F.collect_list(F.struct("cluster_id", "y", "n", "p")).alias("all"))  # a row for each cluster
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    total = lambda c: c.n * F.col("q") + c.p - 2 * dot(F.col("z"), c.y)
+    own = lambda c: c.cluster_id == F.col("cluster_id")
+    mine = F.get(F.filter("all", own), F.lit(0))
+    other = F.array_min(F.transform(F.filter("all", lambda c: ~own(c)), lambda c: total(c) / c.n))
+    met = rows.crossJoin(F.broadcast(all_)).withColumns({"alone": mine.n < 2, "a": total(mine) / F.greatest(mine.n - 1, F.lit(1)), "b": other})
+    score = F.when(F.col("alone") | F.col("b").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return met.groupBy("cluster_id").agg(F.count("*").alias("size"), F.avg(score).alias("silhouette"))
 
 
 def centroid_table(model) -> DataFrame:
@@ -131,17 +168,38 @@ def silhouette(labelled: DataFrame, key: str, vector: str = "z", blocks: int = 8
     return per.select(F.col("key").alias(key), "cluster_id", score.alias("silhouette"))
 
 
-def cluster_summary(labelled: DataFrame, names: Sequence[str], top: int = 5) -> DataFrame:
-    """(cluster_id, size, features): the ``top`` features by the size of the centroid's z, largest first."""
+def feature_stats(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: ``means`` and ``spreads`` (population standard deviation, 1 where it is 0) of the named columns, as arrays in their order."""
+    spread = lambda n: F.when(F.stddev_pop(n) == 0, 1.0).otherwise(F.stddev_pop(n))
+    return features.agg(F.array(*[F.avg(n) for n in names]).alias("means"), F.array(*[spread(n) for n in names]).alias("spreads"))
+
+
+def cluster_summary(labelled: DataFrame, names: Sequence[str], top: int = 5, stats: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, size, centroid, raw, features).
+
+    ``centroid`` holds the mean z of each named feature, and ``raw`` the same as a value (mean + z * spread) where ``stats`` of the features are given, else null; both are
+    maps. ``features`` are the ``top`` by the size of the centroid's z, largest first, each with its reading: higher or lower than the mean.
+    """
     means = labelled.groupBy("cluster_id").agg(F.count("*").alias("size"), *[F.avg(n).alias(n) for n in names])
+    keys, z = F.array(*map(F.lit, names)), F.array(*map(F.col, names))
     ranked = F.array_sort(F.array(*[F.struct((-F.abs(F.col(n))).alias("a"), F.lit(i).alias("i"), F.lit(n).alias("feature"), F.col(n).alias("z")) for i, n in enumerate(names)]))
-    return means.select("cluster_id", "size", F.transform(F.slice(ranked, 1, top), lambda s: F.struct(s.feature.alias("feature"), s.z.alias("z"))).alias("features"))
+    reading = lambda s: F.when(s.z >= 0, "higher than the mean").otherwise("lower than the mean")
+    features = F.transform(F.slice(ranked, 1, top), lambda s: F.struct(s.feature.alias("feature"), s.z.alias("z"), reading(s).alias("reading")))
+    if stats is None:
+        raw = F.lit(None).cast("map<string,double>")
+    else:
+        means = means.crossJoin(F.broadcast(stats))  # one row
+        raw = F.map_from_arrays(keys, F.transform(F.arrays_zip(z.alias("z"), F.col("means"), F.col("spreads")), lambda s: s.means + s.z * s.spreads))
+    return means.select("cluster_id", "size", F.map_from_arrays(keys, z).alias("centroid"), raw.alias("raw"), features.alias("features"))
 
 
 def representatives(labelled: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` sessions of each cluster nearest to its centroid (``distance``), ties by id."""
+    """(cluster_id, rank, session_id, distance, venue): the ``n`` sessions of each cluster nearest to its centroid (``distance`` is squared in ``labelled``), ties by id.
+
+    All members of a cluster are the rows of ``labelled`` itself.
+    """
     w = Window.partitionBy("cluster_id").orderBy("distance", "session_id")
-    return labelled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("cluster_id", "rank", "session_id")
+    return labelled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("cluster_id", "rank", "session_id", F.sqrt("distance").alias("distance"), *(["venue"] if "venue" in labelled.columns else []))
 
 
 def cluster_axes(centroids: DataFrame) -> DataFrame:
@@ -153,13 +211,27 @@ def cluster_axes(centroids: DataFrame) -> DataFrame:
     return centroids.select("cluster_id", *[c.alias(a) for a, c in axes.items()])
 
 
+#: What is said of a cluster where an axis is above (or below) a limit, in this order.
+SAYINGS = (
+    ("pressure", ">", 0.5, "pressure variation is above average"),
+    ("shift", ">", 0.5, "directional movement is above average"),
+    ("regularity", ">", 0.3, "the shifts show useful repeatability"),
+    ("regularity", "<", -0.3, "the pattern is structurally messy"),
+    ("trend", ">", 0.7, "persistent trend matters more than pure oscillation"),
+    ("coherence", ">", 0.3, "speed and direction are meaningfully linked"),
+)
+SAYING_OTHERWISE = "the session sits near the center of the fleet distribution"
+
+
 def describe_clusters(axes: DataFrame) -> DataFrame:
-    """``name`` by the first rule that fits and ``traits``, all that hold."""
-    p, s, r, t, c = (F.col(n) for n in AXES)
+    """``name`` by the first rule that fits and ``description``, a sentence of all that holds."""
+    p, s, r, t = (F.col(n) for n in ("pressure", "shift", "regularity", "trend"))
     name = F.when(t > 0.7, "Trend Lane").when((p > 0.6) & (s < 0.2), "Pressure Hunt").when((s > 0.6) & (r > 0), "Oscillating Shift").when((p > 0.3) & (s > 0.3), "Mixed Edge").otherwise("Unsettled Blend")
-    traits = [F.when(p > 0.5, "high pressure"), F.when(s > 0.5, "high shift"), F.when(r > 0.3, "regular"), F.when(r < -0.3, "irregular"), F.when(t > 0.7, "trending"), F.when(c > 0.3, "coherent")]
-    some = F.array_compact(F.array(*traits))
-    return axes.withColumns({"name": F.concat(name, F.lit(" "), (F.col("cluster_id") + 1).cast("string")), "traits": F.when(F.size(some) > 0, F.array_join(some, ", ")).otherwise("central")})
+    some = F.array_compact(F.array(*[F.when(F.col(a) > limit if sign == ">" else F.col(a) < limit, text) for a, sign, limit, text in SAYINGS]))
+    said = F.when(F.size(some) > 0, F.array_join(some, ", ")).otherwise(SAYING_OTHERWISE)
+    sentence = F.concat(F.upper(F.substring("_said", 1, 1)), F.expr("substring(_said, 2)"), F.lit("."))
+    named = axes.withColumns({"name": F.concat(name, F.lit(" "), (F.col("cluster_id") + 1).cast("string")), "_said": said})
+    return named.withColumn("description", sentence).drop("_said")
 
 
 def score_archetypes(axes: DataFrame, rules: dict[str, dict[str, float]] = ARCHETYPES) -> DataFrame:
@@ -186,14 +258,26 @@ def top_cluster(distribution: DataFrame, group: str) -> DataFrame:
     return distribution.groupBy(group).agg(F.max(F.struct("n", (-F.col("cluster_id")).alias("c"), "share")).alias("m")).select(group, (-F.col("m.c")).alias("cluster_id"), F.col("m.share").alias("share"))
 
 
+def _components(z: DataFrame, names: Sequence[str] | str, k: int) -> tuple[PCAModel, np.ndarray]:
+    """The model and the sign of each component, which makes its largest loading positive."""
+    model = PCA(k=k, inputCol="features", outputCol="pc").fit(z.select(_vector(names)))
+    load = model.pc.toArray()
+    return model, np.where(load[np.abs(load).argmax(0), range(k)] < 0, -1.0, 1.0)
+
+
 def pca(z: DataFrame, names: Sequence[str] | str, key: str, k: int = 2) -> DataFrame:
     """(key, pc1, pc2, ..): scores on the first components; each component's largest loading is positive."""
-    rows = z.select(key, _vector(names))
-    model = PCA(k=k, inputCol="features", outputCol="pc").fit(rows)
-    load = model.pc.toArray()
-    sign = np.sign(load[np.abs(load).argmax(0), range(k)])
+    model, sign = _components(z, names, k)
     score = vector_to_array("pc")
-    return model.transform(rows).select(key, *[(F.get(score, F.lit(i)) * float(sign[i] or 1)).alias(f"pc{i + 1}") for i in range(k)])
+    return model.transform(z.select(key, _vector(names))).select(key, *[(F.get(score, F.lit(i)) * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)])
+
+
+def pca_components(z: DataFrame, names: Sequence[str], k: int = 2) -> DataFrame:
+    """(component, explained, loadings): the share of the variance that each component explains, and its loadings by feature."""
+    model, sign = _components(z, names, k)
+    load = model.pc.toArray() * sign
+    rows = [(f"PC{i + 1}", float(model.explainedVariance[i]), {n: float(x) for n, x in zip(names, load[:, i], strict=True)}) for i in range(k)]
+    return z.sparkSession.createDataFrame(rows, "component string, explained double, loadings map<string, double>")
 
 
 def surrogate_tree(labelled: DataFrame, names: Sequence[str], depth: int = 3, min_leaf: int = 6) -> DecisionTreeClassificationModel:
@@ -222,6 +306,20 @@ def tree_rules(model: DecisionTreeClassificationModel, labelled: DataFrame, name
     return rows.groupBy("rule", "prediction").agg(F.count("*").alias("size"), F.avg((F.col("cluster_id") == F.col("prediction")).cast("double")).alias("purity")).orderBy(F.desc("size"), "rule").limit(top)
 
 
+def cluster_thresholds(rules: DataFrame) -> DataFrame:
+    """(cluster_id, feature, min_z, max_z): the limits of each cluster's largest rule, ties by the rule's text; the last one of a feature counts.
+
+    ``rules`` are those of ``tree_rules``.
+    """
+    largest = rules.groupBy(F.col("prediction").alias("cluster_id")).agg(F.min(F.struct((-F.col("size")).alias("n"), "rule")).alias("m"))
+    parts = largest.select("cluster_id", F.posexplode(F.split("m.rule", " and ")).alias("i", "part"))
+    taken = lambda g: F.regexp_extract("part", r"^(\S+) (<=|>) (-?[0-9.]+)$", g)
+    limits = parts.select("cluster_id", "i", taken(1).alias("feature"), taken(2).alias("sign"), F.expr("try_cast(regexp_extract(part, '(-?[0-9.]+)$', 1) as double)").alias("limit")).where("feature <> ''")
+    last = lambda sign: F.max_by("limit", F.when(F.col("sign") == sign, F.col("i")))
+    only = lambda sign: F.when(F.max((F.col("sign") == sign).cast("int")) == 1, last(sign))
+    return limits.groupBy("cluster_id", "feature").agg(only(">").alias("min_z"), only("<=").alias("max_z"))
+
+
 def _leaves(z: DataFrame, names: Sequence[str] | str, key: str, limit: int, seed: int) -> DataFrame:
     """(key, leaf, point): up to ``limit`` rows are leaves in the order of ``key``; more are summarised by k-means with ``limit`` centroids."""
     rows = z.select(F.col(key), _vector(names))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrift.functions.values import before, col, ordered, rounded, to_knots, wrap360, whole
+from windrift.functions.values import TICK, before, col, ordered, rounded, to_knots, whole, wrap360
 
 #: Substring of an upper-case session name and its venue; the first that fits counts.
 VENUES = (("AVON", "Avon"), ("AVN", "Avon"), ("CAGLIARI", "Cagliari"), ("GDYNIA", "Gdynia"), ("GORGE", "Gorge"), ("GREECE", "Greece"), ("HYERES", "Hyeres"), ("LONGBEACH", "Long Beach"), ("PALMA", "Palma"))
@@ -70,11 +70,28 @@ def infer_venue(name: Column | str, rules: Sequence[tuple[str, str]] = VENUES) -
     return out
 
 
+def parse_times(points: DataFrame, column: str = "timestamp") -> DataFrame:
+    """``points`` with ``t_ms`` from a text column of times; rows whose time cannot be read go."""
+    parsed = points.withColumn("t_ms", F.unix_millis(F.try_to_timestamp(col(column))))
+    return parsed.where(F.col("t_ms").isNotNull()).drop(column)
+
+
 def normalise_points(points: DataFrame) -> DataFrame:
-    """Rows with a time, numbers as doubles, directions in [0, 360), the venue, and ``seq`` counted from 1 in time order."""
+    """Rows with a time, numbers as doubles, directions in [0, 360), the venue, and ``seq`` counted from 1 in time order.
+
+    A session of more rows than the order key of the time frames can tell apart is an error.
+    """
     number = lambda c: F.expr(f"try_cast({c} as double)")
     clean = points.where(F.col("t_ms").isNotNull()).withColumns({"wind_kts": number("wind_kts"), "wind_dir": wrap360(number("wind_dir")), "boat_kts": number("boat_kts"), "venue": infer_venue("session_id")})
-    return clean.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("t_ms", "seq")).cast("long"))
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("t_ms", "seq")).cast("long")
+    few = clean.withColumn("seq", seq)
+    return few.withColumn("seq", F.when(F.col("seq") < TICK, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("too many rows: "), F.col("session_id"))).cast("long")))
+
+
+def coverage(points: DataFrame) -> DataFrame:
+    """(session_id, minutes): from the first to the last reading of the wind's speed; null where there is none."""
+    at = F.when(F.col("wind_kts").isNotNull(), F.col("t_ms"))
+    return points.groupBy("session_id").agg(rounded((F.max(at) - F.min(at)) / 60_000, 2).alias("minutes"))
 
 
 def with_active_time(points: DataFrame, max_step_ms: int = 30_000, default_ms: int = 2000, floor_ms: int = 10_000) -> DataFrame:

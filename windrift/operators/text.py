@@ -15,6 +15,8 @@ from windrift.functions.values import col
 NOT_CHAPTERS = ("Contents", "2025 Edition")
 OPENING = "Opening"
 TARGET, MINIMUM = 650, 500
+#: Ranges that an order is cut into, where one key may hold most of the rows.
+RANGES = 256
 IMAGE = r"<img[^>]*>|!\[[^\]]*\]\([^)]*\)"
 BLOCK = r"(?is)<(h1|h2|h3|p)[^>]*>(.*?)</\1>"
 
@@ -213,10 +215,26 @@ def packed(text: str, max_chars: int) -> list[str]:
     return [*out, now] if now else out
 
 
+def place_in_order(rows: DataFrame, order: str, ranges: int = RANGES) -> Column:
+    """The number of the range of ``order`` (a number column) that a row is in; the ranges are cut at its quantiles. Nulls are before all."""
+    edges = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    cuts = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    return F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda e: e < F.col(order))))
+
+
 def quota_plan(chunks: DataFrame, key: str, order: str, chars: str, quota: int) -> DataFrame:
-    """``running`` characters of each ``key`` in ``order``, and whether the piece still ``fits`` the quota."""
-    running = F.sum(chars).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return chunks.withColumn("running", running).withColumn("fits", F.col("running") <= quota)
+    """``running`` characters of each ``key`` in ``order`` (a number), and whether the piece still ``fits`` the quota.
+
+    Sums run inside ranges of ``order`` and start from those of the ranges before, so that one key may hold any share of the rows.
+    """
+    placed = chunks.withColumn("_range", place_in_order(chunks, order))
+    before = placed.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.sum(chars).alias("_n"))
+    w = Window.partitionBy("_key").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = before.select("_key", "_r", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inside = F.sum(chars).over(Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    met = placed.withColumn("_inside", inside).join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    out = met.withColumn("running", F.col("_before") + F.col("_inside"))
+    return out.withColumn("fits", F.col("running") <= quota).select(*chunks.columns, "running", "fits")
 
 
 def edition_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,11 +246,16 @@ def edition_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 def edition_changes(docs: DataFrame, family: str, version: str, text: str = "text") -> DataFrame:
     """(family, version, word_delta, kept, added, removed): each edition against the one before, by distinct lines.
 
-    Lines are compared by hash within the pair of editions, so no edition's text meets another's.
+    Lines are compared by hash within the pair of editions, so no edition's text meets another's. ``version`` is a number.
     """
-    w = Window.partitionBy(family).orderBy(version)
     heads = docs.select(family, version, word_count(text).alias("words"))
-    heads = heads.withColumns({"previous": F.lag(version).over(w), "word_delta": F.col("words") - F.lag("words").over(w)})
+    heads = heads.withColumn("_range", place_in_order(heads, version))
+    # Neighbours are found inside ranges; the first of a range follows the last of the range before.
+    w = Window.partitionBy(family, "_range").orderBy(version)
+    last = heads.groupBy(F.col(family).alias("_f"), F.col("_range").alias("_r")).agg(F.max(F.struct(version, "words")).alias("last"))
+    last = last.select("_f", "_r", F.lag("last").over(Window.partitionBy("_f").orderBy("_r")).alias("last"))  # a row for each range
+    heads = heads.withColumn("_own", F.lag(F.struct(version, "words")).over(w)).join(last, F.col(family).eqNullSafe(F.col("_f")) & (F.col("_range") == F.col("_r")))
+    heads = heads.withColumn("_own", F.coalesce("_own", "last")).select(family, version, "words", F.col("_own")[version].alias("previous"), (F.col("words") - F.col("_own.words")).alias("word_delta"))
     lines = docs.select(family, version, F.explode(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""), lambda s: F.xxhash64(s)))).alias("h"))
     new = lines.join(heads.select(family, version, "previous"), [family, version]).select(family, F.col(version).alias("v"), "h", F.lit(1).alias("new"), F.lit(0).alias("old"))
     old = lines.withColumnRenamed(version, "previous").join(heads.select(family, F.col(version).alias("v"), "previous"), [family, "previous"]).select(family, "v", "h", F.lit(0).alias("new"), F.lit(1).alias("old"))

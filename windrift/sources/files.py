@@ -22,12 +22,21 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def write_logs(lines: DataFrame, path: str) -> None:
+    """Session logs as text: a file for each session_id, its lines in order of line_no, in a folder named session_id=..."""
+    ordered = lines.repartition("session_id").sortWithinPartitions("session_id", "line_no")
+    ordered.select("session_id", "line").write.partitionBy("session_id").text(path)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, line_no, line) of text files, one session a file named after it; blank lines go but count.
+    """(session_id, line_no, line) of text files, one session a file named after it (or after its folder, as ``write_logs`` has it); blank lines go but count.
 
     A file is read whole, so its lines keep their order.
     """
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("session_id"), F.split("value", "\r?\n").alias("lines"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.input_file_name()
+    folder = F.regexp_extract(name, r"session_id=([^/]+)/[^/]*$", 1)
+    files = files.select(F.when(folder != "", folder).otherwise(F.element_at(F.split(name, "/"), -1)).alias("session_id"), F.split("value", "\r?\n").alias("lines"))
     rows = files.select("session_id", F.posexplode("lines").alias("line_no", "line"))
     return rows.withColumn("line", F.trim("line")).where("line <> ''")
 
@@ -51,18 +60,22 @@ def write_results(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}.json")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each chapter of JSON manifests (version, chapters[])."""
-    return spark.read.json(path, multiLine=True).select("version", F.inline("chapters"))
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row for each chapter of JSON manifests (version, chapters[]); with ``lines`` a manifest is a line of a file, else a file."""
+    return spark.read.json(path, multiLine=not lines).select("version", F.inline("chapters"))
 
 
-def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each track of JSON audio manifests (version, tracks[])."""
-    return spark.read.json(path, multiLine=True).select(F.col("version").alias("audio_version"), F.inline("tracks"))
+def read_tracks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row for each track of JSON audio manifests (version, tracks[]); with ``lines`` a manifest is a line of a file, else a file."""
+    return spark.read.json(path, multiLine=not lines).select(F.col("version").alias("audio_version"), F.inline("tracks"))
 
 
 def asset_check(expected: DataFrame, path: str) -> DataFrame:
-    """``expected`` (name) with ``exists`` and ``bytes`` of the files under ``path``; their content is not read."""
+    """``expected`` (name) with ``exists`` and ``bytes`` of the files under ``path``; their content is not read.
+
+    The part files of a folder that Spark wrote are one asset with the folder's name.
+    """
     spark = expected.sparkSession
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+?)(?:/part-[^/]*)?$", 1).alias("name"), "length")
+    found = listed.groupBy("name").agg(F.sum("length").alias("bytes"))
     return expected.join(found, "name", "left").select("name", F.col("bytes").isNotNull().alias("exists"), "bytes")

@@ -5,26 +5,57 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrift.functions.values import circ_std, ratio, rounded
+from windrift.functions.values import circ_std, ratio, rounded, turn
 from windrift.operators.daytype import classify
 
 
+#: Directions that a window must have for a detrended spread; fewer lie on any line.
+MIN_DIRECTIONS = 3
+
+
+def _detrended_spread(readings: Column) -> Column:
+    """The circular standard deviation of directions around their own trend; ``readings`` are (t, d) in order of time.
+
+    One fold unwraps the directions and gathers the sums of their regression on time; another turns each back by the trend. The
+    intercept turns all alike, so it changes no spread.
+    """
+    number = lambda x: F.lit(x).cast("double")
+    start = F.struct(number(None).alias("d"), number(0).alias("u"), *[number(0).alias(n) for n in ("n", "t", "y", "ty", "tt")])
+
+    def step(s: Column, r: Column) -> Column:
+        u = F.when(s.d.isNull(), r.d).otherwise(s.u + turn(s.d, r.d))
+        return F.struct(r.d.alias("d"), u.alias("u"), (s.n + 1).alias("n"), (s.t + r.t).alias("t"), (s.y + u).alias("y"), (s.ty + r.t * u).alias("ty"), (s.tt + r.t * r.t).alias("tt"))
+
+    slope = F.aggregate(readings, start, step, lambda s: ratio(s.n * s.ty - s.t * s.y, s.n * s.tt - s.t * s.t, True))
+    turned = lambda m: F.aggregate(
+        readings, F.struct(number(0).alias("s"), number(0).alias("c")),
+        lambda a, r: F.struct((a.s + F.sin(F.radians(r.d - m * r.t))).alias("s"), (a.c + F.cos(F.radians(r.d - m * r.t))).alias("c")),
+        lambda a: circ_std(a.s / F.size(readings), a.c / F.size(readings)),
+    )
+    return F.when(F.size(readings) >= MIN_DIRECTIONS, F.get(F.transform(F.array(slope), turned), F.lit(0)))
+
+
 def rolling_windows(points: DataFrame, window: str = "30 minutes", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Measures of each session in sliding windows of ``ts``; works alike on a stream and on a table.
 
-    The spread of direction is the plain circular one. Rows later than ``late`` are dropped by a stream; a window
-    comes out once the watermark has passed it.
+    ``detrendedCircularStdDev`` is the spread of the directions around the window's own trend, so that the thresholds of the sessions fit it;
+    ``circularStdDev`` is the plain one. Readings at equal times go by direction. A window's directions are its state. Rows later than ``late``
+    are dropped by a stream; a window comes out once the watermark has passed it.
     """
     w = F.window("ts", window, slide)
     q = F.percentile("wind_kts", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     marked = points.withWatermark("ts", late) if points.isStreaming else points
-    rows = marked.withColumns({"s": F.sin(F.radians("wind_dir")), "c": F.cos(F.radians("wind_dir"))})
-    out = rows.groupBy("session_id", w.alias("w")).agg(F.count("*").alias("n"), q.alias("q"), F.avg("s").alias("s"), F.avg("c").alias("c"))
+    reading = F.when(F.col("wind_dir").isNotNull(), F.struct(F.unix_millis("ts").alias("t"), F.col("wind_dir").alias("d")))
+    out = marked.groupBy("session_id", w.alias("w")).agg(F.count("*").alias("n"), q.alias("q"), F.array_sort(F.collect_list(reading)).alias("r"))
+    since = F.unix_millis("w.start")
+    readings = F.transform("r", lambda x: F.struct((x.t - since).cast("double").alias("t"), x.d.alias("d")))
+    mean = lambda f: F.aggregate(F.col("r"), F.lit(0.0), lambda s, x: s + f(F.radians(x.d))) / F.greatest(F.size("r"), F.lit(1))
+    plain = F.when(F.size("r") > 0, circ_std(mean(F.sin), mean(F.cos)))
     iqr = ratio(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.get("q", F.lit(1)))
-    return out.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", rounded(iqr).alias("iqrRatio"), rounded(circ_std(F.col("s"), F.col("c"))).alias("detrendedCircularStdDev"))
+    return out.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", rounded(iqr).alias("iqrRatio"), rounded(plain).alias("circularStdDev"), rounded(_detrended_spread(readings)).alias("detrendedCircularStdDev"))
 
 
 def rolling_day_type(points: DataFrame, window: str = "30 minutes", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
