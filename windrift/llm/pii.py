@@ -186,9 +186,10 @@ def digest(spans: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s.base)
-    count = lambda kind: F.size(F.filter(base, lambda s: s.kind == kind)).cast("long")
-    counts = [count(k).alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"))
+    count = lambda spans, kind: F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+    counts = [count(base, k).alias(f"n_{k}") for k in KINDS[:4]]
+    added = [count("pii", k).alias(f"n_{k}") for k in KINDS[4:]]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), *added)
 
 
 QUERIES = {"op8_pii": op8_pii}
