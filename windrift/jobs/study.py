@@ -20,9 +20,14 @@ K = 4
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each session with 16 features from active time, zero-filled; the two of the autocorrelation are a query of their own."""
+    """A row for each session with 16 features from active time, zero-filled; the two of the autocorrelation are a query of their own.
+
+    Read again from a scratch table, as its users need the rows several times.
+    """
     out = wind.measured(spark, sf_dir, *NAMES.values(), time="active_ms", zero_filled=True)
-    return out.select("session_id", "venue", *[F.col(m).alias(n) for n, m in NAMES.items()]).cache()  # a row a session, read by every fit
+    path = files.scratch_folder(spark, "features")
+    out.select("session_id", "venue", *[F.col(m).alias(n) for n, m in NAMES.items()]).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _FEATURES = sql.measure(list(NAMES.values()), time="active_ms", zero_filled=True) + ", ft AS MATERIALIZED (SELECT session_id, venue, " + ", ".join(f'"{m}" AS "{n}"' for n, m in NAMES.items()) + " FROM m)"
@@ -165,6 +170,19 @@ SELECT a.h AS minutes, count(*) AS sessions, count(*) FILTER (WHERE a.k = b.k) A
 
 
 # Stored results.
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles of the clusters, written as JSON and read again, a row for each feature with a threshold."""
+    lab = labelled(spark, sf_dir)
+    axes = C.cluster_axes(lab.groupBy("cluster_id").agg(*[F.avg(n).alias(n) for n in FEATURES]))
+    rules = C.tree_rules(C.surrogate_tree(lab, FEATURES), lab, FEATURES, top=8)
+    rows = C.compact_profiles(C.describe_clusters(axes), C.cluster_summary(lab, FEATURES, stats=C.feature_stats(features(spark, sf_dir), FEATURES)), C.score_archetypes(axes), C.cluster_thresholds(rules))
+    path = files.scratch_folder(spark, "profiles")
+    files.write_results({"profiles": rows}, path)
+    back = spark.read.parquet(f"{path}/profiles")
+    return back.select("cluster_id", "name", "archetype", "description", F.explode_outer("thresholds").alias("feature", "limit")).select("cluster_id", "name", "archetype", "description", "feature", "limit.min_z", "limit.max_z")
+
+
+add("s4b_compact_profiles", _profiles)
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
     rows = points.expect_sessions(points.normalise_points(adapters.raw_points(spark, sf_dir)), users)

@@ -139,6 +139,9 @@ SELECT metric, strategy, bin, {sql.r("lo + bin * w", 2)} AS "from", {sql.r("CASE
 add("a5_label_buckets", lambda s, d: calibration.label_buckets(t := table(s, d), calibration.thresholds(t)), f"""{sql.table()}, cut AS ({_CUT}), l AS (SELECT metric, strategy, CASE WHEN metric = 'phasePersistence' THEN (value <= t2)::INT + (value <= t1)::INT + (value <= t0)::INT ELSE (value >= t0)::INT + (value >= t1)::INT + (value >= t2)::INT END AS label FROM mt JOIN cut USING (metric) WHERE value IS NOT NULL)
 SELECT metric, strategy, count(*) AS n, {", ".join(sql.r(f"(count(*) FILTER (WHERE label = {k})) / count(*) * 100", 2) + f" AS share{k}" for k in range(4))} FROM l GROUP BY metric, strategy""")
 add("a6_venue_comparison", lambda s, d: calibration.venue_comparison(table(s, d)), f"{sql.table()} SELECT venue, " + ", ".join(f"""{sql.r(f"avg(value) FILTER (WHERE metric = '{n}')")} AS "{n}" """ for n in sql.CALIBRATED) + " FROM mt WHERE strategy = 'D' GROUP BY venue")
+add("a6b_venue_transfer", lambda s, d: calibration.venue_transfer(table(s, d)), f"""{sql.table()}, v AS (SELECT session_id, venue, max({sql.r('value')}) FILTER (WHERE metric = 'iqrRatio') AS i, max({sql.r('value')}) FILTER (WHERE metric = 'detrendedCircularStdDev') AS d FROM mt WHERE strategy = 'E' GROUP BY ALL HAVING i IS NOT NULL AND d IS NOT NULL),
+o AS (SELECT venue, count(*) AS sessions, {sql.r('quantile_cont(i, 0.5)')} AS iqr, {sql.r('quantile_cont(d, 0.5)')} AS dcsd FROM v GROUP BY venue HAVING count(*) >= 4)
+SELECT *, {sql.r('agree / sessions * 100', 2)} AS percent FROM (SELECT venue, sessions, iqr, dcsd, count(*) FILTER (WHERE (i >= 0.612e0) = (i >= iqr) AND (d >= 69.4e0) = (d >= dcsd)) AS agree FROM v JOIN o USING (venue) GROUP BY venue, sessions, iqr, dcsd)""")
 add("a7_strategy_comparison", lambda s, d: calibration.strategy_comparison(table(s, d)), f"{sql.table()} SELECT strategy, metric, {sql.r('avg(value)')} AS mean, {sql.r('quantile_cont(value, 0.5)')} AS median, count(value) AS n FROM mt GROUP BY strategy, metric")
 add("a8_correlation_matrix", lambda s, d: calibration.correlation_matrix(table(s, d)), f"""{sql.table()}, k AS (SELECT DISTINCT metric FROM mt), v AS (SELECT * FROM mt WHERE strategy = 'D' AND value IS NOT NULL)
 SELECT a.metric AS metric_a, b.metric AS metric_b, CASE WHEN count(x.value + y.value) >= 3 THEN {sql.r("corr(x.value, y.value)", 5)} END AS r FROM k a CROSS JOIN k b LEFT JOIN v x ON x.metric = a.metric LEFT JOIN v y ON y.metric = b.metric AND y.session_id = x.session_id WHERE y.value IS NOT NULL OR x.value IS NULL OR TRUE GROUP BY ALL""")

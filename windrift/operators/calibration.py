@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrift.functions.values import level, rounded
+from windrift.operators.daytype import DCSD, IQR
 from windrift.operators.metrics import CALIBRATED, INVERTED
 
 BINS = 12
 PROBS = (0.35, 0.65, 0.85)
 QUARTILES = (0.25, 0.5, 0.75)
-#: Venues from the steadiest to the most variable wind, as known beforehand.
+#: Venues from the steadiest to the most variable wind, as known beforehand.
 VENUE_ORDER = ("Cagliari", "Palma", "Hyeres", "Long Beach", "Avon", "Greece", "Gdynia", "Gorge")
 
 
@@ -62,6 +63,21 @@ def venue_comparison(metrics: DataFrame, strategy: str = "D") -> DataFrame:
     return wide.select("venue", *[rounded(n).alias(n) for n in names])
 
 
+def venue_transfer(metrics: DataFrame, strategy: str = "E") -> DataFrame:
+    """(venue, sessions, iqr, dcsd, agree, percent): how often the type by a venue's own middle thresholds is that by the common ones.
+
+    The middle threshold decides puffy and shifty; a venue's own are its medians, of four sessions or more that have both measures.
+    """
+    of = lambda m: F.first(F.when(F.col("metric") == m, rounded("value")), ignorenulls=True)
+    both = metrics.where((F.col("strategy") == strategy) & F.col("metric").isin("iqrRatio", "detrendedCircularStdDev"))
+    rows = both.groupBy("session_id", "venue").agg(of("iqrRatio").alias("i"), of("detrendedCircularStdDev").alias("d")).where("i is not null and d is not null")
+    own = rows.groupBy("venue").agg(F.count("*").alias("sessions"), rounded(F.percentile("i", F.lit(0.5))).alias("iqr"), rounded(F.percentile("d", F.lit(0.5))).alias("dcsd")).where("sessions >= 4")
+    met = rows.join(F.broadcast(own), "venue")  # a row for each venue
+    same = ((F.col("i") >= IQR[1]) == (F.col("i") >= F.col("iqr"))) & ((F.col("d") >= DCSD[1]) == (F.col("d") >= F.col("dcsd")))
+    out = met.groupBy("venue", "sessions", "iqr", "dcsd").agg(F.sum(same.cast("int")).alias("agree"))
+    return out.withColumn("percent", rounded(F.col("agree") / F.col("sessions") * 100, 2))
+
+
 def strategy_comparison(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("strategy", "metric").agg(rounded(F.avg("value")).alias("mean"), rounded(F.percentile("value", F.lit(0.5))).alias("median"), F.count("value").alias("n"))
 
@@ -104,6 +120,7 @@ def choose_strategy(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
     kept = sizes.groupBy("strategy").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(sessions)).select("strategy", (F.col("n") / F.col("sessions")).alias("points"))
     rows = level_.join(kept, "strategy")
     base = rows.where("strategy = 'A'").select(F.col("cv").alias("cv0"), F.col("csd").alias("csd0"), F.col("points").alias("points0"))
+    # The weights of the two measures and of the coverage, and what the gates by speed have in advance.
     prior = F.when(F.col("strategy") == "D", 0.04).when(F.col("strategy") == "E", 0.01).otherwise(0.0)
     rows = rows.crossJoin(F.broadcast(base)).withColumn("coverage", F.col("points") / F.col("points0"))
     score = (F.col("cv0") - F.col("cv")) * 1.8 + (F.col("csd0") - F.col("csd")) * 0.03 + F.col("coverage") * 0.2 + prior

@@ -246,6 +246,14 @@ def score_archetypes(axes: DataFrame, rules: dict[str, dict[str, float]] = ARCHE
     return ranked.select("cluster_id", "archetype", rounded("score").alias("score"), "rank", rounded(gap).alias("gap"))
 
 
+def compact_profiles(described: DataFrame, summary: DataFrame, archetypes: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """A row for each cluster to write out: (cluster_id, name, archetype, description, raw, thresholds), the last a map of feature to (min_z, max_z)."""
+    best = archetypes.where("rank = 1").select("cluster_id", "archetype")
+    limits = thresholds.groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.struct("min_z", "max_z"))))).alias("thresholds"))  # a few features
+    rows = described.select("cluster_id", "name", "description").join(best, "cluster_id").join(summary.select("cluster_id", "raw"), "cluster_id")
+    return rows.join(limits, "cluster_id", "left").select("cluster_id", "name", "archetype", "description", "raw", "thresholds")
+
+
 def group_distribution(labelled: DataFrame, group: str, k: int) -> DataFrame:
     """Sessions and share (%) of each cluster in each group, zeros too."""
     counts = labelled.groupBy(group, "cluster_id").agg(F.count("*").alias("n"))
