@@ -243,6 +243,19 @@ def test_neighbours_with_clashing_names_and_long_rows(spark):
     assert {k: got[k].after for k in got} == {k: rows[(k + 5 - 1) % len(rows)][1] for k in range(-5, 40)}
 
 
+def test_neighbours_of_repeated_and_null_ids(spark):
+    rows = [(5 if k % 3 == 0 else None if k % 3 == 1 else k, f"text {k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = syncmers.with_next(df, rows=3)
+    got = {r.text: (r.after, r.r) for r in out.select("text", "r", F.col("_next.text").alias("after")).collect()}
+    signed = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))]
+    assert {t: got[t][0] for t in order} == {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+    for some in (5, None):
+        ranges = [got[t][1] for i, t in rows if i == some]
+        assert len(set(ranges)) > 50 and max(map(ranges.count, set(ranges))) < 30
+
+
 def test_wide_fingerprints_and_their_index(spark):
     rng = np.random.default_rng(17)
     counts = np.array([0, 1, 255, 256, 1000])

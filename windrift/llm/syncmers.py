@@ -20,6 +20,8 @@ _UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\
 TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]+|[{_UNSPACED}]|[^\p{{L}}\p{{M}}\p{{N}}\s]"
 #: Ranges of ids that neighbours are looked up in: quantiles, each cut into equal widths.
 QUANTILES, WIDTHS = 256, 64
+#: Most parts that a repeated id is cut into, a power of two.
+PARTS = 4096
 #: Aimed-at documents of a range.
 ROWS = 2000
 
@@ -92,14 +94,16 @@ def matches(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str =
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) with ``_next``, a struct of text and anchor hashes of the next in descending doc_id, the first after the last; and its own ``_anchors``.
+    """Each row of ``docs`` (doc_id, a whole number, and text) with ``_next``, a struct of text and anchor hashes of the next in descending doc_id, the first after the last; and its own ``_anchors``.
 
-    Ids are cut into many ranges, from their quantiles. The head of each range is also sent to the range before it, so one
-    shuffle by range and a window inside each range find every neighbour. Ties go by the hash of the text; null ids come last.
+    Ids are cut into many ranges, from their quantiles; an id that fills several quantiles, and null, are cut further by the text's hash.
+    The head of each range is also sent to the range before it, so one shuffle by range and a window inside each range find every neighbour.
+    Ties go by the hash of the text; null ids come last.
     """
     # Boundaries: at most QUANTILES numbers, whatever the input.
-    total, edges = docs.agg(F.count("*"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)])).first()
-    edges = sorted(set(edges or [0]))
+    total, nulls, edges = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)])).first()
+    every = edges or [0]
+    edges = sorted(set(every))
     cuts = F.array(*[F.lit(int(e)).cast("long") for e in edges])
     widths = min(WIDTHS, total // (rows * len(edges)) + 1)
     # A quantile holds so few rows in a small input that several form one range.
@@ -109,21 +113,28 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     high = F.coalesce(F.get(cuts, nth + 1), low + 1)
     inside = F.floor((F.col("doc_id") - low).cast("double") / F.greatest(high - low, F.lit(1)) * widths)
     place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor(nth / joined) * widths + (F.least(F.greatest(inside, F.lit(0)), F.lit(widths - 1)) if joined == 1 else 0)).cast("int")
-    placed = docs.withColumn("_range", place)
-    heads = placed.groupBy("_range").agg(F.max("doc_id").alias("_head"))
+    # Ids that several quantiles name, the last of their range in this order, and nulls: in parts by the text's hash, smaller hashes first.
+    often = {int(e): every.count(e) for e in edges if every.count(e) > 1} if joined == 1 else {}
+    most = max([nulls, *(n * total // QUANTILES for n in often.values())])
+    parts = min(PARTS, most // rows + 1)
+    part = F.pmod(F.shiftrightunsigned("_hash", 64 - PARTS.bit_length() + 1) + PARTS // 2, F.lit(PARTS)) * parts / PARTS
+    split = F.col("doc_id").isNull() | (F.col("doc_id").isin(*often) if often else F.lit(False))
+    fine = F.col("_place").cast("long") * (parts + 1) + F.when(split, parts - 1 - F.floor(part)).otherwise(parts)
+    placed = docs.withColumns({"_hash": F.xxhash64("text"), "_place": place}).withColumn("_range", fine).drop("_place")
+    heads = placed.groupBy("_range").agg(F.max(F.struct("doc_id", F.bitwise_not("_hash").alias("h"))).alias("_head"))
     order = Window.orderBy(F.desc("_range"))  # one row for each range
     ranked = heads.withColumn("_before", F.lag("_range").over(order))
     lowest = heads.agg(F.min("_range").alias("m"))
     ranked = ranked.crossJoin(F.broadcast(lowest)).select("_range", "_head", F.coalesce("_before", "m").alias("_guest"), F.col("_before").isNull().alias("_wrap"))
     joined_up = placed.join(F.broadcast(ranked), "_range")
-    is_head = F.col("doc_id").eqNullSafe(F.col("_head"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("_head.doc_id")) & (F.bitwise_not("_hash") == F.col("_head.h"))
     spots = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")))
     guest = F.array(F.struct(F.col("_guest").alias("r"), F.when(F.col("_wrap"), 2).otherwise(1).alias("g")))
-    spread = joined_up.select("doc_id", "text", F.explode(F.when(is_head, F.concat(spots, guest)).otherwise(spots)).alias("s")).select("doc_id", "text", "s.r", "s.g")
+    spread = joined_up.select("doc_id", "text", "_hash", F.explode(F.when(is_head, F.concat(spots, guest)).otherwise(spots)).alias("s")).select("doc_id", "text", "_hash", "s.r", "s.g")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = spread.repartition(max(n, int(total // (8 * rows)) + 1), "r").withColumn("_anchors", syncmers(F.col("text")))
-    following = Window.partitionBy("r").orderBy("g", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    return dealt.withColumn("_next", F.lead(F.struct("text", hashes(F.col("_anchors")).alias("hashes"))).over(following)).where("g = 0")
+    following = Window.partitionBy("r").orderBy("g", F.desc_nulls_last("doc_id"), "_hash")
+    return dealt.withColumn("_next", F.lead(F.struct("text", hashes(F.col("_anchors")).alias("hashes"))).over(following)).where("g = 0").drop("_hash")
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
