@@ -2,9 +2,9 @@
 
 The fingerprint is ``BYTES`` positional bytes over the distinct shingles of a text. Two texts with a Jaccard index of 0.8 differ in about 0.15
 of the bits (angle of the sets), so they share a byte with the probability 0.27 and about 17 of 64. A posting is a choice of three
-positions and the bytes there; with ``KEYS`` choices a pair at 0.8 meets with the probability 0.98, one at 0.85 with 0.997 (measured; README). The tally of shared positional bytes keeps
-the pairs that reach ``SHARED`` of 64, which a pair at 0.8 misses in about one of 1,500 cases (binomial) and unlike texts never reach, and the
-whole sets of shingles decide, so no pair below the limit is linked.
+positions and the bytes there. With ``KEYS`` choices 0.96 of the pairs between 0.80 and 0.82 meet, 0.99 of those between 0.84 and 0.86 and
+all of 2,257 at 0.90 to 0.95 (measured; README). The tally of shared positional bytes keeps the pairs that reach ``SHARED`` of 64, which a pair at 0.8 misses in about one of 1,500
+cases (binomial; none of 8,630 measured) and unlike texts never reach, and the whole sets of shingles decide, so no pair below the limit is linked.
 
 A node is a distinct set of shingles, so copies cost one row. To keep large groups linear, the nodes of a posting list are first compared with one of them,
 the one that is smallest by a hash of the round; what these links do not join is compared pair by pair.
@@ -32,8 +32,10 @@ LEAST = 0.8
 WORDS = 8
 BYTES, SHARED = 8 * WORDS, 7
 _NAMES = [f"p{w}" for w in range(WORDS)]
-#: Words of the fingerprint that a posting carries, and the most of their 256 bits in which a pair may differ; at 0.8 (38 on average) one pair of 1,500 differs in more (binomial).
+#: Words of the fingerprint that a posting carries, and the most of their 256 bits in which a pair may differ; at 0.8 (38 on average) one pair of 1,150 differs in more (binomial).
 _CARRIED, DIFFER = _NAMES[:4], 56
+#: The most bits of the first word in which a pair may differ; at 0.8 (9 on average) one pair of 40,000 differs in more (binomial), and one of 120 unlike pairs in so few.
+FIRST = 22
 #: Choices of positions, in turns: what a turn joins need not be compared in the next. The first is short, to join large groups.
 TURNS = (16, 60, 60, 60, 60)
 KEYS = sum(TURNS)
@@ -105,7 +107,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
 
 def _post(batches: Iterator[pa.RecordBatch], first: int, last: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
     """The postings of the choices ``first`` to ``last`` (exclusive) of positions."""
-    more = ["root"] if keys_only else ["root", "node", "size", *_CARRIED]
+    more = ["root", "p0"] if keys_only else ["root", "node", "size", *_CARRIED]
     for whole in batches:
         for at in range(0, whole.num_rows, _ROWS):
             batch = whole.slice(at, _ROWS)
@@ -156,30 +158,38 @@ def joined(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: flo
     filled = nodes.where("size > 0").select("node", "size", *_NAMES)
     found, roots, sets, compared = None, None, None, None
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, bool]:
-        """The links among pairs that were not compared before, and whether there are many."""
+    def verified(pairs: DataFrame) -> tuple[DataFrame | None, bool]:
+        """The links among pairs that were not compared before, None for no links, and whether there are many."""
         nonlocal sets, compared
         pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
         pairs = settle(tallied(pairs, nodes))
+        if not (asked := pairs.count()):
+            return None, False
         compared = pairs if compared is None else compared.union(pairs)
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        need = need if sets is None else need.join(sets.select("node"), "node", "left_anti")
-        ends = nodes.join(need, "node").select("node", F.col("k._h").alias("_h"))
+        # Lists of nodes as tables: their sizes are known, so that Spark broadcasts them only where they are small, and shuffles no texts then.
+        paths: list[str] = []
+        both = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "both", paths)
+        need = both if sets is None else both.join(sets.select("node"), "node", "left_anti")
+        ends = stored(nodes.join(need, "node").select("node", F.col("k._h").alias("_h")), "ends", paths)
         texts = docs.select("_h", "text").join(ends, "_h").dropDuplicates(["node"]).select("node", "text")
         more = settle(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"))
         sets = more if sets is None else sets.union(more)
-        links = settle(_verified(pairs, sets, least))
-        return links, links.count() * FRUITFUL >= pairs.count()
+        links = settle(_verified(pairs, sets.join(both, "node"), least))
+        linked = links.count()
+        removed(docs.sparkSession, *paths)
+        _freed(docs)
+        return links if linked else None, linked * FRUITFUL >= asked
 
     for first, last in zip(np.cumsum([0, *TURNS[:-1]]).tolist(), np.cumsum(TURNS).tolist(), strict=True):
         _freed(docs)
         paths: list[str] = []
         rooted = filled.withColumn("root", F.col("node")) if roots is None else settle(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _CARRIED)}"
-        keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long")
-        # Only lists with nodes that are not all joined yet. As a table its size is known, so that Spark broadcasts it only where it is small.
-        open_ = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_ = stored(open_, "keys", paths)
+        keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long, p0 long")
+        # Only lists with nodes that are not all joined yet. Of a list of two, as unlike texts mostly share, the sum modulo 2 is the difference of the pair.
+        sums = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor("p0").alias("x"))
+        open_ = stored(sums.where(f"low < high and (n > 2 or bit_count(x) <= {FIRST})").select("key"), "keys", paths)
+        _freed(docs)
         postings = settle(rooted.mapInArrow(lambda batches: _post(batches, first, last, False), kind).join(open_, "key"))
         removed(docs.sparkSession, *paths)
         total, turn, fruitful = postings.count(), 0, True
@@ -194,11 +204,14 @@ def joined(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: flo
                 one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_CARRIED)).alias("m")).select("key", "m.*")
                 pairs = left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
             done, fruitful = verified(pairs)
-            found = done if found is None else found.union(done)
-            roots = settle(components(found))
+            if done is not None:
+                found = done if found is None else found.union(done)
+                roots = settle(components(found))
             if one_by_one:
                 break
-            postings, turn = settle(postings.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))), turn + 1
+            turn += 1
+            if done is not None:
+                postings = settle(postings.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     return roots if roots is not None else filled.select("node", F.col("node").alias("root")).limit(0)
 
 
