@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from windrift.llm import arrays, bpe, decontam, langid, pii, quality, registry, simhash, storage, suffixes, syncmers, token_files, urls
+from windrift.llm import arrays, bpe, decontam, langid, pii, quality, registry, simhash, storage, suffixes, syncmers, token_files, urls, widehash
 
 LONG = "lorem ipsum dolor " * 40_000
 ODD = [(1, None, "en", "a"), (2, "", None, "a"), (3, LONG, "en", "b"), (4, "same text twice", "de", "b"), (4, "same text twice", "de", "b"), (5, "same text twice", None, None), (None, "no id here, mail a@b.cd", "en", "c"), (6, "  \n\t ", "en", "c"), (7, "+12 345 678 901 ééé 中文", "fr", "d")]
@@ -34,7 +34,7 @@ def test_odd_input_and_empty_tables(spark, odd):
     bench = spark.createDataFrame([(1, "same text twice"), (2, None), (None, "lorem ipsum"), (3, "")], "item_id long, text string")
     for table in (odd, odd.limit(0)):
         n = table.count()
-        for filtered in (quality.keep_good(table), simhash.keep_one(table), decontam.decontaminate(table, bench), pii.redacted(table)):
+        for filtered in (quality.keep_good(table), simhash.keep_one(table), widehash.keep_one(table), decontam.decontaminate(table, bench), pii.redacted(table)):
             assert filtered.columns == kept and filtered.count() <= n
         added = [decontam.search(table, bench), decontam.search(table, bench.limit(0)), quality.score(table, quality.fit(table)), langid.predict(table, langid.fit(table)), pii.find(table), simhash.fingerprints(table), bpe.encode(table, bpe.default_vocabulary()), suffixes.remove_repeats(table), urls.filter_urls(table, table.select("text"), url="text"), syncmers.with_next(table.select("doc_id", "text"))]
         assert [a.count() for a in added] == [n] * len(added)
