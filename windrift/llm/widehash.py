@@ -207,6 +207,7 @@ def joined(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: flo
             if done is not None:
                 found = done if found is None else found.union(done)
                 roots = settle(components(found))
+                _freed(docs)
             if one_by_one:
                 break
             turn += 1
