@@ -4,7 +4,7 @@ Every vector is made of integers, and scores are integer inner products. The sec
 components; a rotation by them changes no inner product, but puts most of it into the leading components. A block of anchors then meets
 slices of rows: products over the first ``STEPS[0]`` components, plus the norms of what is left of both sides and some slack for
 rounding, bound every score from above and below. Pairs whose bound misses what the anchor still looks for are discarded; the rest go on to
-the next components, and the survivors are verified by their integer products. So the result is exact whatever the rotation.
+the next components, and the survivors are verified by their integer products (as tables while most pairs are left, else pair by pair). So the result is exact whatever the rotation.
 
 Anchors come in blocks of ``BLOCK`` bytes, whose broadcast has that size at most; a block is one narrow pass over all rows for the positives and one for the
 negatives, with a product for each anchor and row in both. Of rows alike in label and vector only the ``COPIES`` smallest ids can be among anyone's first
@@ -34,11 +34,13 @@ STEPS = (8, 24)
 #: Once fewer than one of so many pairs are left, they are picked out of the table.
 PICKED = 10
 #: Bytes of the anchors of a block, and numbers of a table of products that is held at once.
-BLOCK, TABLE = 16 << 20, 1 << 21
+BLOCK, TABLE = 16 << 20, 1 << 20
 #: Rows of the block itself that give each anchor a first limit.
 SEEDS = 512
 #: Numbers of this size or more could make a product that is no 64-bit integer.
 LARGEST = 1 << 26
+#: Pairs whose vectors are gathered at once.
+_PAIRS = 1 << 14
 _LOW = np.iinfo(np.int64).min
 
 
@@ -93,6 +95,15 @@ class Rotated:
         self.norm = np.sqrt(squares[:, 0]) if v.shape[1] else np.zeros(len(v))
 
 
+def products(x: np.ndarray, y: np.ndarray, a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The integer products of rows ``a`` of x with rows ``r`` of y, pair by pair."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), _PAIRS):
+        some = slice(at, at + _PAIRS)
+        out[some] = np.einsum("ij,ij->i", x[a[some]], y[r[some]])
+    return out
+
+
 def survivors(anchors: Rotated, rows: Rotated, steps: tuple[int, ...], fits: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, row and score of the pairs of ``fits`` whose score is ``least`` to ``most`` of the anchor, and maybe no others."""
     # Sums of float64 products are off by far less than this share of the norms.
@@ -104,7 +115,7 @@ def survivors(anchors: Rotated, rows: Rotated, steps: tuple[int, ...], fits: np.
             part += anchors.turned[:, before:now] @ rows.turned[:, before:now].T
             rest = np.outer(anchors.left[now], rows.left[now]) + slack
             stay = stay & (part + rest >= least[:, None]) & (part - rest <= most[:, None])
-            if np.count_nonzero(stay) * PICKED < stay.size or now == steps[-1]:
+            if np.count_nonzero(stay) * PICKED < stay.size:
                 a, r = np.nonzero(stay)
                 part, slack = part[a, r], slack[a, r]
         else:
@@ -113,7 +124,14 @@ def survivors(anchors: Rotated, rows: Rotated, steps: tuple[int, ...], fits: np.
             stay = (part + rest >= least[a]) & (part - rest <= most[a])
             a, r, part, slack = a[stay], r[stay], part[stay], slack[stay]
         before = now
-    score = np.einsum("ij,ij->i", anchors.whole[a], rows.whole[r])
+    if a is None and anchors.norm.max(initial=0) * rows.norm.max(initial=0) < 1 << 51:
+        # Every sum of these integers is one that float64 holds exactly.
+        table = anchors.whole.astype(np.float64) @ rows.whole.astype(np.float64).T
+        a, r = np.nonzero(stay & (table >= least[:, None]) & (table <= most[:, None]))
+        return a, r, table[a, r].astype(np.int64)
+    if a is None:
+        a, r = np.nonzero(stay)
+    score = products(anchors.whole, rows.whole, a, r)
     good = (score >= least[a]) & (score <= most[a])
     return a[good], r[good], score[good]
 
@@ -164,7 +182,7 @@ def _positives(block: Block):
         for at in range(0, len(some), width := max(1, TABLE // max(1, len(block.uid)))):
             few = some[at : at + width]
             a, r = np.nonzero((block.label[:, None] == block.label[few][None, :]) & (block.uid[:, None] != block.uid[few][None, :]))
-            seeds.offer(a, np.einsum("ij,ij->i", block.v[a], block.v[few[r]]), block.uid[few[r]], block.uid[few[r]])
+            seeds.offer(a, products(block.v, block.v, a, few[r]), block.uid[few[r]], block.uid[few[r]])
         first = seeds.limits()
         for rows, label, uid, vec in _sliced(batches, block):
             fits = (block.label[:, None] == label[None, :]) & (block.uid[:, None] != uid[None, :])
