@@ -333,3 +333,38 @@ def test_url_filters_grow_with_their_list():
     sizes = [urls.blocks_for(n) for n in (0, 300_000, 1_000_000, 10**9)]
     assert sizes == [urls.BLOCKS, urls.BLOCKS, 32768, urls.MOST_BLOCKS]
     assert all(b * 512 >= n * urls.BITS_EACH for b, n in zip(sizes[:3], (0, 300_000, 1_000_000), strict=True))
+
+
+def hash_pair():
+    """Two texts of 288 bytes with the same polynomial hashes modulo 2^64: letters in Thue-Morse order, and the same with each pair swapped."""
+    swap = lambda w, p: w.translate(str.maketrans(p, p[::-1]))
+    pairs, words = ("Ru", "2j", "6E", "eG"), []
+    for p in pairs:
+        word = p[0]
+        while len(word) < 64:
+            word += swap(word, p)
+        words.append(word)
+    middle = "ndJIkR3a7J12hspN2bGdXbjMij4ZsHKH"
+    return tuple("".join(w[:2]) + middle + "".join(w[2:]) for w in (words, [swap(w, p) for w, p in zip(words, pairs, strict=True)]))
+
+
+def test_repeats_are_told_by_their_bytes(spark):
+    one, other = hash_pair()
+    raw = np.frombuffer((one + other).encode(), np.uint8)
+    prefix = arrays.prefix_hash(raw, 1)  # the one that classes were named by
+    a, b = arrays.span_hash(prefix, np.array([0, 288]), np.array([288, 576]), 1)
+    assert a == b, "no longer a case of equal hashes"
+    long, swapped = thue_morse(2048)
+    texts = [one, other, long, swapped]
+    out = suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    count = {}
+    for t in texts:
+        for i in range(len(t) - 199):
+            count[t[i : i + 200]] = count.get(t[i : i + 200], 0) + 1
+    for r in out:
+        t, gone = texts[r.doc_id], set()
+        for i in range(len(t) - 199):
+            if count[t[i : i + 200]] > 1:
+                gone |= set(range(i, i + 200))
+        assert r.n_removed == len(gone)
+    assert {r.doc_id: r.n_removed for r in out if r.doc_id < 2} == {0: 0, 1: 0}

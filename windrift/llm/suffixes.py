@@ -12,6 +12,9 @@ Ranks are names of equality classes at growing lengths, and what is alone in its
    go on in blocks of ``BLOCKS`` by their distance from the anchor: first the LENGTH - block + 1 bytes that all windows of a block
    share, then the whole block, as in rounds 1 and 2. With blocks of one window the shared bytes are the window, past the threshold.
 
+Which rows are compared rests on fast hashes of a few bytes, and two texts of one hash are merely compared in vain. What is removed rests on
+the names of stretches and blocks: 128 bits of BLAKE2b over all their bytes, for which no two texts of one name are known.
+
 Classes are counted with map-side sums and joined back, so a string that a third of all documents share
 is one row a task before each shuffle, and long join keys are split over tasks. The text is shuffled twice: to cut out the
 borders, and to meet what is removed from it.
@@ -21,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LIMIT, mix, prefix_hash, ranges, slices, span_hash, utf8
+from .arrays import LIMIT, prefix_hash, ranges, slices, span_hash, utf8
 from .storage import removed, stored
 
 LENGTH = 200
@@ -39,14 +43,22 @@ _CHUNK = 2000
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
-def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Row, first and last window and place (from the row's start), gram hash and stretch hash of every anchor of bounded rows."""
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, shape: np.ndarray) -> pa.BinaryArray:
+    """The class of each span: BLAKE2b of its bytes (16 bytes) and, after it, ``shape``. Spans of one name have the same bytes."""
+    raw = memoryview(data.tobytes())
+    digest = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.uint8).reshape(-1, 16)
+    both = np.concatenate((digest, shape.astype(">u4").view(np.uint8).reshape(-1, 4)), axis=1)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(np.arange(0, 20 * len(both) + 1, 20, np.int32)), pa.py_buffer(both.tobytes())])
+
+
+def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple:
+    """Row, first and last window and place (from the row's start), gram hash and the stretch's name of every anchor of bounded rows."""
     width = length - gram + 1
     n = len(data) - gram + 1
     none = np.zeros(0, np.int64)
     if n < width:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    p0, p1 = prefix_hash(data, 0), prefix_hash(data, 1)
+        return none, none, none, none, none.astype(np.uint64), pa.array([], pa.binary())
+    p0 = prefix_hash(data)
     at = np.arange(n)
     order = span_hash(p0, at, at + gram) & _HIGH | at.astype(np.uint64)
     blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -64,7 +76,7 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
     stop = np.append(np.flatnonzero(begin | ~whole), m)
     last = stop[np.searchsorted(stop, first, "right")] - 1
     a = anchor[first]
-    stretch = mix(span_hash(p1, first, last + length, 1) + (a - first).astype(np.uint64))
+    stretch = digests(data, first, last + length, a - first)
     start = offsets[row[first]]
     return row[first], first - start, last - start, a - start, span_hash(p0, a, a + gram), stretch
 
@@ -86,7 +98,7 @@ def _anchors(length: int, gram: int):
         for batch, data, offsets, base in _pieces(batches, length):
             row, first, last, anchor, g, stretch = window_anchors(data, offsets, length, gram)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(row)), batch.column("_k").take(pa.array(row)), pa.array(g.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(first + base, pa.int64()), pa.array(last - first, pa.int32()), pa.array(anchor - first, pa.int32())],
+                [batch.column("_id").take(pa.array(row)), batch.column("_k").take(pa.array(row)), pa.array(g.view(np.int64)), stretch, pa.array(first + base, pa.int64()), pa.array(last - first, pa.int32()), pa.array(anchor - first, pa.int32())],
                 names=["_id", "_k", "gram", "stretch", "first", "more", "off"],
             )
 
@@ -113,7 +125,7 @@ def _excerpts(length: int):
     return run
 
 
-_BLOCK = "_id long, _k long, gram long, first long, place int, core long, name long, low int, high int, probe boolean"
+_BLOCK = "_id long, _k long, gram long, first long, place int, core long, name binary, low int, high int, probe boolean"
 
 
 def _blocks(length: int, block: int):
@@ -141,12 +153,11 @@ def _blocks(length: int, block: int):
                 owner, base = owner[part], edge[owner[part]]
                 prefix = prefix_hash(data, 1)
                 core = base + off[part] - place * block
-                shape = ((off[part] - high) - place * block + (high - low) * 1024).astype(np.uint64)
-                name = mix(span_hash(prefix, base + low, base + high + length, 1) + shape)
+                name = digests(data, base + low, base + high + length, (off[part] - high) - place * block + (high - low) * 1024)
                 core = span_hash(prefix, core, core + length - block + 1, 1)
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).take(rows) for n in ("_id", "_k", "gram", "first")), pa.array(place, pa.int32()), pa.array(core.view(np.int64)), pa.array(name.view(np.int64)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), flat.field("probe").take(pa.array(part))],
+                    [*(batch.column(n).take(rows) for n in ("_id", "_k", "gram", "first")), pa.array(place, pa.int32()), pa.array(core.view(np.int64)), name, pa.array(low, pa.int32()), pa.array(high, pa.int32()), flat.field("probe").take(pa.array(part))],
                     names=[x.split()[0] for x in _BLOCK.split(", ")],
                 )
 
@@ -199,12 +210,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     ``docs`` has doc_id and text. Matches do not cross documents; a null text is empty and loses nothing. Rows alike in
     doc_id and text repeat each other. ``kept`` is the rest as text, without characters that a cut has halved (input columns of these names are replaced);
-    the digest is of the bytes. Strings are named by two 64-bit hashes.
+    the digest is of the bytes. Strings are named by 128-bit digests.
     """
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept_sha256", "kept")
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_k": F.xxhash64("doc_id", "text")}
     texts = docs.select(keys["_id"].alias("_id"), keys["_k"].alias("_k"), F.col("text").alias("_text"))
-    anchors = texts.mapInArrow(_anchors(length, gram), "_id long, _k long, gram long, stretch long, first long, more int, off int").withColumn("probe", F.lit(True))
+    anchors = texts.mapInArrow(_anchors(length, gram), "_id long, _k long, gram long, stretch binary, first long, more int, off int").withColumn("probe", F.lit(True))
     paths: list[str] = []
     whole, left = _reranked(anchors, ["gram"], "stretch", ["_id", "_k", "first", "more", "off"], "anchors", paths)
     found = [whole.select("_id", "_k", "first", "more")]
