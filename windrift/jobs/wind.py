@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from windrift.functions.values import rounded, to_knots
 from windrift.jobs import sql
 from windrift.jobs.registry import add
-from windrift.operators import calibration, daytype, metrics, points
+from windrift.operators import calibration, daytype, long_sessions, metrics, points
 from windrift.sources import adapters, files
 
 
-def clean_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.with_active_time(points.normalise_points(adapters.raw_points(spark, sf_dir)))
+def session_chunks(spark: SparkSession, sf_dir: str) -> int:
+    """0, or the length of chunks where a session is too long for one task."""
+    return long_sessions.chunk_for(adapters.raw_points(spark, sf_dir))
+
+
+def clean_points(spark: SparkSession, sf_dir: str, chunk_ms: int | None = None) -> DataFrame:
+    chunk_ms = session_chunks(spark, sf_dir) if chunk_ms is None else chunk_ms
+    return points.with_active_time(points.normalise_points(adapters.raw_points(spark, sf_dir), chunk_ms), chunk_ms=chunk_ms)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.carry_heading(points.assign_points(points.parse_sentences(adapters.log_lines(spark, sf_dir))))
+    return points.located(points.parse_sentences(adapters.log_lines(spark, sf_dir)))
+
+
+def fanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    chunk_ms = session_chunks(spark, sf_dir)
+    return points.fan_out(clean_points(spark, sf_dir, chunk_ms), chunk_ms=chunk_ms), chunk_ms
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metric_table(points.fan_out(clean_points(spark, sf_dir)))
+    rows, chunk_ms = fanned(spark, sf_dir)
+    return metrics.metric_table(rows, chunk_ms=chunk_ms)
 
 
 def measured(spark: SparkSession, sf_dir: str, *names: str, strategy: str = "E", time: str = "t_ms", zero_filled: bool = False) -> DataFrame:
-    rows = points.trim(clean_points(spark, sf_dir), strategy)
-    out = metrics.measure(rows, names, ("session_id", "venue"), time, zero_filled)
+    chunk_ms = session_chunks(spark, sf_dir)
+    rows = points.trim(clean_points(spark, sf_dir, chunk_ms), strategy, chunk_ms=chunk_ms)
+    out = metrics.measure(rows, names, ("session_id", "venue"), time, zero_filled, chunk_ms)
     return out.select("session_id", "venue", *[rounded(n).alias(n) for n in names])
 
 
@@ -51,7 +64,7 @@ cand AS (SELECT *, CASE WHEN kind = 'HDG' THEN try_cast(f[1] AS DOUBLE) END AS h
        WHEN kind = 'VWT' AND len(f) >= 7 THEN {sql.wrap("heading_now + CASE WHEN f[2] = 'L' THEN 360 - try_cast(f[1] AS DOUBLE) ELSE try_cast(f[1] AS DOUBLE) END")} END AS d,
   CASE WHEN kind = 'MWD' AND len(f) >= 7 THEN try_cast(f[5] AS DOUBLE) WHEN kind = 'MWV' AND len(f) >= 5 AND kts > 0 THEN kts WHEN kind = 'VWT' AND len(f) >= 7 THEN try_cast(f[3] AS DOUBLE) END AS s FROM knots)"""
 add("e1_parse_sentences", lambda s, d: points.parse_sentences(adapters.log_lines(s, d)).select("session_id", "line_no", "kind", F.array_join("fields", "|").alias("fields")), f"WITH {_LINES} SELECT session_id, line_no, kind, array_to_string(f, '|') AS fields FROM kinds")
-add("e2_assign_points", lambda s, d: points.assign_points(points.parse_sentences(adapters.log_lines(s, d))).select("session_id", "line_no", "point"), f"WITH {_LINES} SELECT session_id, line_no, point::BIGINT AS point FROM assigned")
+add("e2_assign_points", lambda s, d: sentences(s, d).select("session_id", "line_no", "point"), f"WITH {_LINES} SELECT session_id, line_no, point::BIGINT AS point FROM assigned")
 add("e3_carry_heading", lambda s, d: sentences(s, d).select("session_id", "line_no", "point", "heading_now"), f"WITH {_LINES} SELECT session_id, line_no, point::BIGINT AS point, heading_now FROM carried")
 add("e4_fill_wind", lambda s, d: points.fill_wind(sentences(s, d)).select("session_id", "point", "heading", "wind_dir", rounded("wind_kts").alias("wind_kts")), f"WITH {_LINES} SELECT session_id, point::BIGINT AS point, arg_min(h, line_no) FILTER (WHERE h IS NOT NULL) AS heading, arg_min(d, line_no) FILTER (WHERE d IS NOT NULL) AS wind_dir, {sql.r('arg_min(s, line_no) FILTER (WHERE s IS NOT NULL)')} AS wind_kts FROM cand GROUP BY session_id, point")
 add("e5_to_knots", lambda s, d: sentences(s, d).where("kind = 'MWV'").select("session_id", "line_no", rounded(to_knots(F.expr("try_cast(fields[2] as double)"), F.expr("fields[3]"))).alias("knots")), f"WITH {_LINES} SELECT session_id, line_no, {sql.r('kts')} AS knots FROM cand WHERE kind = 'MWV'")
@@ -164,8 +177,8 @@ for _kind, _group in (("puffiness", metrics.PUFFINESS), ("shiftiness", metrics.S
 
 
 def _best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fanned = points.fan_out(clean_points(spark, sf_dir))
-    return calibration.choose_strategy(metrics.metric_table(fanned, ("cv", "circularStdDev")), fanned.groupBy("session_id", "strategy").agg(F.count("*").alias("n")))
+    rows, chunk_ms = fanned(spark, sf_dir)
+    return calibration.choose_strategy(metrics.metric_table(rows, ("cv", "circularStdDev"), chunk_ms), rows.groupBy("session_id", "strategy").agg(F.count("*").alias("n")))
 
 
 add("a10_choose_strategy", _best_strategy, f"""{sql.table()}, l AS (SELECT strategy, coalesce(avg(value) FILTER (WHERE metric = 'cv'), 0) AS cv, coalesce(avg(value) FILTER (WHERE metric = 'circularStdDev'), 0) AS csd FROM mt GROUP BY strategy),

@@ -2,6 +2,7 @@
 
 ``features`` adds to each point what the measures need, all in windows over ``by``, and every measure is one
 aggregate over these columns. Unused windows are pruned, so asking for one measure computes one.
+Sessions that are too long for one task go by chunks of time (``long_sessions``), from which the same aggregates are taken.
 A new measure is a name and an aggregate in a registry.
 """
 
@@ -16,10 +17,14 @@ from pyspark.sql import functions as F
 
 from windrift.functions.values import before, circ_mean, circ_std, ordered, ratio, trailing, turn, whole
 
+from . import long_sessions
+from .long_sessions import GROUPS, GUST_MS, MEAN_MS, SHIFT_MS, TAIL, chunk_for
+from .scan import CHUNK, KEY, keyed, prefix, settled
+
 MIN_POINTS = 20
-GUST_MS, MEAN_MS, SHIFT_MS = 300_000, 30_000, 120_000
 SHIFT_DEG = 5.0
-TAIL = 0.1
+#: Directions of a block of the autocorrelation.
+BLOCK = 4096
 
 
 def features(points: DataFrame, by: Sequence[str], time: str = "t_ms") -> DataFrame:
@@ -145,46 +150,79 @@ REGISTRY: dict[str, MetricBuilder] = {
 }
 
 
+#: The groups of inputs that a measure takes beside the plain columns; every group for a name that is not here.
+NEEDS: dict[str, frozenset[str]] = {n: frozenset(g.split()) for n, g in {
+    "cv": "", "iqrRatio": "", "gustFactor": "gust", "lullPeakRatio": "tails", "shortTermVariance": "mean", "detrendedCv": "trend", "circularStdDev": "", "medianAbsAngularDeviation": "centre",
+    "rollingShiftFrequency": "turns", "detrendedCircularStdDev": "bend", "oscillationIndex": "rolling", "phasePersistence": "rolling", "lullAverage": "tails", "peakAverage": "tails", "meanWindSpeed": "",
+    "medianWindSpeed": "", "windRange": "", "circularMean": "", "speedTrendSlope": "", "directionTrendDeg": "turns", "directionTrendCircular": "turns", "pressureShiftCorrelation": "centre",
+    "speedDirectionCoherence": "turns", "unwrappedTurn": "turns", "rollingMeans": "rolling",
+}.items()}
+
+
 def register_metric(name: str, build: MetricBuilder) -> None:
     """Add a measure: an aggregate over the columns of ``features``."""
     REGISTRY[name] = build
+    NEEDS.pop(name, None)
 
 
-def measure(points: DataFrame, names: Sequence[str], by: Sequence[str] = ("session_id",), time: str = "t_ms", zero_filled: bool = False) -> DataFrame:
+def measure(points: DataFrame, names: Sequence[str], by: Sequence[str] = ("session_id",), time: str = "t_ms", zero_filled: bool = False, chunk_ms: int | None = None) -> DataFrame:
     """A row for each group of ``by`` with the named measures, unrounded.
 
     With too few points a measure is null, as in calibration; ``zero_filled`` (for clustering, with time "active_ms") makes it 0.
+    ``chunk_ms`` cuts groups into chunks of time, 0 keeps each in one task; None counts the rows of the groups first and cuts if one is long.
     """
     value = lambda n: F.coalesce(REGISTRY[n](), F.lit(0.0)) if zero_filled else REGISTRY[n]()
-    return features(points, by, time).groupBy(*by).agg(*[value(n).alias(n) for n in names])
+    if chunk_ms is None:
+        chunk_ms = chunk_for(points, by)
+    need = frozenset().union(*[NEEDS.get(n, GROUPS) for n in names])
+    rows = long_sessions.features(points, by, time, need, chunk_ms) if chunk_ms else features(points, by, time)
+    return rows.groupBy(*by).agg(*[value(n).alias(n) for n in names])
 
 
-def metric_table(fanned: DataFrame, names: Sequence[str] = CALIBRATED) -> DataFrame:
+def metric_table(fanned: DataFrame, names: Sequence[str] = CALIBRATED, chunk_ms: int | None = None) -> DataFrame:
     """(session_id, venue, strategy, metric, value) for points that ``fan_out`` made."""
-    wide = measure(fanned, names, ("session_id", "venue", "strategy"))
+    wide = measure(fanned, names, ("session_id", "venue", "strategy"), chunk_ms=chunk_ms)
     return wide.unpivot(["session_id", "venue", "strategy"], list(names), "metric", "value")
 
 
-def oscillation(points: DataFrame, time: str = "active_ms", max_lag: int = 300) -> DataFrame:
+def _lag_products(max_lag: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        x, own = pdf.x.to_numpy(), int((pdf.i // BLOCK == pdf[CHUNK].iloc[0]).sum())
+        products = [float(x[: min(own, len(x) - k)] @ x[k : k + own]) if k < len(x) else 0.0 for k in range(max_lag + 1)]
+        return pd.DataFrame({"session_id": pdf.session_id.iloc[0], "lag": np.arange(max_lag + 1), "product": products})
+
+    return run
+
+
+def oscillation(points: DataFrame, time: str = "active_ms", max_lag: int = 300, chunk_ms: int | None = None) -> DataFrame:
     """Regularity and dominant period (minutes) of the detrended direction of each session, from its autocorrelation.
 
-    Lags 2 to a third of the points, at most ``max_lag``; of equal peaks the shortest lag. Fewer than 12 directions: both 0.
+    Lags 2 to a third of the points, at most ``max_lag``; of equal peaks the shortest lag. Fewer than 12 directions: both 0. Products are summed over blocks of
+    ``BLOCK`` directions, each with the ``max_lag`` after it, so no task holds a longer piece of a session than that. A session without directions has no row.
     """
-    rows = features(points, ["session_id"], time).where("wind_dir is not null").select("session_id", F.col("_t").alias("t"), "seq", F.col("_bend").alias("bend"))
-
-    def regularity(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"])
-        x, t = pdf.bend.to_numpy(), pdf.t.to_numpy()
-        best, period = 0.0, 0.0
-        if len(x) >= 12:
-            x = x - x.mean()
-            step = np.diff(t)
-            step = float(np.median(step[step > 0])) if (step > 0).any() else 0.0
-            total = float(x @ x)
-            lags = range(2, min(len(x) // 3, max_lag) + 1)
-            scores = np.array([float(x[:-k] @ x[k:]) / total if total else 0.0 for k in lags])
-            top = int(scores.argmax())
-            best, period = float(scores[top]), lags[top] * step / 60_000
-        return pd.DataFrame({"session_id": [pdf.session_id.iloc[0]], "oscillationRegularity": [best], "dominantOscillationPeriodMinutes": [period]})
-
-    return rows.groupBy("session_id").applyInPandas(regularity, "session_id string, oscillationRegularity double, dominantOscillationPeriodMinutes double")
+    if chunk_ms is None:
+        chunk_ms = chunk_for(points)
+    rows = long_sessions.features(points, ["session_id"], time, {"bend"}, chunk_ms) if chunk_ms else features(points, ["session_id"], time)
+    rows = rows.where("wind_dir is not null").select("session_id", F.col(time).alias("t"), "seq", F.col("_bend").alias("bend"))
+    if chunk_ms:
+        rows = settled(rows)
+        cut = keyed(rows, ["session_id"], F.floor(F.col("t") / chunk_ms)).repartition(KEY, CHUNK)
+        rows = prefix(cut, ["t", "seq"], {"i": F.lit(1)}, {"last_t": F.col("t")}).withColumn("i", F.col("i") - 1).drop(KEY, CHUNK)
+        rows = settled(rows)
+    else:
+        w = Window.partitionBy("session_id").orderBy("t", "seq")
+        rows = rows.withColumns({"i": F.row_number().over(w).cast("long") - 1, "last_t": F.lag("t").over(w)})
+    step = F.col("t") - F.col("last_t")
+    facts = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.avg("bend").alias("mean"), F.percentile(F.when(step > 0, step), F.lit(0.5)).alias("step"))
+    block = F.floor(F.col("i") / BLOCK)
+    # The first rows of a block are also the last that the block before multiplies with.
+    both = F.explode(F.when((F.col("i") % BLOCK < max_lag) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block)))
+    blocks = rows.select("session_id", "i", "bend", both.alias(CHUNK)).join(facts.select("session_id", "mean"), "session_id").withColumn("x", F.col("bend") - F.col("mean"))
+    sums = blocks.groupBy("session_id", CHUNK).applyInPandas(_lag_products(max_lag), "session_id string, lag long, product double").groupBy("session_id", "lag").agg(F.sum("product").alias("product")).join(facts, "session_id")
+    lags = F.when((F.col("lag") >= 2) & (F.col("lag") <= F.least(F.floor(F.col("n") / 3), F.lit(max_lag))), F.struct("product", (-F.col("lag")).alias("lag")))
+    best = sums.groupBy("session_id", "n", "step").agg(F.max(lags).alias("best"), F.max(F.when(F.col("lag") == 0, F.col("product"))).alias("total"))
+    enough = F.col("n") >= 12
+    regularity = F.when(enough, F.coalesce(ratio(F.col("best.product"), F.col("total")), F.lit(0.0))).otherwise(0.0)
+    period = F.when(enough, -F.col("best.lag") * F.coalesce("step", F.lit(0.0)) / 60_000).otherwise(0.0)
+    return best.select("session_id", regularity.alias("oscillationRegularity"), period.alias("dominantOscillationPeriodMinutes"))

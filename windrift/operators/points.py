@@ -1,6 +1,7 @@
 """From sentences to clean points, and the gates that select them.
 
-All windows are over the session, so one shuffle by session serves them all.
+All windows are over the session, so one shuffle by session serves them all. Where a session may be too long for one task, ``chunk_ms``
+(``long_sessions.chunk_for``) cuts it into chunks of time, with the same results.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windrift.functions.values import TICK, before, col, ordered, rounded, to_knots, whole, wrap360
+from windrift.functions.values import col, ordered, rounded, to_knots, whole, wrap360
+
+from . import long_sessions
+from .scan import LONG, longest
 
 #: Substring of an upper-case session name and its venue; the first that fits counts.
 VENUES = (("AVON", "Avon"), ("AVN", "Avon"), ("CAGLIARI", "Cagliari"), ("GDYNIA", "Gdynia"), ("GORGE", "Gorge"), ("GREECE", "Greece"), ("HYERES", "Hyeres"), ("LONGBEACH", "Long Beach"), ("PALMA", "Palma"))
@@ -46,6 +50,13 @@ def carry_heading(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("heading_now", F.last(F.when(F.col("kind") == "HDG", _number(0)), ignorenulls=True).over(w))
 
 
+def located(sentences: DataFrame, most: int = LONG) -> DataFrame:
+    """``point`` and ``heading_now`` of each sentence; logs with over ``most`` lines go by chunks of lines."""
+    if longest(sentences, SESSION) > most:
+        return long_sessions.sentence_points(sentences)
+    return carry_heading(assign_points(sentences))
+
+
 def fill_wind(sentences: DataFrame) -> DataFrame:
     """A row for each point: heading, wind_dir and wind_kts from the first sentence, in line order, that has them.
 
@@ -76,16 +87,13 @@ def parse_times(points: DataFrame, column: str = "timestamp") -> DataFrame:
     return parsed.where(F.col("t_ms").isNotNull()).drop(column)
 
 
-def normalise_points(points: DataFrame) -> DataFrame:
-    """Rows with a time, numbers as doubles, directions in [0, 360), the venue, and ``seq`` counted from 1 in time order.
-
-    A session of more rows than the order key of the time frames can tell apart is an error.
-    """
+def normalise_points(points: DataFrame, chunk_ms: int = 0) -> DataFrame:
+    """Rows with a time, numbers as doubles, directions in [0, 360), the venue, and ``seq`` counted from 1 in time order."""
     number = lambda c: F.expr(f"try_cast({c} as double)")
     clean = points.where(F.col("t_ms").isNotNull()).withColumns({"wind_kts": number("wind_kts"), "wind_dir": wrap360(number("wind_dir")), "boat_kts": number("boat_kts"), "venue": infer_venue("session_id")})
-    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("t_ms", "seq")).cast("long")
-    few = clean.withColumn("seq", seq)
-    return few.withColumn("seq", F.when(F.col("seq") < TICK, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("too many rows: "), F.col("session_id"))).cast("long")))
+    if chunk_ms:
+        return long_sessions.numbered(clean, chunk_ms)
+    return clean.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("t_ms", "seq")).cast("long"))
 
 
 def coverage(points: DataFrame) -> DataFrame:
@@ -94,8 +102,10 @@ def coverage(points: DataFrame) -> DataFrame:
     return points.groupBy("session_id").agg(rounded((F.max(at) - F.min(at)) / 60_000, 2).alias("minutes"))
 
 
-def with_active_time(points: DataFrame, max_step_ms: int = 30_000, default_ms: int = 2000, floor_ms: int = 10_000) -> DataFrame:
+def with_active_time(points: DataFrame, max_step_ms: int = 30_000, default_ms: int = 2000, floor_ms: int = 10_000, chunk_ms: int = 0) -> DataFrame:
     """``step_ms``, the median step of the session, and ``active_ms``, time in which a gap counts as at most three such steps (or ``floor_ms``)."""
+    if chunk_ms:
+        return long_sessions.active_time(points, max_step_ms, default_ms, floor_ms, chunk_ms)
     w = ordered(SESSION)
     delta = F.col("t_ms") - F.lag("t_ms").over(w)
     out = points.withColumn("_delta", delta)
@@ -113,32 +123,32 @@ def session_facts(points: DataFrame) -> DataFrame:
     return facts.select("session_id", "venue", "points", "selected", "start_ms", "end_ms", rounded((F.col("end_ms") - F.col("start_ms")) / 60_000, 2).alias("minutes"), rounded(F.col("step_ms") / 1000, 3).alias("step_s"))
 
 
-def kept_by(points: DataFrame, min_kts: float = MIN_KTS) -> DataFrame:
+def kept_by(points: DataFrame, min_kts: float = MIN_KTS, chunk_ms: int = 0) -> DataFrame:
     """``points`` with ``strategies``: all of A to E that keep the row.
 
     A keeps all; B and C drop a tenth and 15 % of the rows at either end; D and E keep speeds of the boat and
     of the wind above ``min_kts``. One sort by time serves all five.
     """
     n, at = F.count("*").over(whole(SESSION)), F.row_number().over(ordered(SESSION)) - 1
-    out = points.withColumns({"_n": n, "_at": at})
+    out = long_sessions.placed(points, chunk_ms) if chunk_ms else points.withColumns({"_n": n, "_at": at})
     inside = lambda f: (F.col("_at") >= F.floor(F.col("_n") * f)) & (F.col("_at") < F.col("_n") - F.floor(F.col("_n") * f))
     gates = {"A": F.lit(True), "B": inside(0.1), "C": inside(0.15), "D": F.col("boat_kts") > min_kts, "E": F.col("wind_kts") > min_kts}
     return out.withColumn("strategies", F.array_compact(F.array(*[F.when(g, s) for s, g in gates.items()]))).drop("_n", "_at")
 
 
-def trim(points: DataFrame, strategy: str, min_kts: float = MIN_KTS) -> DataFrame:
+def trim(points: DataFrame, strategy: str, min_kts: float = MIN_KTS, chunk_ms: int = 0) -> DataFrame:
     """The rows that one strategy keeps."""
     if strategy == "A":
         return points
     if strategy in "DE":
         return points.where(F.col("boat_kts" if strategy == "D" else "wind_kts") > min_kts)
-    return kept_by(points, min_kts).where(F.array_contains("strategies", strategy)).drop("strategies")
+    return kept_by(points, min_kts, chunk_ms).where(F.array_contains("strategies", strategy)).drop("strategies")
 
 
-def fan_out(points: DataFrame, strategies: Sequence[str] = STRATEGIES) -> DataFrame:
+def fan_out(points: DataFrame, strategies: Sequence[str] = STRATEGIES, chunk_ms: int = 0) -> DataFrame:
     """A row for each point and strategy that keeps it; still dealt out by session alone."""
     wanted = F.array_intersect("strategies", F.array(*map(F.lit, strategies)))
-    return kept_by(points).withColumn("strategy", F.explode(wanted)).drop("strategies")
+    return kept_by(points, chunk_ms=chunk_ms).withColumn("strategy", F.explode(wanted)).drop("strategies")
 
 
 def expect_sessions(points: DataFrame, n: int) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from windrift.functions.values import col
 
+from .scan import CHUNK, KEY, keyed, prefix
+
 #: Second-level headings that start no chapter, and the chapter before the first.
 NOT_CHAPTERS = ("Contents", "2025 Edition")
 OPENING = "Opening"
@@ -70,9 +72,12 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, "block_no", tag.alias("tag"), squeezed(F.regexp_replace("line", "^#{1,6} ", "")).alias("text")).where("text <> ''").withColumn("words", word_count("text"))
 
 
-def with_chapter(blocks: DataFrame, key: str) -> DataFrame:
-    """``chapter``: the latest h2 that is one, else "Opening"."""
+def with_chapter(blocks: DataFrame, key: str, chunk_blocks: int = 0) -> DataFrame:
+    """``chapter``: the latest h2 that is one, else "Opening". ``chunk_blocks`` cuts documents that one task should not hold into chunks of so many block numbers."""
     heading = F.when((F.col("tag") == "h2") & ~F.col("text").isin(*NOT_CHAPTERS), F.col("text"))
+    if chunk_blocks:
+        cut = keyed(blocks, [key], F.floor(F.col("block_no") / chunk_blocks)).repartition(KEY, CHUNK)
+        return prefix(cut, ["block_no"], lasts={"_before": heading}).withColumn("chapter", F.coalesce(heading, "_before", F.lit(OPENING))).drop(KEY, CHUNK, "_before")
     w = Window.partitionBy(key).orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("chapter", F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit(OPENING)))
 
