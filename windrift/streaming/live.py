@@ -1,61 +1,154 @@
-"""Streams: rolling types of day, their changes, sessions from gaps and the latest position of a reader."""
+"""Streams: rolling types of day, their changes, sessions from gaps and the latest position of a reader.
+
+State is kept by processors with event-time timers: what no later window or event can ask for is cleared when the watermark passes it. They need the
+RocksDB state store (``use_state_store``) and, for timers, a watermark.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from windrift.functions.values import circ_std, ratio, rounded, turn
+from windrift.functions.values import rounded
 from windrift.operators.daytype import classify
 
-
 #: Directions that a window must have for a detrended spread; fewer lie on any line.
 MIN_DIRECTIONS = 3
+#: Windows' lengths of time that one task takes of a session.
+SPAN = 8
+_ROLLED = "session_id string, start timestamp, end timestamp, n long, iqrRatio double, circularStdDev double, detrendedCircularStdDev double"
+_MEASURES = ["start", "end", "n", "iqrRatio", "circularStdDev", "detrendedCircularStdDev"]
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Let streams that start from now on keep their state in RocksDB, as the processors here ask for."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _ms(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+def _spread(s: float, c: float) -> float:
+    r = min(float(np.hypot(s, c)), 1.0)
+    return 180.0 if r <= 0 else float(np.degrees(np.sqrt(-2 * np.log(r))))
 
 
-def _detrended_spread(readings: Column) -> Column:
-    """The circular standard deviation of directions around their own trend; ``readings`` are (t, d) in order of time.
+def measured_windows(t: np.ndarray, wind: np.ndarray, angle: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
+    """The measures of the windows [start, start + length) of one session's rows; NaN is a missing value.
 
-    One fold unwraps the directions and gathers the sums of their regression on time; another turns each back by the trend. The
-    intercept turns all alike, so it changes no spread.
+    Directions are unwrapped once for all windows: inside a window that differs by a constant from unwrapping it alone, which no slope sees. So the sums of
+    every window's regression are differences of running sums, over times from the first row; only the spread around the line reads a window's directions.
     """
-    number = lambda x: F.lit(x).cast("double")
-    start = F.struct(number(None).alias("d"), number(0).alias("u"), *[number(0).alias(n) for n in ("n", "t", "y", "ty", "tt")])
+    order = np.lexsort((angle, t))
+    t, wind, angle = t[order], wind[order], angle[order]
+    has = ~np.isnan(angle)
+    td, d = t[has], angle[has]
+    low, high = np.searchsorted(t, starts), np.searchsorted(t, starts + length)
+    first, last = np.searchsorted(td, starts), np.searchsorted(td, starts + length)
+    x = (td - (td[0] if len(td) else 0)) / 60_000
+    u = np.cumsum(np.concatenate((d[:1], (np.diff(d) + 180) % 360 - 180)))
+    sums = np.concatenate((np.zeros((1, 4)), np.cumsum(np.stack((x, u, x * u, x * x), 1), axis=0)))[:, :]
+    n, part = (last - first).astype(float), sums[last] - sums[first]
+    spread = n * part[:, 3] - part[:, 0] ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Where all times are the same there is no slope; what rounding leaves of the spread then is no more than this.
+        slope = np.where(spread > 1e-9 * np.maximum(n * part[:, 3], 1e-12), (n * part[:, 2] - part[:, 0] * part[:, 1]) / spread, 0.0)
+    rows = []
+    for k, start in enumerate(starts.tolist()):
+        speeds = wind[low[k] : high[k]]
+        speeds = speeds[~np.isnan(speeds)]
+        q = np.percentile(speeds, (25, 50, 75)) if len(speeds) else (np.nan,) * 3
+        at, to = first[k], last[k]
+        plain = trend = None
+        if to > at:
+            a = np.radians(d[at:to])
+            plain = _spread(np.sin(a).mean(), np.cos(a).mean())
+            if to - at >= MIN_DIRECTIONS:
+                a = np.radians(d[at:to] - slope[k] * (x[at:to] - x[at]))
+                trend = _spread(np.sin(a).mean(), np.cos(a).mean())
+        rows.append((start, start + length, int(high[k] - low[k]), (q[2] - q[0]) / q[1] if q[1] else None, plain, trend))
+    out = pd.DataFrame(rows, columns=_MEASURES)
+    for name in ("start", "end"):
+        out[name] = pd.to_datetime(out[name].astype("int64"), unit="ms")
+    return out.astype({n: "float64" for n in _MEASURES[3:]})
 
-    def step(s: Column, r: Column) -> Column:
-        u = F.when(s.d.isNull(), r.d).otherwise(s.u + turn(s.d, r.d))
-        return F.struct(r.d.alias("d"), u.alias("u"), (s.n + 1).alias("n"), (s.t + r.t).alias("t"), (s.y + u).alias("y"), (s.ty + r.t * u).alias("ty"), (s.tt + r.t * r.t).alias("tt"))
 
-    slope = F.aggregate(readings, start, step, lambda s: ratio(s.n * s.ty - s.t * s.y, s.n * s.tt - s.t * s.t, True))
-    turned = lambda m: F.aggregate(
-        readings, F.struct(number(0).alias("s"), number(0).alias("c")),
-        lambda a, r: F.struct((a.s + F.sin(F.radians(r.d - m * r.t))).alias("s"), (a.c + F.cos(F.radians(r.d - m * r.t))).alias("c")),
-        lambda a: circ_std(a.s / F.size(readings), a.c / F.size(readings)),
-    )
-    return F.when(F.size(readings) >= MIN_DIRECTIONS, F.get(F.transform(F.array(slope), turned), F.lit(0)))
+def _covering(t: np.ndarray, length: int, slide: int) -> np.ndarray:
+    """The starts of all windows that hold any of the times."""
+    latest = np.unique(t // slide * slide)
+    return np.unique(latest[:, None] - slide * np.arange(length // slide))
+
+
+class _Rolling(StatefulProcessor):
+    """Rows are kept once, in panes of one slide; a timer at each window's end reads the window's panes and drops the one that no later window has."""
+
+    def __init__(self, length: int, slide: int):
+        self.length, self.slide = length, slide
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "pane long", "t array<long>, wind array<double>, angle array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        for pane, part in new.groupby(new.t // self.slide * self.slide):
+            old = self.panes.getValue((int(pane),)) if self.panes.containsKey((int(pane),)) else ((), (), ())
+            self.panes.updateValue((int(pane),), tuple([*o, *(None if x != x else x for x in part[c].tolist())] for o, c in zip(old, ("t", "wind", "angle"), strict=True)))
+        for start in _covering(new.t.to_numpy(), self.length, self.slide).tolist():
+            self.handle.registerTimer(start + self.length)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start = expiredTimerInfo.getExpiryTimeInMs() - self.length
+        held = [self.panes.getValue((p,)) for p in range(start, start + self.length, self.slide) if self.panes.containsKey((p,))]
+        t, wind, angle = ([x for h in held for x in h[i]] for i in range(3))
+        if self.panes.containsKey((start,)):
+            self.panes.removeKey((start,))
+        if t:
+            out = measured_windows(np.array(t), np.array(wind, float), np.array(angle, float), np.array([start]), self.length)
+            out.insert(0, "session_id", key[0])
+            yield out
+
+    def close(self) -> None:
+        pass
 
 
 def rolling_windows(points: DataFrame, window: str = "30 minutes", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Measures of each session in sliding windows of ``ts``; works alike on a stream and on a table.
 
     ``detrendedCircularStdDev`` is the spread of the directions around the window's own trend, so that the thresholds of the sessions fit it;
-    ``circularStdDev`` is the plain one. Readings at equal times go by direction. A window's directions are its state. Rows later than ``late``
-    are dropped by a stream; a window comes out once the watermark has passed it.
+    ``circularStdDev`` is the plain one. Readings at equal times go by direction. ``window`` is a multiple of ``slide``. On a stream every row is state once,
+    in a pane of one slide; rows later than ``late`` are dropped, and a window comes out once the watermark has passed it. On a table each row is shuffled
+    once, or twice near the border of two tasks' spans of ``SPAN`` windows.
     """
-    w = F.window("ts", window, slide)
-    q = F.percentile("wind_kts", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    marked = points.withWatermark("ts", late) if points.isStreaming else points
-    reading = F.when(F.col("wind_dir").isNotNull(), F.struct(F.unix_millis("ts").alias("t"), F.col("wind_dir").alias("d")))
-    out = marked.groupBy("session_id", w.alias("w")).agg(F.count("*").alias("n"), q.alias("q"), F.array_sort(F.collect_list(reading)).alias("r"))
-    since = F.unix_millis("w.start")
-    readings = F.transform("r", lambda x: F.struct((x.t - since).cast("double").alias("t"), x.d.alias("d")))
-    mean = lambda f: F.aggregate(F.col("r"), F.lit(0.0), lambda s, x: s + f(F.radians(x.d))) / F.greatest(F.size("r"), F.lit(1))
-    plain = F.when(F.size("r") > 0, circ_std(mean(F.sin), mean(F.cos)))
-    iqr = ratio(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.get("q", F.lit(1)))
-    return out.select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", rounded(iqr).alias("iqrRatio"), rounded(plain).alias("circularStdDev"), rounded(_detrended_spread(readings)).alias("detrendedCircularStdDev"))
+    length, step = _ms(window), _ms(slide)
+    if length % step:
+        raise ValueError("a window must be a multiple of its slide")
+    rows = points.select("session_id", "ts", F.unix_millis("ts").alias("t"), F.col("wind_kts").cast("double").alias("wind"), F.col("wind_dir").cast("double").alias("angle")).where("ts is not null")
+    if points.isStreaming:
+        marked = rows.withWatermark("ts", late)
+        out = marked.groupBy("session_id").transformWithStateInPandas(_Rolling(length, step), _ROLLED, "append", "EventTime")
+    else:
+        span = SPAN * length
+        pane = F.floor(F.col("t") / step) * step
+        spans = F.array_distinct(F.array(F.floor((pane - length + step) / span), F.floor(pane / span)))
+
+        def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+            t = pdf.t.to_numpy()
+            starts = _covering(t, length, step)
+            out = measured_windows(t, pdf.wind.to_numpy(), pdf.angle.to_numpy(), starts[starts // span == key[1]], length)
+            out.insert(0, "session_id", key[0])
+            return out[out.n > 0]
+
+        out = rows.drop("ts").withColumn("span", F.explode(spans)).groupBy("session_id", "span").applyInPandas(run, _ROLLED)
+    return out.select("session_id", "start", "end", "n", *[rounded(c).alias(c) for c in _MEASURES[3:]])
 
 
 def rolling_day_type(points: DataFrame, window: str = "30 minutes", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -69,29 +162,87 @@ def day_transitions(windows: DataFrame) -> DataFrame:
     return windows.withColumn("previous", F.lag("day_type").over(w)).where("previous <> day_type").select("session_id", "start", "previous", "day_type")
 
 
-def stream_transitions(windows: DataFrame) -> DataFrame:
-    """The same on a stream of classified windows in append mode; the state of a session is its last type.
+class _Transitions(StatefulProcessor):
+    """Windows wait until the watermark has passed their end, so those of a later batch find their place; then the session's last type is all that stays."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "end long", "start long, kind string")
+        self.last = handle.getValueState("last", "end long, kind string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for start, end, kind in pd.concat(list(rows))[["start_ms", "end_ms", "day_type"]].itertuples(index=False):
+            self.waiting.updateValue((int(end),), (int(start), kind))
+            self.handle.registerTimer(int(end))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.last.get() if self.last.exists() else None
+        if self.waiting.containsKey((end,)):
+            start, kind = self.waiting.getValue((end,))
+            self.waiting.removeKey((end,))
+            self.last.update((end, kind))
+            self.handle.registerTimer(end + self.idle)
+            if last is not None and last[1] != kind:
+                yield pd.DataFrame({"session_id": [key[0]], "start": pd.to_datetime([start], unit="ms"), "previous": [last[1]], "day_type": [kind]})
+        elif last is not None and last[0] + self.idle <= end:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(windows: DataFrame, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """The same on a stream of classified windows (session_id, start, end, day_type) in append mode.
 
-    Windows of one batch are put in order of their start before they are compared.
+    A window is compared once the watermark of the ends has passed its own, so windows that come up to ``late`` after others, in whatever batch, are put in
+    order. A session that had no window for ``idle`` is forgotten: its next window has none before it.
     """
+    rows = windows.select("session_id", F.col("end").alias("at"), F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "day_type")
+    marked = rows.withWatermark("at", late)
+    return marked.groupBy("session_id").transformWithStateInPandas(_Transitions(_ms(idle)), "session_id string, start timestamp, previous string, day_type string", "append", "EventTime")
+
+
+class _Positions(StatefulProcessor):
+    """The latest position of a reader and track, forgotten when none has come for a time."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long, event_id long, position_s double, page int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(["ms", "event_id"]).iloc[-1]
+        if not self.last.exists() or self.last.get()[:2] < (new.ms, new.event_id):
+            value = (int(new.ms), int(new.event_id), None if pd.isna(new.position_s) else float(new.position_s), None if pd.isna(new.page) else int(new.page))
+            self.last.update(value)
+            self.handle.registerTimer(value[0] + self.keep)
+            yield pd.DataFrame({"reader_id": [key[0]], "track": [key[1]], "ts": pd.to_datetime([value[0]], unit="ms"), "position_s": [value[2]], "page": pd.array([value[3]], "Int32")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.last.exists() and self.last.get()[0] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(frames)).sort_values("start")
-        out = []
-        for start, kind in zip(rows.start, rows.day_type, strict=True):
-            if last is not None and kind != last:
-                out.append((key[0], start, last, kind))
-            last = kind
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["session_id", "start", "previous", "day_type"])
 
-    rows = windows.select("session_id", "start", "day_type")
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, start timestamp, previous string, day_type string", "last string", "append", "NoTimeout")
+def stream_positions(events: DataFrame, late: str = "1 hour", keep: str = "90 days") -> DataFrame:
+    """``latest_positions`` of a stream in update mode, a row for each change (times to the millisecond). A key without an event for ``keep`` is cleared once the watermark has passed that."""
+    rows = events.select("reader_id", "track", "ts", F.unix_millis("ts").alias("ms"), "event_id", "position_s", "page").withWatermark("ts", late)
+    kind = events.schema["reader_id"].dataType.simpleString()
+    return rows.groupBy("reader_id", "track").transformWithStateInPandas(_Positions(_ms(keep)), f"reader_id {kind}, track string, ts timestamp, position_s double, page int", "update", "EventTime")
 
 
 def latest_positions(events: DataFrame) -> DataFrame:
-    """The latest position and page of each reader and track; on a stream in update mode one row of state a key."""
+    """The latest position and page of each reader and track of a table; ``stream_positions`` has it for streams, with state that expires."""
     last = F.max_by(F.struct("position_s", "page"), F.struct("ts", "event_id")).alias("last")
     return events.groupBy("reader_id", "track").agg(last, F.max("ts").alias("ts")).select("reader_id", "track", "ts", "last.position_s", "last.page")
 
