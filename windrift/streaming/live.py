@@ -7,7 +7,6 @@ RocksDB state store (``use_state_store``) and, for timers, a watermark.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -35,55 +34,68 @@ def _ms(text: str) -> int:
     return int(pd.Timedelta(text).total_seconds() * 1000)
 
 
-def _spread(s: float, c: float) -> float:
-    r = min(float(np.hypot(s, c)), 1.0)
-    return 180.0 if r <= 0 else float(np.degrees(np.sqrt(-2 * np.log(r))))
+def _spreads(sin: np.ndarray, cos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Circular standard deviations in degrees from sums of sine and cosine; NaN without any."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.minimum(np.hypot(sin, cos) / n, 1.0)
+        return np.where(r <= 0, 180.0, np.degrees(np.sqrt(-2 * np.log(r))))
 
 
-def measured_windows(t: np.ndarray, wind: np.ndarray, angle: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
-    """The measures of the windows [start, start + length) of one session's rows; NaN is a missing value.
+def measured_windows(group: np.ndarray, t: np.ndarray, wind: np.ndarray, angle: np.ndarray, of: np.ndarray, starts: np.ndarray, length: int) -> pd.DataFrame:
+    """The measures of the windows [start, start + length), each ``of`` a group of rows (numbers from 0); NaN is a missing value. Times are in milliseconds from 1970 on.
 
-    Directions are unwrapped once for all windows: inside a window that differs by a constant from unwrapping it alone, which no slope sees. So the sums of
-    every window's regression are differences of running sums, over times from the first row; only the spread around the line reads a window's directions.
+    Directions are unwrapped once for all windows: inside a window that differs by a constant from unwrapping it alone, which no slope sees.
     """
-    order = np.lexsort((angle, t))
-    t, wind, angle = t[order], wind[order], angle[order]
-    has = ~np.isnan(angle)
-    td, d = t[has], angle[has]
-    low, high = np.searchsorted(t, starts), np.searchsorted(t, starts + length)
-    first, last = np.searchsorted(td, starts), np.searchsorted(td, starts + length)
-    x = (td - (td[0] if len(td) else 0)) / 60_000
-    u = np.cumsum(np.concatenate((d[:1], (np.diff(d) + 180) % 360 - 180)))
-    sums = np.concatenate((np.zeros((1, 4)), np.cumsum(np.stack((x, u, x * u, x * x), 1), axis=0)))[:, :]
-    n, part = (last - first).astype(float), sums[last] - sums[first]
-    spread = n * part[:, 3] - part[:, 0] ** 2
+    order = np.lexsort((angle, t, group))
+    group, t, wind, angle = group[order], t[order], wind[order], angle[order]
+    key, border = (group << 42) + t, (of << 42) + starts
+    low, high = np.searchsorted(key, border), np.searchsorted(key, border + length)
+    size, windows = high - low, len(starts)
+    row = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+    window = np.repeat(np.arange(windows), size)
+    count = lambda w, x=None: np.bincount(w, x, windows)
+
+    blows = ~np.isnan(wind[row])
+    w, speed = window[blows], wind[row[blows]]
+    speed = speed[np.lexsort((speed, w))]
+    n = count(w)
+    begin, some = np.cumsum(n) - n, n > 0
+    quartile = []
+    for q in (0.25, 0.5, 0.75):
+        at = (n[some] - 1) * q
+        below = np.floor(at).astype(np.int64)
+        a, b = speed[begin[some] + below], speed[begin[some] + np.minimum(below + 1, n[some] - 1)]
+        quartile.append(np.full(windows, np.nan))
+        quartile[-1][some] = a + (b - a) * (at - below)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        iqr = np.where(quartile[1] != 0, (quartile[2] - quartile[0]) / quartile[1], np.nan)
+
+    has = np.flatnonzero(~np.isnan(angle))
+    unwrapped = np.full(len(angle), np.nan)
+    unwrapped[has] = np.cumsum(np.concatenate((angle[has[:1]], (np.diff(angle[has]) + 180) % 360 - 180)))
+    points = ~np.isnan(angle[row])
+    w, row = window[points], row[points]
+    n = count(w)
+    begin, some = np.cumsum(n) - n, n > 0
+    first, last = np.zeros(windows, np.int64), np.zeros(windows, np.int64)
+    first[some], last[some] = row[begin[some]], row[begin[some] + n[some] - 1]
+    d = np.radians(angle[row])
+    plain = _spreads(count(w, np.sin(d)), count(w, np.cos(d)), n)
+    x, y = (t[row] - starts[w]) / 60_000, unwrapped[row] - unwrapped[first[w]]
+    sx, sy, sxy, sxx = (count(w, v) for v in (x, y, x * y, x * x))
     with np.errstate(divide="ignore", invalid="ignore"):
-        # Where all times are the same there is no slope; what rounding leaves of the spread then is no more than this.
-        slope = np.where(spread > 1e-9 * np.maximum(n * part[:, 3], 1e-12), (n * part[:, 2] - part[:, 0] * part[:, 1]) / spread, 0.0)
-    rows = []
-    for k, start in enumerate(starts.tolist()):
-        speeds = wind[low[k] : high[k]]
-        speeds = speeds[~np.isnan(speeds)]
-        q = np.percentile(speeds, (25, 50, 75)) if len(speeds) else (np.nan,) * 3
-        at, to = first[k], last[k]
-        plain = trend = None
-        if to > at:
-            a = np.radians(d[at:to])
-            plain = _spread(np.sin(a).mean(), np.cos(a).mean())
-            if to - at >= MIN_DIRECTIONS:
-                a = np.radians(d[at:to] - slope[k] * (x[at:to] - x[at]))
-                trend = _spread(np.sin(a).mean(), np.cos(a).mean())
-        rows.append((start, start + length, int(high[k] - low[k]), (q[2] - q[0]) / q[1] if q[1] else None, plain, trend))
-    out = pd.DataFrame(rows, columns=_MEASURES)
-    for name in ("start", "end"):
-        out[name] = pd.to_datetime(out[name].astype("int64"), unit="ms")
-    return out.astype({n: "float64" for n in _MEASURES[3:]})
-
-
-def _covering(t: np.ndarray, length: int, slide: int) -> np.ndarray:
-    """The starts of all windows that hold any of the times."""
-    latest = np.unique(t // slide * slide)
-    return np.unique(latest[:, None] - slide * np.arange(length // slide))
+        slope = np.where(some & (t[first] != t[last]) if len(t) else some, (n * sxy - sx * sy) / (n * sxx - sx * sx), 0.0)
+    d = np.radians(angle[row] - slope[w] * x)
+    trend = np.where(n >= MIN_DIRECTIONS, _spreads(count(w, np.sin(d)), count(w, np.cos(d)), n), np.nan)
+    times = {k: pd.to_datetime(v, unit="ms") for k, v in (("start", starts), ("end", starts + length))}
+    return pd.DataFrame(times | {"n": size, "iqrRatio": iqr, "circularStdDev": plain, "detrendedCircularStdDev": trend})
+
+
+def _covering(group: np.ndarray, t: np.ndarray, length: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group and start of all windows that hold any of the rows."""
+    panes = np.unique((group << 42) + t // slide * slide)
+    both = np.unique(panes[:, None] - slide * np.arange(length // slide))
+    return both >> 42, both & ((1 << 42) - 1)
 
 
 class _Rolling(StatefulProcessor):
@@ -101,7 +113,7 @@ class _Rolling(StatefulProcessor):
         for pane, part in new.groupby(new.t // self.slide * self.slide):
             old = self.panes.getValue((int(pane),)) if self.panes.containsKey((int(pane),)) else ((), (), ())
             self.panes.updateValue((int(pane),), tuple([*o, *(None if x != x else x for x in part[c].tolist())] for o, c in zip(old, ("t", "wind", "angle"), strict=True)))
-        for start in _covering(new.t.to_numpy(), self.length, self.slide).tolist():
+        for start in _covering(np.zeros(len(new), np.int64), new.t.to_numpy(), self.length, self.slide)[1].tolist():
             self.handle.registerTimer(start + self.length)
         return iter(())
 
@@ -112,7 +124,8 @@ class _Rolling(StatefulProcessor):
         if self.panes.containsKey((start,)):
             self.panes.removeKey((start,))
         if t:
-            out = measured_windows(np.array(t), np.array(wind, float), np.array(angle, float), np.array([start]), self.length)
+            none = np.zeros(len(t), np.int64)
+            out = measured_windows(none, np.array(t), np.array(wind, float), np.array(angle, float), none[:1], np.array([start]), self.length)
             out.insert(0, "session_id", key[0])
             yield out
 
@@ -140,14 +153,32 @@ def rolling_windows(points: DataFrame, window: str = "30 minutes", slide: str =
         pane = F.floor(F.col("t") / step) * step
         spans = F.array_distinct(F.array(F.floor((pane - length + step) / span), F.floor(pane / span)))
 
-        def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-            t = pdf.t.to_numpy()
-            starts = _covering(t, length, step)
-            out = measured_windows(t, pdf.wind.to_numpy(), pdf.angle.to_numpy(), starts[starts // span == key[1]], length)
-            out.insert(0, "session_id", key[0])
+        def measured(pdf: pd.DataFrame, edge: np.ndarray) -> pd.DataFrame:
+            """The windows of whole sessions' spans, which begin at ``edge``."""
+            group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(pdf))))
+            of, starts = _covering(group, pdf.t.to_numpy(), length, step)
+            own = starts // span == pdf.span.to_numpy()[edge[of]]
+            of, starts = of[own], starts[own]
+            out = measured_windows(group, pdf.t.to_numpy(), pdf.wind.to_numpy(), pdf.angle.to_numpy(), of, starts, length)
+            out.insert(0, "session_id", pdf.session_id.to_numpy()[edge[of]])
             return out[out.n > 0]
 
-        out = rows.drop("ts").withColumn("span", F.explode(spans)).groupBy("session_id", "span").applyInPandas(run, _ROLLED)
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []  # the rows of the last span, which may go on
+            for pdf in frames:
+                if pdf.empty:
+                    continue
+                pdf = pd.concat([*held, pdf], ignore_index=True)
+                name, part = pdf.session_id.to_numpy(), pdf.span.to_numpy()
+                edge = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
+                held = [pdf.iloc[edge[-1] :]]
+                if len(edge) > 1:
+                    yield measured(pdf.iloc[: edge[-1]], edge[:-1])
+            if held:
+                yield measured(held[0], np.zeros(1, np.int64))
+
+        spread = rows.drop("ts").withColumn("span", F.explode(spans)).repartition("session_id", "span").sortWithinPartitions("session_id", "span")
+        out = spread.mapInPandas(run, _ROLLED)
     return out.select("session_id", "start", "end", "n", *[rounded(c).alias(c) for c in _MEASURES[3:]])
 
 
