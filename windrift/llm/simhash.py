@@ -11,7 +11,7 @@ come from alternating large-star and small-star rounds over the links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -94,9 +94,9 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return left.join(right, pair & (F.bit_count(xor) <= bits) & (F.bit_count(shared) >= least) & first).select(F.col("l.simhash").alias("a"), F.col("r.simhash").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): root is the smallest node that it reaches."""
-    edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b): root is the smallest node that it reaches. ``keep`` holds the edges of a round."""
+    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select("b", "a"))
@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        edges = settle(small.distinct())
+        edges = keep(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -13,7 +13,6 @@ Sets of which one is less than 0.8 of the other's size are passed over: they can
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import list_array, mix, prefix_hash, slices, span_hash, split_runs, utf8
 from .simhash import components
-from .storage import aside, removed, settle, stored
+from .storage import Tables, aside, removed, shuffles_freed, stored
 
 SHINGLE = 5
 LEAST = 0.8
@@ -36,8 +35,8 @@ _NAMES = [f"p{w}" for w in range(WORDS)]
 _CARRIED, DIFFER = _NAMES[:4], 56
 #: The most bits of the first word in which a pair may differ; at 0.8 (9 on average) one pair of 40,000 differs in more (binomial), and one of 120 unlike pairs in so few.
 FIRST = 22
-#: Choices of positions, in turns: what a turn joins need not be compared in the next. The first is short, to join large groups.
-TURNS = (16, 60, 60, 60, 60)
+#: Choices of positions, in turns, so that one turn's postings are on disk at a time. What the first one joins need not be compared after it; it is short, to join large groups.
+TURNS = (16, 80, 80, 80)
 KEYS = sum(TURNS)
 #: Pairs for each posting that may be compared one by one; above it, a round with one node of each list goes before, as long as one of FRUITFUL pairs is a link.
 PAIRS, FRUITFUL = 2, 10
@@ -125,12 +124,6 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("node"), list_array(values.view(np.int64), count, pa.int64())], names=["node", "shingles"])
 
 
-def _freed(docs: DataFrame) -> None:
-    """Shuffles and checkpoints that nothing refers to any more leave the disk with the JVM's garbage."""
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _zero_bytes(x: Column) -> Column:
     """How many of the eight bytes of a number are zero: the bits of each byte are gathered in its lowest one."""
     for step in (4, 2, 1):
@@ -153,66 +146,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def joined(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Roots (node, root) of the nodes with links; see the module."""
     filled = nodes.where("size > 0").select("node", "size", *_NAMES)
-    found, roots, sets, compared = None, None, None, None
+    found, roots, sets, compared, waiting, calls = None, None, None, None, [], 0
 
     def verified(pairs: DataFrame) -> tuple[DataFrame | None, bool]:
         """The links among pairs that were not compared before, None for no links, and whether there are many."""
-        nonlocal sets, compared
+        nonlocal sets, compared, calls
+        calls += 1
         pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = settle(tallied(pairs, nodes))
+        pairs = tables.keep(tallied(pairs, nodes), f"compared-{calls}", 4)
         if not (asked := pairs.count()):
             return None, False
         compared = pairs if compared is None else compared.union(pairs)
         # Lists of nodes as tables: their sizes are known, so that Spark broadcasts them only where they are small, and shuffles no texts then.
-        paths: list[str] = []
-        both = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "both", paths)
+        both = tables.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "both")
         need = both if sets is None else both.join(sets.select("node"), "node", "left_anti")
-        ends = stored(nodes.join(need, "node").select("node", F.col("k._h").alias("_h")), "ends", paths)
+        ends = tables.keep(nodes.join(need, "node").select("node", F.col("k._h").alias("_h")), "ends")
         texts = docs.select("_h", "text").join(ends, "_h").dropDuplicates(["node"]).select("node", "text")
-        more = settle(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"))
+        more = tables.keep(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"), f"sets-{calls}", 16)
         sets = more if sets is None else sets.union(more)
-        links = settle(_verified(pairs, sets.join(both, "node"), least))
+        links = tables.keep(_verified(pairs, sets.join(both, "node"), least), f"links-{calls}", 4)
         linked = links.count()
-        removed(docs.sparkSession, *paths)
-        _freed(docs)
+        tables.drop("both", "ends")
         return links if linked else None, linked * FRUITFUL >= asked
 
+    def grown(done: DataFrame) -> DataFrame:
+        """The roots with more links."""
+        nonlocal found
+        found = done if found is None else found.union(done)
+        out = tables.keep(components(found, lambda edges: tables.keep(edges, "edges")), "roots")
+        tables.drop("edges")
+        return out
+
+    def pairs_of(postings: DataFrame, one_by_one: bool, turn: int) -> DataFrame:
+        left, right = postings.alias("l"), postings.alias("r")
+        if one_by_one:
+            return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_CARRIED)).alias("m")).select("key", "m.*")
+        return left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+    rooted = filled.withColumn("root", F.col("node"))
+    kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _CARRIED)}"
     for first, last in zip(np.cumsum([0, *TURNS[:-1]]).tolist(), np.cumsum(TURNS).tolist(), strict=True):
-        _freed(docs)
-        paths: list[str] = []
-        rooted = filled.withColumn("root", F.col("node")) if roots is None else settle(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _CARRIED)}"
-        keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long, p0 long")
+        keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long, p0 long")  # noqa: B023
         # Only lists with nodes that are not all joined yet. Of a list of two, as unlike texts mostly share, the sum modulo 2 is the difference of the pair.
         sums = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor("p0").alias("x"))
-        open_ = stored(sums.where(f"low < high and (n > 2 or bit_count(x) <= {FIRST})").select("key"), "keys", paths)
-        _freed(docs)
-        postings = settle(rooted.mapInArrow(lambda batches: _post(batches, first, last, False), kind).join(open_, "key"))
-        removed(docs.sparkSession, *paths)
-        total, turn, fruitful = postings.count(), 0, True
-        while total:
-            sizes = postings.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            across = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        open_ = tables.keep(sums.where(f"low < high and (n > 2 or bit_count(x) <= {FIRST})").select("key", F.col("n").cast("double").alias("n")), "keys", 4)
+        total, across = open_.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if not total:
+            continue
+        postings = tables.keep(rooted.mapInArrow(lambda batches: _post(batches, first, last, False), kind).join(open_.select("key"), "key"), "postings", 16)  # noqa: B023
+        turn, fruitful = 0, True
+        while True:
+            if across > PAIRS * total and fruitful:  # pairs of one root count above, but are not compared
+                sizes = postings.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+                across = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
             one_by_one = across <= PAIRS * total or not fruitful
-            left, right = postings.alias("l"), postings.alias("r")
-            if one_by_one:
-                pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-            else:
-                one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_CARRIED)).alias("m")).select("key", "m.*")
-                pairs = left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+            pairs = pairs_of(postings, one_by_one, turn)
+            if one_by_one and first:  # later turns find few pairs; all of them are verified together
+                waiting.append(tables.keep(pairs.distinct(), f"waiting-{first}", 4))
+                break
             done, fruitful = verified(pairs)
             if done is not None:
-                found = done if found is None else found.union(done)
-                roots = settle(components(found))
-                _freed(docs)
+                roots = grown(done)
+                rooted = tables.keep(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
             if one_by_one:
                 break
-            turn += 1
+            turn, across = turn + 1, float("inf")
             if done is not None:
-                postings = settle(postings.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+                postings = tables.keep(postings.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "postings", 16)
+        tables.drop("keys", "postings")
+    if waiting:
+        done, _ = verified(reduce(DataFrame.union, waiting))
+        roots = roots if done is None else grown(done)
     return roots if roots is not None else filled.select("node", F.col("node").alias("root")).limit(0)
 
 
@@ -231,10 +239,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> D
     docs, restored = aside(docs, "doc_id", "text")
     docs = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
     kind = "doc_id {}, _h long, node long, size int, {}".format(docs.schema["doc_id"].dataType.simpleString(), ", ".join(f"{n} long" for n in _NAMES))
-    signed = docs.select("doc_id", "_h", "text").mapInArrow(lambda batches: _signatures(batches, shingle), kind)
-    nodes = settle(signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("k"), *[F.first(n).alias(n) for n in ("size", *_NAMES)]))
-    roots = joined(nodes, docs, shingle, least)
-    rooted = nodes.join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_k"))
+    spark = docs.sparkSession
+    with shuffles_freed(spark):
+        signed = docs.select("doc_id", "_h", "text").mapInArrow(lambda batches: _signatures(batches, shingle), kind)
+        one = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("k"), *[F.first(n).alias(n) for n in ("size", *_NAMES)])
+        paths: list[str] = []
+        nodes = stored(one, "nodes", paths)
+        tables = Tables(spark, nodes.count())
+        roots = joined(nodes, docs, tables, shingle, least)
+        rooted = nodes.join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+        kept = stored(rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_k")).coalesce(tables.files), "kept")
+        tables.clear()
+        removed(spark, *paths)
     stay = docs.join(kept, (F.col("_h") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return restored(stay.dropDuplicates(["doc_id", "_h"]))
