@@ -31,8 +31,8 @@ LEAST = 0.8
 WORDS = 8
 BYTES, SHARED = 8 * WORDS, 7
 _NAMES = [f"p{w}" for w in range(WORDS)]
-#: Words of the fingerprint that a posting carries, and the most of their 256 bits in which a pair may differ; at 0.8 (38 on average) one pair of 1,150 differs in more (binomial).
-_CARRIED, DIFFER = _NAMES[:4], 56
+#: The most of the 512 bits in which a pair may differ; at 0.8 (78 on average) one pair of 1,150 differs in more (binomial).
+DIFFER = 103
 #: The most bits of the first word in which a pair may differ; at 0.8 (9 on average) one pair of 40,000 differs in more (binomial), and one of 120 unlike pairs in so few.
 FIRST = 22
 #: Choices of positions, in turns, so that one turn's postings are on disk at a time. What the first one joins need not be compared after it; it is short, to join large groups.
@@ -106,7 +106,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
 
 def _post(batches: Iterator[pa.RecordBatch], first: int, last: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
     """The postings of the choices ``first`` to ``last`` (exclusive) of positions."""
-    more = ["root", "p0"] if keys_only else ["root", "node", "size", *_CARRIED]
+    more = ["root", "p0"] if keys_only else ["root", "node", "size", *_NAMES]
     for whole in batches:
         for at in range(0, whole.num_rows, _ROWS):
             batch = whole.slice(at, _ROWS)
@@ -131,14 +131,6 @@ def _zero_bytes(x: Column) -> Column:
     return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def tallied(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose fingerprints share SHARED positional bytes or more."""
-    side = lambda n: nodes.select(F.col("node").alias(n), *[F.col(p).alias(f"{n}_{p}") for p in _NAMES])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = reduce(lambda x, y: x + y, [_zero_bytes(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in _NAMES])
-    return both.where(shared >= SHARED).select("a", "b")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard index of ``least`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -156,7 +148,7 @@ def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHI
         nonlocal sets, compared, calls
         calls += 1
         pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = tables.keep(tallied(pairs, nodes), f"compared-{calls}", 4)
+        pairs = tables.keep(pairs, f"compared-{calls}", 4)
         if not (asked := pairs.count()):
             return None, False
         compared = pairs if compared is None else compared.union(pairs)
@@ -184,11 +176,11 @@ def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHI
         left, right = postings.alias("l"), postings.alias("r")
         if one_by_one:
             return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_CARRIED)).alias("m")).select("key", "m.*")
+        one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_NAMES)).alias("m")).select("key", "m.*")
         return left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
     rooted = filled.withColumn("root", F.col("node"))
-    kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _CARRIED)}"
+    kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _NAMES)}"
     for first, last in zip(np.cumsum([0, *TURNS[:-1]]).tolist(), np.cumsum(TURNS).tolist(), strict=True):
         keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long, p0 long")  # noqa: B023
         # Only lists with nodes that are not all joined yet. Of a list of two, as unlike texts mostly share, the sum modulo 2 is the difference of the pair.
@@ -224,11 +216,16 @@ def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHI
     return roots if roots is not None else filled.select("node", F.col("node").alias("root")).limit(0)
 
 
+def shared_bytes(l: str = "l", r: str = "r") -> Column:  # noqa: E741
+    """The tally: how many positional bytes the fingerprints of two aliased rows share."""
+    return reduce(lambda a, b: a + b, [_zero_bytes(F.col(f"{l}.{p}").bitwiseXOR(F.col(f"{r}.{p}"))) for p in _NAMES])
+
+
 def _alike(least: float) -> Column:
-    """Conditions for two postings (l, r) of one key: not joined yet, sizes that allow the likeness, and few enough differing bits in what they carry."""
+    """Conditions for two postings (l, r) of one key: not joined yet, sizes that allow the likeness, few enough differing bits, and SHARED positional bytes in common."""
     x, y = F.col("l.size"), F.col("r.size")
-    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"l.{p}").bitwiseXOR(F.col(f"r.{p}"))) for p in _CARRIED])
-    return (F.col("l.root") != F.col("r.root")) & (F.least(x, y) >= least * F.greatest(x, y) - 1e-9) & (bits <= DIFFER)
+    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"l.{p}").bitwiseXOR(F.col(f"r.{p}"))) for p in _NAMES])
+    return (F.col("l.root") != F.col("r.root")) & (F.least(x, y) >= least * F.greatest(x, y) - 1e-9) & (bits <= DIFFER) & (shared_bytes() >= SHARED)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
