@@ -4,6 +4,7 @@ import re
 import struct
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,28 @@ def test_decontamination_in_blocks_with_repeated_documents(spark):
     assert got == sorted((t or "", k % 5, *_plain_hits(t, items, 13)) for k, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("middle", [9, 5])
+def test_items_from_a_template_cost_no_more_than_random_ones(middle):
+    """Items that share their first and last words, of the window's length and shorter, with text made the same way; all occurrences are found."""
+    rng = np.random.default_rng(15)
+    filled = lambda n: [" ".join(["alpha beta", *(f"w{x}" for x in rng.integers(0, 50, middle)), "gamma delta"]) for _ in range(n)]
+    plain = lambda n: [" ".join(f"w{x}" for x in rng.integers(0, 2000, middle + 4)) for _ in range(n)]
+    took = {}
+    for name, made in (("template", filled), ("random", plain)):
+        items, text = made(10000), made(8000)
+        text[::10] = items[: len(text[::10])]
+        patterns = decontam.Patterns([(str(i), t) for i, t in enumerate(items)])
+        raw = " ".join(text).encode()
+        low, start, end, first = decontam.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        word = patterns.numbers(low, start, end)
+        begin = time.process_time()
+        at, _ = patterns.search(word, first)
+        took[name] = time.process_time() - begin
+        words, known = raw.decode().split(" "), set(items)
+        assert sorted(at.tolist()) == [i for i in range(len(words)) if " ".join(words[i : i + middle + 4]) in known]
+    assert took["template"] < 3 * took["random"] + 0.2, took
+
+
 def test_a_large_benchmark_fits_a_worker():
     code = """
 import resource, numpy as np

@@ -2,8 +2,9 @@
 
 The symbols are words. Test strings are all windows of ``window`` words; a shorter item is one test string. They are put in
 classes by length, so that a short string does not shorten the jumps for the long ones, and the strings of a class are cut to
-m words, the length of its shortest. A shift table over blocks of two words says how far a position may jump; the strings that end
-in the block at a zero shift are found by that suffix and by their first two words, and the rest is then compared word by word.
+m words, the length of its shortest. A shift table over blocks of two words says how far a position may jump. At a zero shift the
+strings of each length in the class are looked for in buckets by the hash of the words up to that suffix, and compared word by word. The hash has all words of
+a string, as test sets made from a template share the first and the last ones, and a bucket would hold them all.
 Words are compared by number; the numbers come from the words' bytes. Many cursors, one for each stretch of text, jump together as
 numpy vectors.
 
@@ -51,17 +52,23 @@ def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a.astype(np.int64) << 32 | b, return_inverse=True)[1].astype(np.int64)
 
 
-class Strings(NamedTuple):
-    """A class of test strings: the place of each in the items' words, its length, its number, and tables for the first m words."""
+class Buckets(NamedTuple):
+    """The test strings of one length by their hashes: the place of each in the items' words, and its number."""
 
-    m: int
+    size: int
     at: np.ndarray
-    size: np.ndarray
     number: np.ndarray
-    shift: np.ndarray
     key: np.ndarray
 
 
+class Strings(NamedTuple):
+    """A class of test strings: the shortest length m, the shift table of the first m words, and the buckets of each length."""
+
+    m: int
+    shift: np.ndarray
+    lengths: list[Buckets]
+
+
 def _pair(word: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
     """Two neighbouring words as one number (one word where m is 1)."""
     return word[at].astype(np.uint64) << np.uint64(32) | word[at + block - 1].astype(np.uint64)
@@ -71,9 +78,12 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return (mix(pair) & np.uint64(SHIFTS - 1)).astype(np.int64)
 
 
-def _key(word: np.ndarray, at: np.ndarray, m: int, block: int) -> np.ndarray:
-    """The bucket of a string: its last block and its first one."""
-    return mix(_pair(word, at + m - block, block)) ^ (_pair(word, at, block) * np.uint64(0x9E3779B97F4A7C15))
+def _key(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of a string of ``size`` words: a hash of them all."""
+    key = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word[at + j] + np.uint64(1))
+    return key
 
 
 class Patterns:
@@ -137,9 +147,13 @@ class Patterns:
         shift = np.full(SHIFTS, m - block + 1, np.int8)
         for j in range(m - block + 1):  # from the left, so that the smallest shift stays
             shift[_slot(_pair(word, at + j, block))] = m - block - j
-        key = _key(word, at, m, block)
-        order = np.argsort(key, kind="stable")
-        return Strings(m, at[order], size[order], which[order], shift, key[order])
+        lengths = []
+        for n in np.unique(size).tolist():
+            of_length = np.flatnonzero(size == n)
+            key = _key(word, at[of_length], n)
+            order = np.argsort(key, kind="stable")
+            lengths.append(Buckets(n, at[of_length][order], which[of_length][order], key[order]))
+        return Strings(m, shift, lengths)
 
     def numbers(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each word of a text, as in the test strings; a word that is in none has the number after the last."""
@@ -181,18 +195,16 @@ class Patterns:
             if not len(at):
                 return np.concatenate(places), np.concatenate(strings)
             jump = c.shift[_slot(_pair(word, at + tail, block))]
-            here = at[jump == 0]
-            if len(here):
-                key = _key(word, here, c.m, block)
-                lo, hi = np.searchsorted(c.key, key, "left"), np.searchsorted(c.key, key, "right")
+            for bucket in c.lengths:
+                here = at[(jump == 0) & (at + bucket.size <= last[at])]
+                key = _key(word, here, bucket.size)
+                lo, hi = np.searchsorted(bucket.key, key, "left"), np.searchsorted(bucket.key, key, "right")
                 pos, which = np.repeat(here, hi - lo), ranges(lo, hi - lo)
-                ok = pos + c.size[which] <= last[pos]
-                pos, which = pos[ok], which[ok]
-                for j in range(int(c.size.max())):
-                    same = (j >= c.size[which]) | (word[np.minimum(pos + j, len(word) - 1)] == self.word[np.minimum(c.at[which] + j, len(self.word) - 1)])
+                for j in range(bucket.size):
+                    same = word[pos + j] == self.word[bucket.at[which] + j]
                     pos, which = pos[same], which[same]
                 places.append(pos)
-                strings.append(c.number[which])
+                strings.append(bucket.number[which])
             at = at + np.maximum(jump, 1)
 
 
