@@ -103,6 +103,33 @@ add("b15_edition_metrics", lambda s, d: T.edition_metrics(editions(s, d).withCol
 add("b16_edition_changes", lambda s, d: T.edition_changes(editions(s, d), "source", "doc_id"), f"""WITH h AS (SELECT source, doc_id, lag(doc_id) OVER w AS previous, {_WORDS(_CLEAN.format('text'))} AS n, {_WORDS(_CLEAN.format('text'))} - lag({_WORDS(_CLEAN.format('text'))}) OVER w AS word_delta FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
 l AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS l FROM documents)
 SELECT source, h.doc_id, word_delta, len(list_intersect(a.l, b.l))::BIGINT AS kept, len(list_filter(a.l, lambda x: NOT list_contains(b.l, x)))::BIGINT AS added, len(list_filter(b.l, lambda x: NOT list_contains(a.l, x)))::BIGINT AS removed FROM h JOIN l a ON a.doc_id = h.doc_id JOIN l b ON b.doc_id = h.previous""")
+
+
+def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two editions of each document: its text with chapters, and that without one line of seven, with the first third at the end and a new chapter."""
+    lines = F.split(F.regexp_replace("text", "(?m)^([A-D])", "### $1"), "\n")
+    docs = editions(spark, sf_dir).select("doc_id", lines.alias("lines"), F.filter(lines, lambda x, i: i % 7 != 3).alias("stay"))
+    third = F.floor(F.size("stay") / 3).cast("int")
+    later = F.concat(F.slice("stay", third + 1, F.size("stay")), F.slice("stay", F.lit(1), third), F.array(F.concat(F.lit("### New "), "doc_id")))
+    both = [F.struct(F.lit(v).alias("version"), F.array_join(l, "\n").alias("text")) for v, l in ((1, F.col("lines")), (2, later))]
+    return docs.select("doc_id", F.inline(F.array(*both)))
+
+
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = T.edition_alignment(_revisions(spark, sf_dir), "doc_id", "version")
+    return aligned.select("doc_id", "version", "chapters_added", "chapters_removed", (F.col("kept") + F.col("moved")).alias("shared"), "added", "removed")
+
+
+add("b16b_edition_structure", _structure, f"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^([A-D])', '### \\1', 'g'), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, 1 AS v, unnest(l) AS x FROM l UNION ALL SELECT doc_id, 2, unnest(list_append(list_filter(l, lambda x, i: i % 7 <> 4), '### New ' || doc_id)) FROM l),
+c AS (SELECT doc_id, x, count(*) FILTER (v = 1) AS a, count(*) FILTER (v = 2) AS b FROM p WHERE trim(x) <> '' GROUP BY doc_id, x),
+n AS (SELECT doc_id, sum(least(a, b)) AS shared, sum(b - least(a, b)) AS added, sum(a - least(a, b)) AS removed FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, {_CLEAN.format("substr(x, 5)")} AS title, sum(a) > 0 AS a, sum(b) > 0 AS b FROM c WHERE starts_with(x, '### ') GROUP BY ALL),
+k AS (SELECT doc_id, count(*) FILTER (b AND NOT a) AS chapters_added, count(*) FILTER (a AND NOT b) AS chapters_removed FROM t GROUP BY doc_id)
+SELECT d.doc_id, 2 AS version, coalesce(chapters_added, 0)::BIGINT AS chapters_added, coalesce(chapters_removed, 0)::BIGINT AS chapters_removed, coalesce(shared, 0)::BIGINT AS shared, coalesce(added, 0)::BIGINT AS added, coalesce(removed, 0)::BIGINT AS removed
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""")
+# Which of the shared paragraphs kept their order is a longest rising run, which SQL cannot express; tests/test_editions.py holds it against the plain method.
+add("b16c_edition_alignment", lambda s, d: T.edition_alignment(_revisions(s, d), "doc_id", "version"))
 add("b17_exact_duplicates", lambda s, d: T.exact_duplicates(editions(s, d), "doc_id"), 'SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS "first" FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1')
 
 

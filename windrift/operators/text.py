@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,19 +251,24 @@ def edition_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"words": word_count(text), "sections": n("(?m)^## "), "chapters": n("(?m)^### "), "figures": n(IMAGE)})
 
 
+def with_previous(heads: DataFrame, family: str, version: str, *more: str) -> DataFrame:
+    """``heads`` with ``_own``: version and ``more`` of the row before in the order of ``version`` (a number) in its family, null for the first."""
+    heads = heads.withColumn("_range", place_in_order(heads, version))
+    # Neighbours are found inside ranges; the first of a range follows the last of the range before.
+    w = Window.partitionBy(family, "_range").orderBy(version)
+    last = heads.groupBy(F.col(family).alias("_f"), F.col("_range").alias("_r")).agg(F.max(F.struct(version, *more)).alias("last"))
+    last = last.select("_f", "_r", F.lag("last").over(Window.partitionBy("_f").orderBy("_r")).alias("last"))  # a row for each range
+    heads = heads.withColumn("_own", F.lag(F.struct(version, *more)).over(w)).join(last, F.col(family).eqNullSafe(F.col("_f")) & (F.col("_range") == F.col("_r")))
+    return heads.withColumn("_own", F.coalesce("_own", "last")).drop("_f", "_r", "_range", "last")
+
+
 def edition_changes(docs: DataFrame, family: str, version: str, text: str = "text") -> DataFrame:
     """(family, version, word_delta, kept, added, removed): each edition against the one before, by distinct lines.
 
     Lines are compared by hash within the pair of editions, so no edition's text meets another's. ``version`` is a number.
     """
-    heads = docs.select(family, version, word_count(text).alias("words"))
-    heads = heads.withColumn("_range", place_in_order(heads, version))
-    # Neighbours are found inside ranges; the first of a range follows the last of the range before.
-    w = Window.partitionBy(family, "_range").orderBy(version)
-    last = heads.groupBy(F.col(family).alias("_f"), F.col("_range").alias("_r")).agg(F.max(F.struct(version, "words")).alias("last"))
-    last = last.select("_f", "_r", F.lag("last").over(Window.partitionBy("_f").orderBy("_r")).alias("last"))  # a row for each range
-    heads = heads.withColumn("_own", F.lag(F.struct(version, "words")).over(w)).join(last, F.col(family).eqNullSafe(F.col("_f")) & (F.col("_range") == F.col("_r")))
-    heads = heads.withColumn("_own", F.coalesce("_own", "last")).select(family, version, "words", F.col("_own")[version].alias("previous"), (F.col("words") - F.col("_own.words")).alias("word_delta"))
+    heads = with_previous(docs.select(family, version, word_count(text).alias("words")), family, version, "words")
+    heads = heads.select(family, version, "words", F.col("_own")[version].alias("previous"), (F.col("words") - F.col("_own.words")).alias("word_delta"))
     lines = docs.select(family, version, F.explode(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""), lambda s: F.xxhash64(s)))).alias("h"))
     new = lines.join(heads.select(family, version, "previous"), [family, version]).select(family, F.col(version).alias("v"), "h", F.lit(1).alias("new"), F.lit(0).alias("old"))
     old = lines.withColumnRenamed(version, "previous").join(heads.select(family, F.col(version).alias("v"), "previous"), [family, "previous"]).select(family, "v", "h", F.lit(0).alias("new"), F.lit(1).alias("old"))
@@ -270,6 +278,88 @@ def edition_changes(docs: DataFrame, family: str, version: str, text: str = "tex
     return rows.select(family, version, "word_delta", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "added", "removed")])
 
 
+def _anchors(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """Places (in old, in new) of what is once in both, or, where nothing is, of the nth copy in each; ascending in old."""
+    left, right = defaultdict(list), defaultdict(list)
+    for places, items in ((left, old), (right, new)):
+        for i, h in enumerate(items):
+            places[h].append(i)
+    once = [(at[0], right[h][0]) for h, at in left.items() if len(at) == 1 and len(right.get(h, ())) == 1]
+    return sorted(once or [pair for h, at in left.items() for pair in zip(at, right.get(h, ()), strict=False)])
+
+
+def _longest_rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of the anchors that ascends in both places."""
+    ends, tips, before = [], [], []  # the smallest last place of a run of each length, the anchor there, and the one before each anchor
+    for i, (_, place) in enumerate(anchors):
+        n = bisect_left(ends, place)
+        before.append(tips[n - 1] if n else None)
+        ends[n : n + 1], tips[n : n + 1] = [place], [i]
+    run, i = [], tips[-1] if tips else None
+    while i is not None:
+        run.append(anchors[i])
+        i = before[i]
+    return run[::-1]
+
+
+def kept_in_order(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """Places (in old, in new) of a common subsequence: equal ends, then anchors, then the stretches between the anchors likewise.
+
+    It is a longest one where no item is repeated, and no stretch that it leaves has an item in common.
+    """
+    pairs, todo = [], [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and old[a] == new[c]:
+            pairs.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+            pairs.append((b, d))
+        run = _longest_rising(_anchors(old[a:b], new[c:d]))
+        pairs += [(a + i, c + j) for i, j in run]
+        edges = [(-1, -1), *run, (b - a, d - c)] if run else []
+        todo += [(a + i + 1, a + k, c + j + 1, c + m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False) if i + 1 < k and j + 1 < m]
+    return sorted(pairs)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for left, right in zip(batch.column("_before"), batch.column("_after"), strict=True):
+            old, new = left.as_py(), right.as_py()
+            both, kept = (Counter(old) & Counter(new)).total(), len(kept_in_order(old, new))
+            rows.append((kept, both - kept, len(new) - both, len(old) - both))
+        rest = batch.drop_columns(["_before", "_after"])
+        counts = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([*rest.columns, *counts], names=[*rest.schema.names, "kept", "moved", "added", "removed"])
+
+
+def edition_alignment(docs: DataFrame, family: str, version: str, text: str = "text") -> DataFrame:
+    """(family, version, previous, chapters_added, chapters_removed, kept, moved, added, removed): each edition against the one before, in order.
+
+    A chapter is a line that begins with "### ", told from others by its title. A paragraph is a line that is not blank; copies count. ``kept`` ones stand
+    in both editions in one order (``kept_in_order``), ``moved`` ones are in both besides, ``added`` and ``removed`` ones in one.
+    A pair of editions is one row of hashes in one task; texts are not shuffled. A null text is empty, a null family is a family, editions without a version
+    take no part, and of several texts of one version that with the smallest hash counts. ``version`` is a number.
+    """
+    some = docs.select(F.col(family).alias("_family"), F.col(version).alias("_version"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where("_version is not null")
+    lines = F.filter(F.split("_text", "\n"), lambda s: F.trim(s) != "")
+    titles = F.transform(F.filter(lines, lambda s: s.startswith("### ")), lambda s: squeezed(F.substring(s, 5, 1 << 30)))
+    hashes = F.struct(F.transform(lines, lambda s: F.xxhash64(s)).alias("lines"), F.array_distinct(F.transform(titles, lambda s: F.xxhash64(s))).alias("titles"))
+    parts = some.groupBy("_family", "_version").agg(F.min_by(hashes, F.xxhash64("_text")).alias("part"))
+    heads = with_previous(some.select("_family", "_version").distinct(), "_family", "_version")
+    pairs = heads.select("_family", "_version", F.col("_own._version").alias("_previous")).where("_previous is not null")
+    for at, name in (("_previous", "_old"), ("_version", "_new")):
+        side = parts.select(F.col("_family").alias("_f"), F.col("_version").alias("_v"), F.col("part").alias(name))
+        pairs = pairs.join(side, F.col("_family").eqNullSafe(F.col("_f")) & (F.col(at) == F.col("_v"))).drop("_f", "_v")
+    change = lambda a, b: F.size(F.array_except(f"{a}.titles", f"{b}.titles")).cast("long")
+    sides = pairs.select("_family", "_version", "_previous", change("_new", "_old").alias("chapters_added"), change("_old", "_new").alias("chapters_removed"), F.col("_old.lines").alias("_before"), F.col("_new.lines").alias("_after"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sides.schema.fields[:5])
+    out = sides.mapInArrow(_aligned, f"{kind}, kept long, moved long, added long, removed long")
+    return out.withColumnsRenamed({"_family": family, "_version": version, "_previous": "previous"})
+
+
 def exact_duplicates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(digest, copies, first): texts that occur more than once. Only digests are shuffled, and counted map-side first."""
     return docs.groupBy(F.sha2(text, 256).alias("digest")).agg(F.count("*").alias("copies"), F.min(key).alias("first")).where("copies > 1 and digest is not null")
