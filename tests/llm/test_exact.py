@@ -117,6 +117,26 @@ def test_items_from_a_template_cost_no_more_than_random_ones(middle):
     assert took["template"] < 3 * took["random"] + 0.2, took
 
 
+def test_a_pair_of_postings_is_made_at_its_first_choice(spark):
+    """Fingerprints that share some bytes meet in the index once, at the first choice that all its places share."""
+    rng = np.random.default_rng(16)
+    one = rng.integers(0, 256, (40, widehash.BYTES)).astype(np.uint8)
+    other = one.copy()
+    change = rng.random(one.shape) < 0.6
+    other[change] ^= 1
+    both = np.concatenate((one, other)).view(np.int64).tolist()
+    names = [f"p{w}" for w in range(widehash.WORDS)]
+    kind = ", ".join(f"{n} long" for n in ["root", "node", "size", *names])
+    rows = spark.createDataFrame([(i, i, 100, *words) for i, words in enumerate(both)], kind)
+    posts = rows.mapInArrow(lambda batches: widehash._post(batches, 0, widehash.KEYS, False), f"key long, {kind}")
+    joined = posts.alias("l").join(posts.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & widehash._first_meeting())
+    got = sorted((r.a, r.b, r.k >> 24) for r in joined.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.key").alias("k")).collect())
+    meets = [(i, i + 40, [c for c, places in enumerate(widehash._PLACES) if not change[i][places].any()]) for i in range(40)]
+    few = [bin(int(a) ^ int(b)).count("1") <= widehash.FIRST for a, b in zip(one[:, :8].copy().view(np.uint64).ravel(), other[:, :8].copy().view(np.uint64).ravel(), strict=True)]
+    assert all(few) and sum(len(m) > 1 for _, _, m in meets) > 20
+    assert got == [(a, b, m[0]) for a, b, m in meets if m]
+
+
 def test_a_large_benchmark_fits_a_worker():
     code = """
 import resource, numpy as np

@@ -48,6 +48,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(3)
 _PLACES = np.array([_rng.choice(BYTES, 3, replace=False) for _ in range(KEYS)])
+#: Of each choice, its places as bits of a number: place ``p`` is bit ``8 * (p % 8) + p // 8``, as in ``_equal_places``.
+_MASKS = [int(sum(1 << (8 * (p % 8) + p // 8) for p in places.tolist())) for places in _PLACES]
 #: The bits of a byte as eight counters in one number.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
@@ -131,6 +133,30 @@ def _zero_bytes(x: Column) -> Column:
     return 8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
+def _equal_places(l: str = "l", r: str = "r") -> Column:  # noqa: E741
+    """The positional bytes that the fingerprints of two aliased rows share, as bits of a number."""
+    out = F.lit(0).cast("long")
+    for w, name in enumerate(_NAMES):
+        x = F.col(f"{l}.{name}").bitwiseXOR(F.col(f"{r}.{name}"))
+        for step in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        out = out.bitwiseOR(F.shiftleft(F.bitwise_not(x).bitwiseAND(F.lit(0x0101010101010101)), w))
+    return out
+
+
+def _first_meeting() -> Column:
+    """Do two postings (l, r) of one key share no choice before this one? A pair that shares many is made once, not once for each.
+
+    An earlier choice has compared the pair, or found it joined, but for lists of two with more than FIRST differing bits; such pairs are made at every choice.
+    """
+    choice = F.shiftright("l.key", 24).cast("int")
+    signed = [m - (1 << 64) if m >> 63 else m for m in _MASKS]
+    earlier = F.slice(F.array(*[F.lit(m).cast("long") for m in signed]), F.lit(1), choice)
+    # The list of one number: so the shared places are worked out once for each pair.
+    met = F.exists(F.array(_equal_places()), lambda shared: F.exists(earlier, lambda m: shared.bitwiseAND(m) == m))
+    return ~met | (F.bit_count(F.col("l.p0").bitwiseXOR(F.col("r.p0"))) > FIRST)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard index of ``least`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -175,7 +201,7 @@ def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHI
     def pairs_of(postings: DataFrame, one_by_one: bool, turn: int) -> DataFrame:
         left, right = postings.alias("l"), postings.alias("r")
         if one_by_one:
-            return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+            return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least) & _first_meeting()).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_NAMES)).alias("m")).select("key", "m.*")
         return left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
 
