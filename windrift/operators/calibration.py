@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrift.functions.values import level, rounded
+from windrift.operators import sketches
 from windrift.operators.daytype import DCSD, IQR
 from windrift.operators.metrics import CALIBRATED, INVERTED
 
@@ -19,20 +20,37 @@ QUARTILES = (0.25, 0.5, 0.75)
 VENUE_ORDER = ("Cagliari", "Palma", "Hyeres", "Long Beach", "Avon", "Greece", "Gdynia", "Gorge")
 
 
-def thresholds(metrics: DataFrame, strategy: str = "D", probs: Sequence[float] = PROBS) -> DataFrame:
-    """Three quantiles of each metric under a strategy, where it has four values or more."""
+def thresholds(metrics: DataFrame, strategy: str = "D", probs: Sequence[float] = PROBS, approx: bool = False) -> DataFrame:
+    """Three quantiles of each metric under a strategy, where it has four values or more; with ``approx`` from sketches, whose error ``sketches`` states."""
+    if approx:
+        return sketched_thresholds(sketches.sketched(metrics.where(F.col("strategy") == strategy), ["metric"]), probs)
     q = F.percentile("value", F.array(*map(F.lit, probs)))
     rows = metrics.where((F.col("strategy") == strategy) & F.col("value").isNotNull()).groupBy("metric").agg(F.count("*").alias("n"), q.alias("q"))
     return rows.where("n >= 4").select("metric", *[rounded(F.get("q", F.lit(i))).alias(f"t{i}") for i in range(len(probs))])
 
 
-def distribution(metrics: DataFrame) -> DataFrame:
-    """Count, mean, spread and quartiles of each metric under each strategy; nulls are left out."""
+def sketched_thresholds(parts: DataFrame, probs: Sequence[float] = PROBS) -> DataFrame:
+    """``thresholds`` from kept sketches (metric, ..) of any parts of the sessions."""
+    rows = sketches.merged(parts, ["metric"]).where("n >= 4")
+    return rows.select("metric", *[rounded(sketches.quantile(q)).alias(f"t{i}") for i, q in enumerate(probs)])
+
+
+def distribution(metrics: DataFrame, approx: bool = False) -> DataFrame:
+    """Count, mean, spread and quartiles of each metric under each strategy; nulls are left out. With ``approx`` the quartiles are those of sketches."""
+    if approx:
+        return sketched_distribution(sketches.sketched(metrics, ["metric", "strategy"]))
     q = F.percentile("value", F.array(*map(F.lit, QUARTILES)))
     rows = metrics.groupBy("metric", "strategy").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), q.alias("q"))
     return rows.select("metric", "strategy", "n", rounded("mean").alias("mean"), rounded("sd").alias("sd"), rounded("low").alias("low"), rounded("high").alias("high"), *[rounded(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
 
 
+def sketched_distribution(parts: DataFrame) -> DataFrame:
+    """``distribution`` from kept sketches (metric, strategy, ..) of any parts of the sessions."""
+    rows = sketches.merged(parts, ["metric", "strategy"])
+    quartiles = [rounded(sketches.quantile(q)).alias(n) for q, n in zip(QUARTILES, ("p25", "p50", "p75"), strict=True)]
+    return rows.select("metric", "strategy", "n", rounded(sketches.mean()).alias("mean"), rounded(sketches.spread()).alias("sd"), rounded("low").alias("low"), rounded("high").alias("high"), *quartiles)
+
+
 def histogram(metrics: DataFrame, bins: int = BINS) -> DataFrame:
     """Counts of ``bins`` equal bins of each metric and strategy, empty ones too; a single value makes one bin."""
     by = ["metric", "strategy"]
@@ -63,15 +81,19 @@ def venue_comparison(metrics: DataFrame, strategy: str = "D") -> DataFrame:
     return wide.select("venue", *[rounded(n).alias(n) for n in names])
 
 
-def venue_transfer(metrics: DataFrame, strategy: str = "E") -> DataFrame:
+def venue_transfer(metrics: DataFrame, strategy: str = "E", approx: bool = False) -> DataFrame:
     """(venue, sessions, iqr, dcsd, agree, percent): how often the type by a venue's own middle thresholds is that by the common ones.
 
-    The middle threshold decides puffy and shifty; a venue's own are its medians, of four sessions or more that have both measures.
+    The middle threshold decides puffy and shifty; a venue's own are its medians (of sketches with ``approx``), of four sessions or more that have both measures.
     """
     of = lambda m: F.first(F.when(F.col("metric") == m, rounded("value")), ignorenulls=True)
     both = metrics.where((F.col("strategy") == strategy) & F.col("metric").isin("iqrRatio", "detrendedCircularStdDev"))
     rows = both.groupBy("session_id", "venue").agg(of("iqrRatio").alias("i"), of("detrendedCircularStdDev").alias("d")).where("i is not null and d is not null")
-    own = rows.groupBy("venue").agg(F.count("*").alias("sessions"), rounded(F.percentile("i", F.lit(0.5))).alias("iqr"), rounded(F.percentile("d", F.lit(0.5))).alias("dcsd")).where("sessions >= 4")
+    if approx:
+        half = lambda c, n: sketches.sketched(rows, ["venue"], c).select("venue", F.col("n").alias("sessions"), rounded(sketches.quantile(0.5)).alias(n))
+        own = half("i", "iqr").join(half("d", "dcsd").drop("sessions"), "venue").where("sessions >= 4")
+    else:
+        own = rows.groupBy("venue").agg(F.count("*").alias("sessions"), rounded(F.percentile("i", F.lit(0.5))).alias("iqr"), rounded(F.percentile("d", F.lit(0.5))).alias("dcsd")).where("sessions >= 4")
     met = rows.join(F.broadcast(own), "venue")  # a row for each venue
     same = ((F.col("i") >= IQR[1]) == (F.col("i") >= F.col("iqr"))) & ((F.col("d") >= DCSD[1]) == (F.col("d") >= F.col("dcsd")))
     out = met.groupBy("venue", "sessions", "iqr", "dcsd").agg(F.sum(same.cast("int")).alias("agree"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from windrift.functions.values import before, circ_mean, circ_std, ordered, ratio, trailing, turn, whole
 
-from . import long_sessions
+from . import long_sessions, sketches
 from .long_sessions import GROUPS, GUST_MS, MEAN_MS, SHIFT_MS, TAIL, chunk_for
 from .scan import CHUNK, KEY, keyed, prefix, settled
 
@@ -185,6 +185,19 @@ def metric_table(fanned: DataFrame, names: Sequence[str] = CALIBRATED, chunk_ms:
     return wide.unpivot(["session_id", "venue", "strategy"], list(names), "metric", "value")
 
 
+def speed_sketches(points: DataFrame, by: Sequence[str], k: int = sketches.K) -> DataFrame:
+    """Sketches of the wind speeds of each group of ``by``, such as session and hour: kept, they serve ``sketched_speeds`` of any coarser groups."""
+    return sketches.sketched(points, by, "wind_kts", k)
+
+
+def sketched_speeds(parts: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """(by, iqrRatio, cv, meanWindSpeed, medianWindSpeed, windRange) from sketches of parts, null where ``measure`` is; quantiles have the error of sketches."""
+    rows = sketches.merged(parts, by)
+    low, half, high = (sketches.quantile(q) for q in (0.25, 0.5, 0.75))
+    values = {"iqrRatio": _enough(F.col("n"), ratio(high - low, half)), "cv": _enough(F.col("n"), ratio(sketches.spread(), sketches.mean())), "meanWindSpeed": sketches.mean(), "medianWindSpeed": half, "windRange": F.col("high") - F.col("low")}
+    return rows.select(*by, *[c.alias(n) for n, c in values.items()])
+
+
 def _lag_products(max_lag: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
