@@ -33,8 +33,8 @@ def plain_kmeans(x, k, rng):
     return ((x - centre[near]) ** 2).sum(), near
 
 
-def plain_silhouette(x, label):
-    far, out = ((x[:, None] - x[None]) ** 2).sum(-1), []
+def plain_silhouette(x, label, power=2):
+    far, out = ((x[:, None] - x[None]) ** 2).sum(-1) ** (power / 2), []
     for i, own in enumerate(label):
         mine = (label == own).sum()
         a = far[i][label == own].sum() / (mine - 1) if mine > 1 else 0
@@ -55,8 +55,8 @@ def test_scan_equals_plain_silhouettes(table, blobs):
     rows = {r.k: r for r in C.k_scan(table, NAMES, ks=(3, 4), seeds=range(1, 6)).collect()}
     assert set(rows) == {3, 4} and rows[4].silhouette > rows[3].silhouette
     cost, near = min((plain_kmeans(blobs, 4, rng) for _ in range(30)), key=lambda t: t[0])
-    plain = plain_silhouette(blobs, near)
-    assert rows[4].inertia == pytest.approx(cost, rel=1e-6) and rows[4].silhouette == pytest.approx(plain.mean(), rel=1e-6)
+    plain = plain_silhouette(blobs, near, 1)
+    assert rows[4].error == pytest.approx(0, abs=1e-9) and rows[4].inertia == pytest.approx(cost, rel=1e-6) and rows[4].silhouette == pytest.approx(plain.mean(), rel=1e-6)
     assert sorted(rows[4].by_cluster.values()) == pytest.approx(sorted(plain[near == j].mean() for j in range(4)), rel=1e-6)
 
 
@@ -68,6 +68,43 @@ def test_squared_silhouette_of_single_rows(spark):
     assert [tuple(r) for r in C.squared_silhouette(one).collect()] == [(0, 2, 0.0)]
 
 
+def test_sampled_silhouettes_are_exact_for_small_clusters(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(40, 2)), rng.normal(3, 1, (30, 2)), [[9.0, 9.0]], np.zeros((6, 2))])
+    label = np.array([0] * 40 + [1] * 30 + [2] + [0] * 6)
+    table = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(label, x, strict=True))] + [(-1, None, [0.0, 0.0]), (-2, 1, None)], "id int, cluster_id int, z array<double>")
+    scores = C.sampled_silhouette(table, key="id")
+    got = {r.id: r.silhouette for r in scores.collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(plain_silhouette(x, label, 1), abs=1e-12) and len(got) == len(x)
+    assert {r.id: r.silhouette for r in C.silhouette(table.where("id >= 0"), "id").collect()} == pytest.approx({i: v for i, v in got.items()}, abs=1e-12)
+    per = {r.cluster_id: r for r in C.silhouette_summary(scores).collect()}
+    assert set(per) == {0, 1, 2, None} and per[None]["size"] == len(x) and all(r.error == pytest.approx(0, abs=1e-12) for r in per.values())
+    one = C.sampled_silhouette(table.where("cluster_id = 0"))
+    assert {r.silhouette for r in one.collect()} == {0.0}
+    assert C.silhouette_summary(C.sampled_silhouette(table.limit(0))).count() == 0
+
+
+def test_sampled_silhouettes_hold_their_error_on_many_rows(spark):
+    """20,000 rows in three clusters that touch; a third of all rows are one vector."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 1.0, (n, 2)) for c, n in (((0, 0), 6000), ((3, 0), 4000), ((0, 4), 3000))] + [np.tile([3.0, 0.5], (7000, 1))])
+    label = np.repeat([0, 1, 2, 1], [6000, 4000, 3000, 7000])
+    own, sums = np.bincount(label), np.zeros((len(x), 3))
+    for at in range(0, len(x), 500):
+        far = np.sqrt(((x[at : at + 500, None] - x[None]) ** 2).sum(-1))
+        for c in range(3):
+            sums[at : at + 500, c] = far[:, label == c].sum(1)
+    mean, line = sums / own, np.arange(len(x))
+    a = sums[line, label] / (own[label] - 1)
+    mean[line, label] = np.inf
+    exact = (mean.min(1) - a) / np.maximum(a, mean.min(1))
+    table = spark.createDataFrame(list(zip(label.tolist(), x.tolist(), strict=True)), "cluster_id int, z array<double>").repartition(6)
+    per = {r.cluster_id: r for r in C.silhouette_summary(C.sampled_silhouette(table)).collect()}
+    for c, r in per.items():
+        true = exact.mean() if c is None else exact[label == c].mean()
+        assert r["size"] == (len(x) if c is None else own[c]) and 0 < r.error < 0.03 and abs(r.silhouette - true) < 4 * r.error
+
+
 def test_components_equal_the_plain_ones(table, blobs):
     centred = blobs - blobs.mean(0)
     value, vector = np.linalg.eigh(centred.T @ centred / (len(blobs) - 1))

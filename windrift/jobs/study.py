@@ -89,11 +89,16 @@ SELECT a.session_id, CASE WHEN NOT a.ok AND a.venue = 'Other' THEN coalesce(s.ve
 FROM a LEFT JOIN f ON a.p = f.p LEFT JOIN ft s ON s.session_id = f.src, g""")
 add("c2_zscore", lambda s, d: _round_all(standardised(s, d)), f"{_Z} SELECT session_id, venue, {_RNDF} FROM z")
 add("c3_kmeans", lambda s, d: C.assign_clusters((z := standardised(s, d).withColumn("z", F.array(*FEATURES))), C.centroid_table(C.kmeans_best(z, "z", K))).select("session_id", "cluster_id"))
-add("c4_k_scan", lambda s, d: C.k_scan(s.read.parquet(f"{d}/embeddings.parquet").withColumn("z", F.col("embedding").cast("array<double>")), "z").select("k", "inertia", "silhouette", F.explode("by_cluster").alias("cluster_id", "cluster_silhouette")))
+add("c4_k_scan", lambda s, d: C.k_scan(s.read.parquet(f"{d}/embeddings.parquet").withColumn("z", F.col("embedding").cast("array<double>")), "z").select("k", "inertia", "silhouette", "error", F.explode("by_cluster").alias("cluster_id", "cluster_silhouette")))
 add("c5_assign_clusters", lambda s, d: labelled(s, d).select("session_id", "cluster_id", rounded("distance", 5).alias("distance")), f"{_LABELS} SELECT session_id, cluster_id::INT AS cluster_id, {sql.r('distance', 5)} AS distance FROM lab")
-add("c6_silhouette", lambda s, d: C.silhouette(labelled(s, d), "session_id").select("session_id", "cluster_id", rounded("silhouette", 5).alias("silhouette")), f"""{_LABELS}, v AS MATERIALIZED (SELECT session_id, cluster_id, {_V} AS v FROM lab), s AS (SELECT a.session_id, a.cluster_id, b.cluster_id AS c2, avg(sqrt({_D2('a.v', 'b.v')})) AS d FROM v a, v b WHERE a.session_id <> b.session_id GROUP BY ALL),
+_SILHOUETTES = f"""{_LABELS}, v AS MATERIALIZED (SELECT session_id, cluster_id, {_V} AS v FROM lab), s AS (SELECT a.session_id, a.cluster_id, b.cluster_id AS c2, avg(sqrt({_D2('a.v', 'b.v')})) AS d FROM v a, v b WHERE a.session_id <> b.session_id GROUP BY ALL),
 p AS (SELECT session_id, cluster_id, max(d) FILTER (WHERE c2 = cluster_id) AS a, min(d) FILTER (WHERE c2 <> cluster_id) AS b FROM s GROUP BY ALL)
-SELECT session_id, cluster_id::INT AS cluster_id, {sql.r("CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END", 5)} AS silhouette FROM p""")
+SELECT session_id, cluster_id::INT AS cluster_id, {sql.r("CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END", 5)} AS silhouette FROM p"""
+add("c6_silhouette", lambda s, d: C.silhouette(labelled(s, d), "session_id").select("session_id", "cluster_id", rounded("silhouette", 5).alias("silhouette")), _SILHOUETTES)
+# Exact, as SQL has it, while no cluster is larger than the partners.
+add("c6c_sampled_silhouette", lambda s, d: C.sampled_silhouette(labelled(s, d), key="session_id").select("session_id", "cluster_id", rounded("silhouette", 5).alias("silhouette")), _SILHOUETTES)
+
+
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.cluster_summary(labelled(spark, sf_dir), FEATURES, stats=C.feature_stats(features(spark, sf_dir), FEATURES))
     top = rows.select("cluster_id", "size", "raw", F.posexplode("features").alias("place", "f"))

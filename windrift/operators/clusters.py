@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -80,37 +81,126 @@ def _vector(names: Sequence[str] | str) -> Column:
 
 #: Fits that run at once; each is a row of small jobs, which leave a cluster idle one after the other.
 AT_ONCE = 8
+#: Rows of a cluster that a silhouette's distances are taken to, their shares for its error, and the most bytes of all of them.
+PARTNERS, REPLICAS, PARTNER_BYTES = 256, 8, 64 << 20
 
 
-def _best_fits(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int) -> dict[int, KMeansModel]:
-    """The model with the smallest cost of the starts of each k; of equal ones that of the first seed. ``rows`` is dealt out and kept while they run."""
+@contextmanager
+def _kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` dealt out and kept while fits and silhouettes read them many times."""
     rows = rows.repartition(min(AT_ONCE, rows.sparkSession.sparkContext.defaultParallelism)) if rows.rdd.getNumPartitions() == 1 else rows
     rows = rows.persist()
     try:
         rows.count()
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            models = list(pool.map(lambda x: (x[0], KMeans(k=x[0], seed=x[1], maxIter=max_iter).fit(rows)), [(k, s) for k in ks for s in seeds]))
+        yield rows
     finally:
         rows.unpersist()
+
+
+def _best_fits(rows: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int) -> dict[int, KMeansModel]:
+    """The model with the smallest cost of the starts of each k; of equal ones that of the first seed."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        models = list(pool.map(lambda x: (x[0], KMeans(k=x[0], seed=x[1], maxIter=max_iter).fit(rows)), [(k, s) for k in ks for s in seeds]))
     return {k: min((m for n, m in models if n == k), key=lambda m: m.summary.trainingCost) for k in ks}
 
 
 def kmeans_best(z: DataFrame, names: Sequence[str] | str, k: int = 4, seeds: Sequence[int] = range(1, 25), max_iter: int = 60) -> KMeansModel:
     """The model with the smallest cost of several starts."""
-    return _best_fits(z.select(_vector(names)), [k], seeds, max_iter)[k]
+    with _kept(z.select(_vector(names))) as rows:
+        return _best_fits(rows, [k], seeds, max_iter)[k]
+
+
+def k_scan(z: DataFrame, names: Sequence[str] | str, ks: Sequence[int] = range(2, 7), seeds: Sequence[int] = range(1, 13), max_iter: int = 40, partners: int = PARTNERS) -> DataFrame:
+    """(k, inertia, silhouette, error, by_cluster): the Euclidean silhouette of all rows with its standard error, and of each cluster's rows (map).
+
+    A row's distances are those to all rows of a cluster of up to ``partners``, else to so many of it (``sampled_silhouette``); the error is 0 if no cluster has more.
+    """
+    with _kept(z.select(_vector(names))) as rows:
+        models = _best_fits(rows, ks, seeds, max_iter)
 
+        def judged(k: int) -> tuple:
+            labelled = models[k].transform(rows).select(F.col("prediction").alias("cluster_id"), vector_to_array("features").alias("z"))
+            per = silhouette_summary(sampled_silhouette(labelled, partners=partners)).collect()  # k rows and one of all
+            whole = next((r for r in per if r.cluster_id is None), None)
+            value, error = (float(whole.silhouette), float(whole.error)) if whole else (0.0, 0.0)
+            return k, float(models[k].summary.trainingCost), value, error, {int(r.cluster_id): float(r.silhouette) for r in per if r.cluster_id is not None}
 
-def k_scan(z: DataFrame, names: Sequence[str] | str, ks: Sequence[int] = range(2, 7), seeds: Sequence[int] = range(1, 13), max_iter: int = 40) -> DataFrame:
-    """(k, inertia, silhouette, by_cluster): the silhouette of squared distances, which needs sums for each cluster only, overall and of each cluster (map)."""
-    rows = z.select(_vector(names))
-    models = _best_fits(rows, ks, seeds, max_iter)
-    out = []
-    for k, model in models.items():
-        # k rows.
-        per = squared_silhouette(model.transform(rows).select(F.col("prediction").alias("cluster_id"), vector_to_array("features").alias("z"))).collect()
-        total = sum(r["size"] for r in per)
-        out.append((k, float(model.summary.trainingCost), sum(r.silhouette * r["size"] for r in per) / max(total, 1), {int(r.cluster_id): float(r.silhouette) for r in per}))
-    return z.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, by_cluster map<int, double>")
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            out = list(pool.map(judged, ks))
+    return z.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, error double, by_cluster map<int, double>")
+
+
+def _partners(labelled: DataFrame, n: int) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """The size of each cluster and the vectors of up to ``n`` of its rows, drawn alike from all of them whatever their vectors are."""
+    sizes = {r.cluster_id: r["count"] for r in labelled.groupBy("cluster_id").count().collect()}  # a row for each cluster
+    # Spark keeps the first n of each cluster in every task before it shuffles.
+    drawn = labelled.withColumn("u", F.rand(7)).withColumn("at", F.row_number().over(Window.partitionBy("cluster_id").orderBy("u"))).where(F.col("at") <= n)
+    found: dict[int, list] = {c: [] for c in sizes}
+    for r in drawn.select("cluster_id", "z").toLocalIterator():
+        found[r.cluster_id].append(r.z)
+    if sum(len(v) * len(v[0]) * 8 for v in found.values() if v) > PARTNER_BYTES:
+        raise ValueError("partners take too much memory; ask for fewer")
+    return sizes, {c: np.array(v, float) for c, v in found.items()}
+
+
+def sampled_silhouette(labelled: DataFrame, vector: str = "z", key: str | None = None, partners: int = PARTNERS) -> DataFrame:
+    """(key, cluster_id, silhouette, without): the Euclidean silhouette of each row (without ``key`` if none is named); 0 for a cluster of one, or if there is one cluster.
+
+    A cluster of up to ``partners`` rows takes part whole, so that small inputs have exact values. Of a larger one that many rows are drawn, and a mean distance is
+    that to them: work and memory grow with the rows, not with their pairs. ``without`` has the silhouettes that each of ``REPLICAS`` shares of the drawn rows, left out,
+    would give; they are one another's error (``silhouette_summary``). Which rows are drawn depends on how the table is dealt out. Rows without a vector or a cluster have no row.
+    """
+    if partners < 2 * REPLICAS:
+        raise ValueError(f"at least {2 * REPLICAS} partners")
+    names = [key] if key else []
+    rows = labelled.where(F.col("cluster_id").isNotNull() & F.col(vector).isNotNull()).select(*[F.col(n).alias("key") for n in names], F.col("cluster_id").cast("int").alias("cluster_id"), F.col(vector).cast("array<double>").alias("z"))
+    kind = f"{'key ' + rows.schema['key'].dataType.simpleString() + ', ' if key else ''}cluster_id int, silhouette double, without array<double>"
+    sizes, drawn = _partners(rows, partners)
+    ids = sorted(sizes)
+    n = np.array([sizes[c] for c in ids], float)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, own = np.stack(pdf.z.to_numpy()), np.searchsorted(ids, pdf.cluster_id.to_numpy())
+            # By row, cluster and replica (the last has all partners): the sum of the distances, and how many partners it has.
+            total, count = np.zeros((len(x), len(ids), REPLICAS + 1)), np.zeros((len(ids), REPLICAS + 1))
+            for c, name in enumerate(ids):
+                y = drawn[name]
+                share = np.arange(len(y)) % REPLICAS
+                kept = np.ones((len(y), REPLICAS + 1))
+                if len(y) < n[c]:
+                    kept[:, :REPLICAS] = share[:, None] != np.arange(REPLICAS)
+                count[c] = kept.sum(0)
+                step = max(1, (1 << 20) // y.size)
+                for at in range(0, len(x), step):
+                    total[at : at + step, c] = np.sqrt(((x[at : at + step, None] - y) ** 2).sum(-1)) @ kept
+            mean = total / count
+            line = np.arange(len(x))
+            # The row itself is among its cluster's n, at no distance.
+            a = mean[line, own] * (n / np.maximum(n - 1, 1))[own][:, None]
+            mean[line, own] = np.inf
+            b = mean.min(1)
+            most = np.maximum(a, b)
+            good = (n[own] > 1)[:, None] & np.isfinite(b) & (most > 0)
+            s = np.where(good, (np.where(good, b, 0) - a) / np.where(good, most, 1), 0.0)
+            yield pd.DataFrame(({"key": pdf.key} if key else {}) | {"cluster_id": pdf.cluster_id, "silhouette": s[:, -1], "without": list(s[:, :-1])})
+
+    out = rows.mapInPandas(score, kind)
+    return out.withColumnRenamed("key", key) if key else out
+
+
+def silhouette_summary(scores: DataFrame) -> DataFrame:
+    """(cluster_id, size, silhouette, error): means of the rows of ``sampled_silhouette`` by cluster, and of all where ``cluster_id`` is null; no row of no rows.
+
+    ``error`` is the standard error by the jackknife over the left-out shares. All rows share the partners, so it does not fall with their number.
+    """
+    left = [F.avg(F.get("without", F.lit(i))).alias(f"w{i}") for i in range(REPLICAS)]
+    rows = scores.rollup("cluster_id").agg(F.count("*").alias("size"), F.avg("silhouette").alias("silhouette"), *left).where("size > 0")
+    mean = reduce(lambda a, b: a + b, [F.col(f"w{i}") for i in range(REPLICAS)]) / REPLICAS
+    squares = reduce(lambda a, b: a + b, [F.pow(F.col(f"w{i}") - F.col("_m"), F.lit(2.0)) for i in range(REPLICAS)])
+    return rows.withColumn("_m", mean).select("cluster_id", "size", "silhouette", F.sqrt(squares * ((REPLICAS - 1) / REPLICAS)).alias("error"))
 
 
 def squared_silhouette(labelled: DataFrame, vector: str = "z") -> DataFrame:
@@ -153,7 +243,7 @@ def assign_clusters(z: DataFrame, centroids: DataFrame, vector: str = "z") -> Da
 
 
 def silhouette(labelled: DataFrame, key: str, vector: str = "z", blocks: int = 8) -> DataFrame:
-    """The exact Euclidean silhouette of each row (``key``, cluster_id, silhouette); 0 for a cluster of one. All pairs: for bounded inputs.
+    """The exact Euclidean silhouette of each row (``key``, cluster_id, silhouette); 0 for a cluster of one. All pairs: for bounded inputs; ``sampled_silhouette`` has no such bound.
 
     Rows meet in ``blocks`` squared tasks, and only sums by row and cluster leave them.
     """
