@@ -334,6 +334,35 @@ def test_near_copies_in_a_large_group_keep_one(spark):
     assert kept == {0, 1000}
 
 
+def test_a_large_group_just_below_the_limit_makes_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = []
+    for k in range(500):
+        mine = list(words)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            mine[at] = f"new{rng.integers(100)}"
+        texts.append(" ".join(mine))
+    sets = [set(zip(*[t.split()[j:] for j in range(5)])) for t in texts]  # noqa: B905
+    roots = list(range(500))
+    for a in range(500):
+        for b in range(a):
+            if roots[a] != roots[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                low, high = sorted((roots[a], roots[b]))
+                roots = [low if r == high else r for r in roots]
+    made, keep = [], widehash.Tables.keep
+
+    def kept_tables(self, df, name, times=1):
+        out = keep(self, df, name, times)
+        made.append(out.count() if name.startswith(("compared", "waiting")) else 0)
+        return out
+
+    monkeypatch.setattr(widehash.Tables, "keep", kept_tables)
+    kept = {r.doc_id for r in widehash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 50 < len(set(roots)) and kept == set(roots)
+    assert sum(made) < 10 * len(texts)
+
+
 
 
 def test_token_files_give_parts_of_the_corpus(spark, sf_dir, tmp_path):

@@ -7,8 +7,12 @@ all of 2,257 at 0.90 to 0.95 (measured; README). The tally of shared positional
 cases (binomial; none of 8,630 measured) and unlike texts never reach, and the whole sets of shingles decide, so no pair below the limit is linked.
 
 A node is a distinct set of shingles, so copies cost one row. To keep large groups linear, the nodes of a posting list are first compared with one of them,
-the one that is smallest by a hash of the round; what these links do not join is compared pair by pair.
+the one that is smallest by a hash of the round; what these links do not join is compared pair by pair in lists of up to ``LIST`` nodes.
 Sets of which one is less than 0.8 of the other's size are passed over: they cannot be alike.
+
+The nodes of longer lists that are not all joined, such as copies of one text with edits that bring them just below 0.8, meet by what is rare instead, and no
+link is lost by it. Shingles have one order, the rare ones first. Two sets that are alike share one of the first fifth of each in that order (``_marks``), and of the
+first one that they share, so much is left in both as their sizes ask for. What all copies of a text have in common comes late in the order, so copies with many shingles of their own do not meet.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,10 @@ TURNS = (16, 80, 80, 80)
 KEYS = sum(TURNS)
 #: Pairs for each posting that may be compared one by one; above it, a round with one node of each list goes before, as long as one of FRUITFUL pairs is a link.
 PAIRS, FRUITFUL = 2, 10
+#: The nodes of the longest list that is compared pair by pair.
+LIST = 8
+#: Counters for how often shingles are there; those that share one count as equally frequent, which changes no result.
+COUNTERS = 1 << 18
 #: Postings that are made at once.
 _ROWS = 1000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -126,6 +135,46 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("node"), list_array(values.view(np.int64), count, pa.int64())], names=["node", "shingles"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task fall to each counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column("shingles").flatten().to_numpy().view(np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+
+def _marks(batches: Iterator[pa.RecordBatch], levels: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set by ``levels`` of their counters, one of which it shares with each set that is alike; ``rest`` is how many of the set are not before it.
+
+    Sets that are alike share at least ``least`` of the shingles of each, so at most the others can come before the first shared one. A shingle that is alone at its counter is shared with none.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(at, _ROWS)
+            values, count = batch.column("shingles").flatten().to_numpy().view(np.uint64), pc.list_value_length(batch.column("shingles")).to_numpy()
+            row, level = np.repeat(np.arange(len(count)), count), levels[values % np.uint64(COUNTERS)]
+            order = np.lexsort((values, level, row))
+            before = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            taken = (before <= (count - np.ceil(least * count - 1e-6))[row]) & (level[order] > 0)
+            row, values, before = row[taken], values[order][taken], before[taken]
+            columns = [pa.array(values.view(np.int64)), batch.column("root").take(pa.array(row)), batch.column("node").take(pa.array(row)), pa.array(count[row], pa.int32()), pa.array(count[row] - before, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "root", "node", "size", "rest"])
+
+
+def _asked(x: Column | str, y: Column | str, least: float) -> Column:
+    """How many shingles two sets of these sizes share at least, if they are alike."""
+    return F.lit(least / (1 + least)) * (x + y) - 1e-6
+
+
+def _meeting(marks: DataFrame, least: float) -> DataFrame:
+    """Those of ``marks`` (key, root, node, size, rest) whose list has several roots and which can be the first one shared with some other of the list."""
+    of = marks.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("smallest"), F.max("rest").alias("most"))
+    size = F.col("size")
+    met = marks.join(of.where("low < high"), "key").where(F.least("rest", "most") >= _asked(size, F.greatest(F.col("smallest"), least * size), least))
+    return met.select(marks.columns)
+
+
 def _zero_bytes(x: Column) -> Column:
     """How many of the eight bytes of a number are zero: the bits of each byte are gathered in its lowest one."""
     for step in (4, 2, 1):
@@ -167,11 +216,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """Roots (node, root) of the nodes with links; see the module."""
     filled = nodes.where("size > 0").select("node", "size", *_NAMES)
-    found, roots, sets, compared, waiting, calls = None, None, None, None, [], 0
+    found, roots, sets, compared, waiting, crowded, calls, made = None, None, None, None, [], [], 0, 0
+
+    def shingled(asked: DataFrame) -> DataFrame:
+        """The sets of the nodes in ``asked`` (node)."""
+        nonlocal sets, made
+        made += 1
+        need = asked if sets is None else asked.join(sets.select("node"), "node", "left_anti")
+        ends = tables.keep(nodes.join(need, "node").select("node", F.col("k._h").alias("_h")), "ends")
+        texts = docs.select("_h", "text").join(ends, "_h").dropDuplicates(["node"]).select("node", "text")
+        more = tables.keep(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"), f"sets-{made}", 16)
+        sets = more if sets is None else sets.union(more)
+        tables.drop("ends")
+        return sets.join(asked, "node")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame | None, bool]:
         """The links among pairs that were not compared before, None for no links, and whether there are many."""
-        nonlocal sets, compared, calls
+        nonlocal compared, calls
         calls += 1
         pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
         pairs = tables.keep(pairs, f"compared-{calls}", 4)
@@ -180,65 +241,90 @@ def joined(nodes: DataFrame, docs: DataFrame, tables: Tables, shingle: int = SHI
         compared = pairs if compared is None else compared.union(pairs)
         # Lists of nodes as tables: their sizes are known, so that Spark broadcasts them only where they are small, and shuffles no texts then.
         both = tables.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "both")
-        need = both if sets is None else both.join(sets.select("node"), "node", "left_anti")
-        ends = tables.keep(nodes.join(need, "node").select("node", F.col("k._h").alias("_h")), "ends")
-        texts = docs.select("_h", "text").join(ends, "_h").dropDuplicates(["node"]).select("node", "text")
-        more = tables.keep(texts.mapInArrow(lambda batches: _sets(batches, shingle), "node long, shingles array<long>"), f"sets-{calls}", 16)
-        sets = more if sets is None else sets.union(more)
-        links = tables.keep(_verified(pairs, sets.join(both, "node"), least), f"links-{calls}", 4)
+        links = tables.keep(_verified(pairs, shingled(both), least), f"links-{calls}", 4)
         linked = links.count()
-        tables.drop("both", "ends")
+        tables.drop("both")
         return links if linked else None, linked * FRUITFUL >= asked
 
-    def grown(done: DataFrame) -> DataFrame:
-        """The roots with more links."""
-        nonlocal found
+    def grown(done: DataFrame) -> None:
+        """More links for the roots."""
+        nonlocal found, roots
         found = done if found is None else found.union(done)
-        out = tables.keep(components(found, lambda edges: tables.keep(edges, "edges")), "roots")
+        roots = tables.keep(components(found, lambda edges: tables.keep(edges, "edges")), "roots")
         tables.drop("edges")
-        return out
 
-    def pairs_of(postings: DataFrame, one_by_one: bool, turn: int) -> DataFrame:
-        left, right = postings.alias("l"), postings.alias("r")
-        if one_by_one:
-            return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & _alike(least) & _first_meeting()).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        one = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size", *_NAMES)).alias("m")).select("key", "m.*")
-        return left.join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(_alike(least)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    def rooted(rows: DataFrame) -> DataFrame:
+        """``rows`` (node) with their roots."""
+        if roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def by_rounds(lists: DataFrame, name: str, alike: Column, total: float, across: float) -> DataFrame:
+        """``lists`` (key, root, node, ...) with the roots after rounds with one node of each list, for as long as there are many pairs and a round finds many links."""
+        turn, fruitful = 0, True
+        while across > PAIRS * total and fruitful:  # pairs of one root count in the first ``across``, but are not compared
+            sizes = lists.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            across = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+            if across <= PAIRS * total:
+                break
+            by = -F.col("rest").cast("long") if "rest" in lists.columns and not turn else F.xxhash64(F.lit(turn), "node")
+            one = lists.groupBy("key").agg(F.min(F.struct(by.alias("h"), "node", *[c for c in lists.columns if c not in ("key", "node")])).alias("m")).select("key", "m.*")
+            pairs = lists.alias("l").join(one.alias("r"), F.col("l.key") == F.col("r.key")).where(alike).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+            done, fruitful = verified(pairs)
+            turn, across = turn + 1, float("inf")
+            if done is not None:
+                grown(done)
+                lists = tables.keep(rooted(lists.drop("root")), name, 16)
+        return lists
+
+    def each_pair(lists: DataFrame, alike: Column) -> DataFrame:
+        left, right = lists.alias("l"), lists.alias("r")
+        return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & alike).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+    def checked(pairs: DataFrame) -> None:
+        done, _ = verified(pairs)
+        if done is not None:
+            grown(done)
 
-    rooted = filled.withColumn("root", F.col("node"))
+    current = rooted(filled)
     kind = f"key long, root long, node long, size int, {', '.join(f'{p} long' for p in _NAMES)}"
     for first, last in zip(np.cumsum([0, *TURNS[:-1]]).tolist(), np.cumsum(TURNS).tolist(), strict=True):
-        keys = rooted.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long, p0 long")  # noqa: B023
+        keys = current.mapInArrow(lambda batches: _post(batches, first, last, True), "key long, root long, p0 long")  # noqa: B023
         # Only lists with nodes that are not all joined yet. Of a list of two, as unlike texts mostly share, the sum modulo 2 is the difference of the pair.
         sums = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor("p0").alias("x"))
         open_ = tables.keep(sums.where(f"low < high and (n > 2 or bit_count(x) <= {FIRST})").select("key", F.col("n").cast("double").alias("n")), "keys", 4)
         total, across = open_.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
         if not total:
             continue
-        postings = tables.keep(rooted.mapInArrow(lambda batches: _post(batches, first, last, False), kind).join(open_.select("key"), "key"), "postings", 16)  # noqa: B023
-        turn, fruitful = 0, True
-        while True:
-            if across > PAIRS * total and fruitful:  # pairs of one root count above, but are not compared
-                sizes = postings.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-                across = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-            one_by_one = across <= PAIRS * total or not fruitful
-            pairs = pairs_of(postings, one_by_one, turn)
-            if one_by_one and first:  # later turns find few pairs; all of them are verified together
-                waiting.append(tables.keep(pairs.distinct(), f"waiting-{first}", 4))
-                break
-            done, fruitful = verified(pairs)
-            if done is not None:
-                roots = grown(done)
-                rooted = tables.keep(filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-            if one_by_one:
-                break
-            turn, across = turn + 1, float("inf")
-            if done is not None:
-                postings = tables.keep(postings.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "postings", 16)
+        postings = current.mapInArrow(lambda batches: _post(batches, first, last, False), kind).join(open_.select("key", (F.col("n") > LIST).alias("crowded")), "key")  # noqa: B023
+        postings = tables.keep(postings, "postings", 16)
+        if not first:
+            postings = by_rounds(postings, "postings", _alike(least), total, across)
+        pairs = each_pair(postings.where("not crowded"), _alike(least) & _first_meeting())
+        if first:  # later turns find few pairs; all of them are verified together
+            waiting.append(tables.keep(pairs.distinct(), f"waiting-{first}", 4))
+        else:
+            checked(pairs)
+            current = current if roots is None else tables.keep(rooted(filled), "rooted")
+        several = postings.where("crowded").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        crowded.append(tables.keep(postings.where("crowded").join(several, "key", "left_semi").select("node").distinct(), f"crowded-{first}"))
         tables.drop("keys", "postings")
     if waiting:
-        done, _ = verified(reduce(DataFrame.union, waiting))
-        roots = roots if done is None else grown(done)
+        checked(reduce(DataFrame.union, waiting))
+    if crowded:
+        crowd = tables.keep(reduce(DataFrame.union, crowded).distinct(), "crowd")
+        if crowd.count():
+            held = shingled(crowd)
+            levels = np.zeros(COUNTERS, np.uint8)
+            counts = held.select("shingles").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+            levels[counts["counter"].to_numpy()] = np.minimum(8 * np.log2(counts["n"].to_numpy()), 255)
+            marks = rooted(held).mapInArrow(lambda batches: _marks(batches, levels, least), "key long, root long, node long, size int, rest int")
+            marks = tables.keep(_meeting(tables.keep(_meeting(tables.keep(marks, "marks", 16), least), "met", 16), least), "marks", 16)
+            x, y = F.col("l.size"), F.col("r.size")
+            alike = (F.col("l.root") != F.col("r.root")) & (F.least(x, y) >= least * F.greatest(x, y) - 1e-9) & (F.least("l.rest", "r.rest") >= _asked(x, y, least))
+            total, across = marks.groupBy("key").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+            if total:
+                checked(each_pair(by_rounds(marks, "marks", alike, total, across), alike))
     return roots if roots is not None else filled.select("node", F.col("node").alias("root")).limit(0)
 
 
