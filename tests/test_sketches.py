@@ -4,8 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from windrift.jobs import registry
-from windrift.jobs import wind  # noqa: F401
+from windrift.jobs import registry, wind
 from windrift.operators import calibration, metrics, sketches
 
 PROBS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
@@ -74,3 +73,30 @@ def test_speeds_of_too_few_points_are_null(spark):
     got = {r.session_id: r for r in metrics.sketched_speeds(metrics.speed_sketches(table, ["session_id", "hour"])).collect()}
     assert got["a"].iqrRatio is None and got["a"].medianWindSpeed == 5 and got["b"].iqrRatio == 0 and got["b"].windRange == 2
     assert got["c"].medianWindSpeed is None and got["c"].cv is None
+
+
+def test_quantiles_of_any_size_are_exact(spark):
+    k, rng = 64, np.random.default_rng(6)
+    data = {"hot": rng.normal(size=20_000), "ties": rng.integers(0, 4, 5000).astype(float), "far": 1e8 + rng.integers(0, 2, 3000), "one": np.array([3.5]), None: rng.uniform(size=1000)}
+    rows = [(g, float(x)) for g, xs in data.items() for x in xs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    parts = sketches.sketched(table, ["g"], k=k)
+    got = {r.g: r for r in sketches.exact(table, parts, ["g"], PROBS, k=k).collect()}
+    assert set(got) == {*data, "none"} and (got["none"].n, got["none"].quantiles) == (0, None)
+    for g, xs in data.items():
+        assert got[g].quantiles == np.quantile(xs, PROBS, method="inverted_cdf").tolist() and got[g].deviation == pytest.approx(xs.std(), rel=1e-12)
+    # Bounds that miss on either side are not relied on.
+    for off in (1e9, -1e9):
+        wrong = sketches.sketched(table.withColumn("value", F.col("value") + off), ["g"], k=k)
+        assert {r.g: r.quantiles for r in sketches.exact(table, wrong, ["g"], PROBS, k=k).collect()} == {g: r.quantiles for g, r in got.items()}
+    assert sketches.exact(table.limit(0), sketches.sketched(table.limit(0), ["g"]), ["g"], PROBS).count() == 0
+
+
+def test_queries_are_exact_beyond_the_size_of_a_sketch(spark, sf_dir, monkeypatch):
+    x = np.random.default_rng(7).lognormal(size=6 * sketches.K)
+    table = spark.createDataFrame([(f"s{i}", "v", "D", "cv", float(v)) for i, v in enumerate(x)], "session_id string, venue string, strategy string, metric string, value double")
+    monkeypatch.setattr(wind, "table", lambda s, d: table)
+    quartiles = registry.QUERIES["a3b_sketched_distribution"](spark, sf_dir).first()
+    assert [quartiles.p25, quartiles.p50, quartiles.p75] == pytest.approx(np.quantile(x, calibration.QUARTILES, method="inverted_cdf"), abs=1e-6)
+    cuts = registry.QUERIES["a2c_sketched_thresholds"](spark, sf_dir).first()
+    assert [cuts.t0, cuts.t1, cuts.t2] == pytest.approx(np.quantile(x, calibration.PROBS, method="inverted_cdf"), abs=1e-6)

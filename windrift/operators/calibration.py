@@ -29,10 +29,11 @@ def thresholds(metrics: DataFrame, strategy: str = "D", probs: Sequence[float] =
     return rows.where("n >= 4").select("metric", *[rounded(F.get("q", F.lit(i))).alias(f"t{i}") for i in range(len(probs))])
 
 
-def sketched_thresholds(parts: DataFrame, probs: Sequence[float] = PROBS) -> DataFrame:
-    """``thresholds`` from kept sketches (metric, ..) of any parts of the sessions."""
-    rows = sketches.merged(parts, ["metric"]).where("n >= 4")
-    return rows.select("metric", *[rounded(sketches.quantile(q)).alias(f"t{i}") for i, q in enumerate(probs)])
+def sketched_thresholds(parts: DataFrame, probs: Sequence[float] = PROBS, values: DataFrame | None = None) -> DataFrame:
+    """``thresholds`` from kept sketches (metric, ..) of any parts of the sessions; exact where their ``values`` are given, too."""
+    rows = sketches.merged(parts, ["metric"]) if values is None else sketches.exact(values, parts, ["metric"], probs)
+    of = lambda i, q: sketches.quantile(q) if values is None else F.get("quantiles", F.lit(i))
+    return rows.where("n >= 4").select("metric", *[rounded(of(i, q)).alias(f"t{i}") for i, q in enumerate(probs)])
 
 
 def distribution(metrics: DataFrame, approx: bool = False) -> DataFrame:
@@ -44,11 +45,14 @@ def distribution(metrics: DataFrame, approx: bool = False) -> DataFrame:
     return rows.select("metric", "strategy", "n", rounded("mean").alias("mean"), rounded("sd").alias("sd"), rounded("low").alias("low"), rounded("high").alias("high"), *[rounded(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
 
 
-def sketched_distribution(parts: DataFrame) -> DataFrame:
-    """``distribution`` from kept sketches (metric, strategy, ..) of any parts of the sessions."""
-    rows = sketches.merged(parts, ["metric", "strategy"])
-    quartiles = [rounded(sketches.quantile(q)).alias(n) for q, n in zip(QUARTILES, ("p25", "p50", "p75"), strict=True)]
-    return rows.select("metric", "strategy", "n", rounded(sketches.mean()).alias("mean"), rounded(sketches.spread()).alias("sd"), rounded("low").alias("low"), rounded("high").alias("high"), *quartiles)
+def sketched_distribution(parts: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """``distribution`` from kept sketches (metric, strategy, ..) of any parts of the sessions; exact where their ``values`` are given, too."""
+    by = ["metric", "strategy"]
+    rows = sketches.merged(parts, by) if values is None else sketches.exact(values, parts, by, QUARTILES)
+    of = lambda i, q: sketches.quantile(q) if values is None else F.get("quantiles", F.lit(i))
+    quartiles = [rounded(of(i, q)).alias(n) for i, (q, n) in enumerate(zip(QUARTILES, ("p25", "p50", "p75"), strict=True))]
+    spread = sketches.spread() if values is None else F.col("deviation")
+    return rows.select("metric", "strategy", "n", rounded(sketches.mean()).alias("mean"), rounded(spread).alias("sd"), rounded("low").alias("low"), rounded("high").alias("high"), *quartiles)
 
 
 def histogram(metrics: DataFrame, bins: int = BINS) -> DataFrame:
