@@ -105,6 +105,33 @@ def test_sampled_silhouettes_hold_their_error_on_many_rows(spark):
         assert r["size"] == (len(x) if c is None else own[c]) and 0 < r.error < 0.03 and abs(r.silhouette - true) < 4 * r.error
 
 
+def test_silhouettes_of_many_blocks_are_exact(spark, monkeypatch):
+    """Blocks of all sizes, clusters that few blocks have, equal rows, rows far from the origin, a cluster of one and rows that take no part."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(700, 3)), rng.normal(3, 1, (400, 3)), np.zeros((60, 3)), 1e-5 * rng.normal(size=(60, 3)), [[9.0, 9.0, 9.0]]]) + 1e4
+    label = np.repeat([0, 1, 2, 3, 4], [700, 400, 60, 60, 1])
+    rows = [(f"r{i}", int(c), r.tolist()) for i, (c, r) in enumerate(zip(label, x, strict=True))]
+    table = spark.createDataFrame([*rows, ("none", None, [1.0] * 3), ("hole", 1, [1.0, None, 1.0]), ("nan", 1, [1.0, float("nan"), 1.0])], "id string, cluster_id int, z array<double>")
+    want = dict.fromkeys(("none", "hole", "nan"), 0.0) | {f"r{i}": v for i, v in enumerate(plain_silhouette(x, label, 1))}
+    for blocks, size in ((1, 4 << 20), (8, 4 << 20), (1, 2048)):
+        monkeypatch.setattr(C, "BLOCK_BYTES", size)
+        assert {r.id: r.silhouette for r in C.silhouette(table, "id", blocks=blocks).collect()} == pytest.approx(want, abs=1e-9)
+    assert C.silhouette(table.where("id = 'r0'"), "id").count() == 0 and C.silhouette(table.limit(0), "id").count() == 0
+
+
+def test_silhouette_makes_no_row_for_a_pair(spark):
+    """6,000 rows are 36 million pairs: no join of Spark makes them."""
+    rng = np.random.default_rng(9)
+    x, label = rng.normal(size=(6000, 2)), rng.integers(0, 3, 6000)
+    table = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(label, x, strict=True))], "id int, cluster_id int, z array<double>").repartition(4)
+    assert "HashJoin" not in (plan := C.silhouette(table, "id")._jdf.queryExecution().toString()) and "MergeJoin" not in plan and "Join Inner" not in plan
+    got = {r.id: r.silhouette for r in C.silhouette(table, "id").collect()}
+    for i in (0, 3000, 5999):
+        far = np.sqrt(((x - x[i]) ** 2).sum(1))
+        a, b = far[label == label[i]].sum() / ((label == label[i]).sum() - 1), min(far[label == c].mean() for c in {0, 1, 2} - {label[i]})
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-11)
+
+
 def test_components_equal_the_plain_ones(table, blobs):
     centred = blobs - blobs.mean(0)
     value, vector = np.linalg.eigh(centred.T @ centred / (len(blobs) - 1))
