@@ -130,6 +130,22 @@ def test_silhouette_makes_no_row_for_a_pair(spark):
         far = np.sqrt(((x - x[i]) ** 2).sum(1))
         a, b = far[label == label[i]].sum() / ((label == label[i]).sum() - 1), min(far[label == c].mean() for c in {0, 1, 2} - {label[i]})
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-11)
+    # What c6c takes: clusters far larger than the drawn partners, without an error.
+    per = C.silhouette_summary(scores := C.sampled_silhouette(table, key="id", partners=None)).collect()
+    assert {r.id: r.silhouette for r in scores.collect()} == pytest.approx(got, abs=1e-12) and max(r.error for r in per) < 1e-15
+    assert C.silhouette_summary(C.sampled_silhouette(table, partners=None)).where("cluster_id is null").first().silhouette == pytest.approx(np.mean(list(got.values())), abs=1e-9)
+
+
+def test_sampled_query_is_exact_for_large_clusters(spark, sf_dir, monkeypatch):
+    """Two clusters of more rows than partners are drawn."""
+    from windrift.jobs import registry, study
+
+    rng = np.random.default_rng(10)
+    x, label = rng.normal(size=(2000, 2)), rng.integers(0, 2, 2000)
+    table = spark.createDataFrame([(f"s{i}", int(c), r.tolist()) for i, (c, r) in enumerate(zip(label, x, strict=True))], "session_id string, cluster_id int, z array<double>")
+    monkeypatch.setattr(study, "labelled", lambda s, d: table)
+    got = {r.session_id: r.silhouette for r in registry.QUERIES["c6c_sampled_silhouette"](spark, sf_dir).collect()}
+    assert got == pytest.approx({f"s{i}": v for i, v in enumerate(plain_silhouette(x, label, 1))}, abs=6e-6)
 
 
 def test_components_equal_the_plain_ones(table, blobs):

@@ -145,13 +145,16 @@ def _partners(labelled: DataFrame, n: int) -> tuple[dict[int, int], dict[int, np
     return sizes, {c: np.array(v, float) for c, v in found.items()}
 
 
-def sampled_silhouette(labelled: DataFrame, vector: str = "z", key: str | None = None, partners: int = PARTNERS) -> DataFrame:
+def sampled_silhouette(labelled: DataFrame, vector: str = "z", key: str | None = None, partners: int | None = PARTNERS) -> DataFrame:
     """(key, cluster_id, silhouette, without): the Euclidean silhouette of each row (without ``key`` if none is named); 0 for a cluster of one, or if there is one cluster.
 
     A cluster of up to ``partners`` rows takes part whole, so that small inputs have exact values. Of a larger one that many rows are drawn, and a mean distance is
     that to them: work and memory grow with the rows, not with their pairs. ``without`` has the silhouettes that each of ``REPLICAS`` shares of the drawn rows, left out,
     would give; they are one another's error (``silhouette_summary``). Which rows are drawn depends on how the table is dealt out. Rows without a vector or a cluster have no row.
+    ``partners`` None takes clusters of any size whole, by the blocks of ``silhouette``: all values are exact and have no error, and the work is that of all pairs; ``key`` then names a row.
     """
+    if partners is None:
+        return _whole_silhouette(labelled, vector, key)
     if partners < 2 * REPLICAS:
         raise ValueError(f"at least {2 * REPLICAS} partners")
     names = [key] if key else []
@@ -193,6 +196,15 @@ def sampled_silhouette(labelled: DataFrame, vector: str = "z", key: str | None =
     return out.withColumnRenamed("key", key) if key else out
 
 
+def _whole_silhouette(labelled: DataFrame, vector: str, key: str | None) -> DataFrame:
+    rows = labelled.where(F.col("cluster_id").isNotNull() & F.col(vector).isNotNull()).withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    if not key:
+        # The number is drawn once a row, before rows are dealt to several blocks.
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    scores = silhouette(rows, key or "_row", vector).withColumn("without", F.array_repeat("silhouette", REPLICAS))
+    return scores if key else scores.drop("_row")
+
+
 def silhouette_summary(scores: DataFrame) -> DataFrame:
     """(cluster_id, size, silhouette, error): means of the rows of ``sampled_silhouette`` by cluster, and of all where ``cluster_id`` is null; no row of no rows.
 
