@@ -24,6 +24,20 @@ def test_angles_and_rounding(spark):
     assert row[8] == pytest.approx(10 / 1.852) and row[9:] == (10.0, 180.0)
 
 
+def test_angles_have_the_last_bits_of_sql(spark):
+    """A value on a threshold reaches it or not by its last bits, so wrapped angles and turns must have those of the SQL."""
+    import duckdb
+
+    from windrift.jobs import sql
+
+    rows = [(round(-400 + 1.9 * i, 1), round(700 - 2.3 * i, 1)) for i in range(600)]
+    got = spark.createDataFrame(rows, "a double, b double").select(V.wrap360(F.col("a")).alias("w"), V.turn(V.wrap360(F.col("a")), V.wrap360(F.col("b"))).alias("t")).collect()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE x (a DOUBLE, b DOUBLE)")
+    c.executemany("INSERT INTO x VALUES (?, ?)", rows)
+    assert [tuple(r) for r in got] == c.execute(f"SELECT {sql.wrap('a')}, {sql.turn(sql.wrap('a'), sql.wrap('b'))} FROM x ORDER BY rowid").fetchall()
+
+
 def test_circular_mean_across_north(spark):
     df = spark.createDataFrame([(350.0,), (10.0,)], "d double")
     assert df.select(V.circ_mean(F.avg(F.sin(F.radians("d"))), F.avg(F.cos(F.radians("d"))))).first()[0] % 360 == pytest.approx(0, abs=1e-9)

@@ -35,12 +35,13 @@ def ratio(a: Column, b: Column, zero: bool = False) -> Column:
 
 
 def wrap360(c: Column) -> Column:
-    return F.pmod(c, F.lit(360.0))
+    """The angle in [0, 360). 360 is added to every angle, as SQL has it, and not to negative ones alone (``pmod``): last bits decide whether a value that equals a threshold reaches it."""
+    return (c % 360.0 + 360.0) % 360.0
 
 
 def turn(a: Column, b: Column) -> Column:
     """The signed angle from a to b, in [-180, 180)."""
-    return F.pmod(b - a + 180.0, F.lit(360.0)) - 180.0
+    return wrap360(b - a + 180.0) - 180.0
 
 
 def to_knots(speed: Column | str, unit: Column | str) -> Column:

@@ -37,6 +37,8 @@ def features(points: DataFrame, by: Sequence[str], time: str = "t_ms") -> DataFr
         "_prev_dir": F.last("wind_dir", ignorenulls=True).over(before(by, time)),
         "_last_wind": F.lag("wind_kts").over(w), "_last_dir": F.lag("wind_dir").over(w),
     })
+    # Summed in the order of time: a direction's last bits must not hang on the order in which a shuffle brings the rows.
+    in_time = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gust, mean, shift = trailing(by, GUST_MS, time), trailing(by, MEAN_MS, time), trailing(by, SHIFT_MS, time)
     enough = (F.col("_t") - F.min("_tw").over(gust) >= GUST_MS / 2) & (F.count("wind_kts").over(gust) >= 5)
     count = F.count("wind_kts").over(all_)
@@ -50,9 +52,9 @@ def features(points: DataFrame, by: Sequence[str], time: str = "t_ms") -> DataFr
         "_mean30": F.when(wind.isNotNull() & (F.count("wind_kts").over(mean) >= 3), F.avg("wind_kts").over(mean)),
         "_low": F.when(by_wind(F.asc_nulls_last("wind_kts")) <= tail, wind), "_high": F.when(by_wind(F.desc_nulls_last("wind_kts")) <= tail, wind),
         "_residual": wind - (F.coalesce(slope.over(all_), F.lit(0.0)) * F.col("_t") + F.coalesce(intercept.over(all_), F.avg("wind_kts").over(all_))),
-        "_centre": circ_mean(F.avg("_sin").over(all_), F.avg("_cos").over(all_)),
+        "_centre": circ_mean(F.avg("_sin").over(in_time), F.avg("_cos").over(in_time)),
         "_rolling": F.when(angle.isNotNull() & (F.count("wind_dir").over(shift) >= 5), circ_mean(F.avg("_sin").over(shift), F.avg("_cos").over(shift))),
-        "_first_dir": F.first("wind_dir", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_first_dir": F.first("wind_dir", ignorenulls=True).over(in_time),
         "_n_dir": F.count("wind_dir").over(all_), "_at_dir": F.sum(angle.isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
     })
     away = turn(F.col("_rolling"), angle)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrift.functions.values import whole
+from windrift.functions.values import whole, wrap360
 
 VENUES = ("AVN", "CAGLIARI", "GDYNIA", "GORGE", "GREECE", "HYERES", "LONGBEACH", "PALMA", "OTHER")
 
@@ -26,7 +26,7 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = events.select(
         _session().alias("session_id"), F.col("event_id").alias("seq"), user, us.alias("us"), k.alias("k"),
         F.when(F.col("event_id") % 53 != 0, 2 + (0.7 + 0.4 * (user % 5)) * F.sqrt("value")).alias("wind_kts"),
-        F.when(F.col("event_id") % 41 != 0, F.pmod(200 + spread * (k - 50) / 50, F.lit(360.0))).alias("wind_dir"),
+        F.when(F.col("event_id") % 41 != 0, wrap360(200 + spread * (k - 50) / 50)).alias("wind_dir"),
         ((F.col("event_id") % 97) / 97 * 10).alias("boat_kts"),
     )
     first = F.min("us").over(whole(["session_id"]))
